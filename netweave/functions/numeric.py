@@ -74,15 +74,26 @@ def _rational(x: Column, pair) -> Column:
     return horner(pair[0]) / horner(pair[1])
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed a single time however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def inverse_normal(p: Column) -> Column:
     """Standard normal quantile of ``p`` in (0, 1), good to about 1e-16; null outside."""
-    q = p - F.lit(0.5)
-    centre = F.lit(0.180625) - q * q
-    tail_p = F.when(q < 0, p).otherwise(F.lit(1.0) - p)
-    r = F.sqrt(-F.log(tail_p))
-    outer = F.when(r <= 5.0, _rational(r - F.lit(1.6), _MIDDLE)).otherwise(_rational(r - F.lit(5.0), _TAIL))
-    value = F.when(F.abs(q) <= 0.425, q * _rational(centre, _CENTRAL)).when(q < 0, -outer).otherwise(outer)
-    return F.when((p > 0) & (p < 1), value)
+    def outer(r):
+        return F.when(r <= 5.0, _rational(r - F.lit(1.6), _MIDDLE)).otherwise(_rational(r - F.lit(5.0), _TAIL))
+
+    def value(p):
+        q = p - F.lit(0.5)
+        tail = F.sqrt(-F.log(F.least(p, F.lit(1.0) - p)))
+        central = once(F.lit(0.180625) - q * q, lambda c: _rational(c, _CENTRAL))
+        return (
+            F.when((p <= 0) | (p >= 1), F.lit(None)).when(F.abs(q) <= 0.425, q * central)
+            .otherwise(F.signum(q) * once(tail, outer))
+        )
+
+    return once(p, value)
 
 
 def hurwitz_zeta(s: Column, q: Column, terms: int = 12) -> Column:

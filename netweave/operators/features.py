@@ -11,7 +11,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave.functions.numeric import clip, coerce_double, inverse_normal, log1p_clipped
@@ -78,29 +78,30 @@ class Encoder:
 
 def fit_encoder(df: DataFrame, cols: Sequence[str], null_token: str = "") -> Encoder:
     """Codes are ranks among the sorted distinct values, the null token included."""
-    spark, parts, sizes = df.sparkSession, [], {}
-    token = spark.createDataFrame([(null_token,)], "value string")
-    for f in cols:
-        values = (
-            df.select(F.coalesce(column(f).cast("string"), F.lit(null_token)).alias("value"))
-            .unionByName(token).distinct()
-        )
-        sizes[f] = values.count()
-        if sizes[f] <= SMALL_VOCABULARY:
-            rank = F.row_number().over(Window.orderBy("value")) - 1
-            coded = values.withColumn("code", rank.cast("int"))
-        else:
-            coded = with_row_ids(values, ["value"], name="code").select("value", F.col("code").cast("int"))
-        parts.append(coded.select(F.lit(f).alias("feature"), "value", "code"))
-    vocab = parts[0]
-    for part in parts[1:]:
-        vocab = vocab.unionByName(part)
-    if sum(sizes.values()) <= SMALL_VOCABULARY:
+    spark = df.sparkSession
+    pairs = F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.coalesce(column(f).cast("string"), F.lit(null_token)).alias("value"))
+        for f in cols
+    ])
+    # Duplicates fall away on the map side, so little of the exploded pairs is shuffled.
+    values = df.select(F.explode(pairs).alias("x")).select("x.*").distinct()
+    head = values.limit(SMALL_VOCABULARY + 1).collect()
+    if len(head) <= SMALL_VOCABULARY:
         # Few enough to hold: later applies then cost no pass over the data.
-        vocab = spark.createDataFrame(vocab.collect(), "feature string, value string, code int")
-    else:
-        vocab = materialize(vocab, "vocabulary")
-    return Encoder(list(cols), vocab, sizes, null_token)
+        rows = []
+        for f in cols:
+            known = sorted({r["value"] for r in head if r["feature"] == f} | {null_token})
+            rows += [(f, v, i) for i, v in enumerate(known)]
+        vocab = spark.createDataFrame(rows, "feature string, value string, code int")
+        return Encoder(list(cols), vocab, {f: sum(r[0] == f for r in rows) for f in cols}, null_token)
+    tokens = spark.createDataFrame([(f, null_token) for f in cols], "feature string, value string")
+    values = values.unionByName(tokens).distinct()
+    ranked = with_row_ids(values, ["feature", "value"], name="_rank")
+    starts = ranked.groupBy("feature").agg(F.min("_rank").alias("_first"), F.count("*").alias("_n"))
+    coded = ranked.join(F.broadcast(starts), "feature").select(
+        "feature", "value", (F.col("_rank") - F.col("_first")).cast("int").alias("code"))
+    sizes = {r["feature"]: r["_n"] for r in starts.collect()}
+    return Encoder(list(cols), materialize(coded, "vocabulary"), sizes, null_token)
 
 
 def encode_text(df: DataFrame, exclude: Sequence[str] = (), null_token: str = "nan") -> tuple[DataFrame, Encoder]:
