@@ -60,7 +60,7 @@ def _synthesize(rows: DataFrame, features, categorical, carry, label, key, k, si
     more = within_cut(cuts, None, {"all": extra}, {"all": size}, key, seed).cast("int")
     draws = (
         rows.drop("draw").withColumn("_m", F.lit(base) + more).where(F.col("_m") > 0)
-        .withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).cast("int"))
+        .withColumn("draw", F.explode(F.sequence(F.lit(0), (F.col("_m") - 1).cast("int"))))
         .withColumn("_w", row_words(key, "draw", seed=seed))
         .withColumn("_u", mix_uniform(F.col("_w"), "step"))
         .withColumn("rank", (F.pmod(F.col("_w.a"), F.lit(k)) + 1).cast("int"))

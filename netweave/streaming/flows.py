@@ -13,10 +13,17 @@ from netweave.session import scratch_path
 
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Stream the files of a parquet table; later files become later batches."""
+    """Stream the files of a parquet table; later files become later batches.
+
+    A table that is one file is streamed from its folder by name.
+    """
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getFileStatus(location).isFile():
+        return reader.option("pathGlobFilter", location.getName()).parquet(location.getParent().toString())
     return reader.parquet(path)
 
 
