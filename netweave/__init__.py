@@ -6,4 +6,12 @@ number of rows, so a fit ends in a short driver hop and an apply is one lazy
 projection.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in Python workers travel with the job, so executors need no
+# installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -10,6 +10,7 @@ from netweave.operators import weights as w
 from netweave.operators.augment import mask_probability
 from netweave.operators.calibrate import calibrate, fit_calibrator
 from netweave.operators.models import mean_score
+from netweave.session import small_table
 
 # --- class weights ---------------------------------------------------------------------
 
@@ -282,7 +283,7 @@ CALIBRATED = SCORES + """, calibrated AS (SELECT row_id, label, domain, score, C
 
 
 def _fixed_calibration(spark, sf):
-    params = spark.createDataFrame([(d, a, b, 1) for d, (a, b) in _FIXED.items()], "domain string, a double, b double, rows bigint")
+    params = small_table(spark, [(d, a, b, 1) for d, (a, b) in _FIXED.items()], "domain string, a double, b double, rows bigint")
     out = calibrate(scores(spark, sf), params, "score", "domain")
     # Six digits keep equal scores equal in either engine.
     return out.withColumn("calibrated", F.round("calibrated", 6))

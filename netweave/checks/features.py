@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from netweave.checks.base import FLOWS, LABELLED, NUMERIC, TEXT, flows, labelled, query, rounded, table
 from netweave.operators import features as feat
+from netweave.session import small_table
 
 # --- encoding ------------------------------------------------------------------------
 
@@ -102,7 +103,7 @@ def clipped(spark, sf, *more):
     f"round({c}_q3 + 1.5 * ({c}_q3 - {c}_q1), 6) AS high FROM q" for c in NUMERIC))
 def iqr_bounds(spark, sf):
     limits = feat.fit_bounds(numbers(spark, sf), NUMERIC).limits
-    return rounded(spark.createDataFrame([(c, *v) for c, v in limits.items()], "feature string, low double, high double"))
+    return rounded(small_table(spark, [(c, *v) for c, v in limits.items()], "feature string, low double, high double"))
 
 
 def _rounded_sql(cols, digits=6):
@@ -259,13 +260,13 @@ def _select_sql(extra):
 @query("select_by_corr", _select_sql("WHERE r > 0.01"))
 def select_by_corr(spark, sf):
     chosen = feat.select_by_corr(scaled(spark, sf), [*NUMERIC, "constant"], "label")
-    return spark.createDataFrame([(c,) for c in chosen], "feature string")
+    return small_table(spark, [(c,) for c in chosen], "feature string")
 
 
 @query("topk_features", _select_sql("ORDER BY r DESC, feature LIMIT 3"))
 def topk_features(spark, sf):
     chosen = feat.select_by_corr(scaled(spark, sf), [*NUMERIC, "constant"], "label", top=3)
-    return spark.createDataFrame([(c,) for c in chosen], "feature string")
+    return small_table(spark, [(c,) for c in chosen], "feature string")
 
 
 # --- the chain --------------------------------------------------------------------------

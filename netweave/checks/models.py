@@ -14,7 +14,7 @@ from netweave.operators.sampling import with_fold
 from netweave.operators.search import draw_settings, grid_settings, search
 from netweave.operators.weights import class_weights, weight_map, with_weight
 from netweave.plans.presets import subset_robust
-from netweave.session import materialize
+from netweave.session import materialize, small_table
 
 KEEP = ["row_id", "label"]
 
@@ -94,7 +94,8 @@ def reweight_rounds(spark, sf):
     fit = mod.reweighted_fit(lambda: mod.logistic(penalty=0.01, iterations=20), train, test, rounds=5, patience=2)
     rows = [(h["round"], h["macro_f1"], h["loss"], h["weight_0"], h["weight_1"], h["round"] == fit.best_round)
             for h in fit.history]
-    return spark.createDataFrame(
+    return small_table(
+        spark,
         rows, "round int, macro_f1 double, loss double, weight_0 double, weight_1 double, best boolean")
 
 

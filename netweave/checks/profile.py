@@ -29,6 +29,7 @@ from netweave.operators.sampling import (
     with_fold,
 )
 from netweave.plans import vocab
+from netweave.session import small_table
 
 # --- counts ------------------------------------------------------------------------
 
@@ -330,7 +331,8 @@ SELECT 'bytes' AS feature, (SELECT sum(n) FROM c)::BIGINT AS rows, tn::BIGINT AS
 def powerlaw_alpha(spark, sf):
     df = table(spark, sf, "events").select(F.ceil("value").cast("double").alias("bytes"))
     fit = fit_power_law(df, "bytes")
-    return rounded(spark.createDataFrame(
+    return rounded(small_table(
+        spark,
         [(fit.column, fit.rows, fit.tail_rows, fit.xmin, fit.alpha, fit.distance)],
         "feature string, rows bigint, tail_rows bigint, xmin double, alpha double, distance double"))
 
@@ -341,4 +343,4 @@ def powerlaw_compare(spark, sf):
     fit = fit_power_law(df, "bytes")
     rows = [(r["alternative"], r["ratio"], r["p"], r["rows"]) for r in
             (compare_tails(df, fit, name) for name in ("exponential", "lognormal"))]
-    return spark.createDataFrame(rows, "alternative string, ratio double, p double, rows bigint")
+    return small_table(spark, rows, "alternative string, ratio double, p double, rows bigint")

@@ -13,13 +13,13 @@ from netweave.functions.numeric import (
     coerce_double,
     finite_or_null,
     hurwitz_zeta,
-    inverse_normal,
     log1p_clipped,
+    normal_quantile,
     smoothed_ratio,
 )
 
 __all__ = [
     "binary_label", "clean_infinite", "clip", "coerce_double", "detect_label_rule", "finite_or_null",
-    "flag_indicator", "hurwitz_zeta", "inverse_normal", "log1p_clipped", "map_contains", "map_values",
-    "mix_uniform", "row_hash", "row_words", "smoothed_ratio", "tcp_flag_state", "unit_hash",
+    "flag_indicator", "hurwitz_zeta", "log1p_clipped", "map_contains", "map_values",
+    "mix_uniform", "normal_quantile", "row_hash", "row_words", "smoothed_ratio", "tcp_flag_state", "unit_hash",
 ]

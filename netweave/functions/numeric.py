@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,36 +65,17 @@ _TAIL = (
 )
 
 
-def _rational(x: Column, pair) -> Column:
-    def horner(coefficients):
-        total = F.lit(coefficients[-1])
-        for value in reversed(coefficients[:-1]):
-            total = total * x + F.lit(value)
-        return total
+def _rational(x: np.ndarray, pair) -> np.ndarray:
+    top, bottom = (np.polynomial.polynomial.polyval(x, c) for c in pair)
+    return top / bottom
 
-    return horner(pair[0]) / horner(pair[1])
 
-
-def once(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed a single time however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
-def inverse_normal(p: Column) -> Column:
-    """Standard normal quantile of ``p`` in (0, 1), good to about 1e-16; null outside."""
-    def outer(r):
-        return F.when(r <= 5.0, _rational(r - F.lit(1.6), _MIDDLE)).otherwise(_rational(r - F.lit(5.0), _TAIL))
-
-    def value(p):
-        q = p - F.lit(0.5)
-        tail = F.sqrt(-F.log(F.least(p, F.lit(1.0) - p)))
-        central = once(F.lit(0.180625) - q * q, lambda c: _rational(c, _CENTRAL))
-        return (
-            F.when((p <= 0) | (p >= 1), F.lit(None)).when(F.abs(q) <= 0.425, q * central)
-            .otherwise(F.signum(q) * once(tail, outer))
-        )
-
-    return once(p, value)
+def normal_quantile(p: np.ndarray) -> np.ndarray:
+    """Standard normal quantile of ``p`` in (0, 1), good to about 1e-16."""
+    q = p - 0.5
+    tail = np.sqrt(-np.log(np.minimum(p, 1.0 - p)))
+    outer = np.where(tail <= 5.0, _rational(tail - 1.6, _MIDDLE), _rational(tail - 5.0, _TAIL))
+    return np.where(np.abs(q) <= 0.425, q * _rational(0.180625 - q * q, _CENTRAL), np.sign(q) * outer)
 
 
 def hurwitz_zeta(s: Column, q: Column, terms: int = 12) -> Column:

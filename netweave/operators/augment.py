@@ -86,18 +86,17 @@ def beta_draw(words: Column, alpha: float, stream: str) -> Column:
     """A symmetric Beta(alpha, alpha) draw for alpha below 1, by Jöhnk's rejection method.
 
     For alpha = 0.2 about 95 % of tries are accepted, so sixteen leave nothing to
-    speak of; the last try stands in when all are rejected.
+    speak of; the last try stands in when all are rejected.  Later tries are only
+    computed for rows that rejected the earlier ones.
     """
     shape = F.lit(1.0 / alpha)
-    tries = F.array(*[
-        F.struct(
-            F.pow(mix_uniform(words, f"{stream}:x{i}"), shape).alias("x"),
-            F.pow(mix_uniform(words, f"{stream}:y{i}"), shape).alias("y"),
-        ) for i in range(_TRIES)
-    ])
-    good = F.filter(tries, lambda t: (t["x"] + t["y"] <= 1.0) & (t["x"] + t["y"] > 0.0))
-    chosen = F.coalesce(F.get(good, F.lit(0)), F.get(tries, F.lit(_TRIES - 1)))
-    return F.transform(F.array(chosen), lambda t: F.try_divide(t["x"], t["x"] + t["y"]))[0]
+    shares, last = [], None
+    for i in range(_TRIES):
+        x = F.pow(mix_uniform(words, f"{stream}:x{i}"), shape)
+        y = F.pow(mix_uniform(words, f"{stream}:y{i}"), shape)
+        last = F.try_divide(x, x + y)
+        shares.append(F.when((x + y <= 1.0) & (x + y > 0.0), last))
+    return F.coalesce(*shares, last)
 
 
 def mixup(df: DataFrame, features: Sequence[str], label: str, key: str, alpha: float = 0.2, seed: int = 42,

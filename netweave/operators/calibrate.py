@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netweave.session import materialize
+from netweave.session import materialize, small_table
 
 _STEPS = 100
 _SMALL_DOMAINS = 100_000
@@ -57,12 +57,14 @@ def fit_calibrator(df: DataFrame, score: str, label: str, domain: str, min_rows:
         active = [f for f in fits if not f["done"]]
         if not active:
             break
-        current = spark.createDataFrame(
+        current = small_table(
+            spark,
             [(str(f["domain"]), f["a"], f["b"], f["high"], f["low"]) for f in active], schema)
         sums = _sums(counts, current)
         for f in active:
             _step(f, sums[str(f["domain"])], tolerance)
-    return spark.createDataFrame(
+    return small_table(
+        spark,
         [(str(f["domain"]), f["a"], f["b"], int(f["rows"])) for f in fits], "domain string, a double, b double, rows bigint")
 
 

@@ -7,18 +7,19 @@ when their counted size is small.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.functions.numeric import clip, coerce_double, inverse_normal, log1p_clipped
+from netweave.functions.numeric import clip, coerce_double, log1p_clipped, normal_quantile
 from netweave.operators.ordering import with_row_ids
 from netweave.operators.quantiles import SMALL, quantiles
 from netweave.plans.mapping import column
-from netweave.session import materialize
+from netweave.session import materialize, small_table
 
 SMALL_VOCABULARY = 100_000
 _WIDE = 100  # products beyond this many are built as one array expression
@@ -92,9 +93,9 @@ def fit_encoder(df: DataFrame, cols: Sequence[str], null_token: str = "") -> Enc
         for f in cols:
             known = sorted({r["value"] for r in head if r["feature"] == f} | {null_token})
             rows += [(f, v, i) for i, v in enumerate(known)]
-        vocab = spark.createDataFrame(rows, "feature string, value string, code int")
+        vocab = small_table(spark, rows, "feature string, value string, code int")
         return Encoder(list(cols), vocab, {f: sum(r[0] == f for r in rows) for f in cols}, null_token)
-    tokens = spark.createDataFrame([(f, null_token) for f in cols], "feature string, value string")
+    tokens = small_table(spark, [(f, null_token) for f in cols], "feature string, value string")
     values = values.unionByName(tokens).distinct()
     ranked = with_row_ids(values, ["feature", "value"], name="_rank")
     starts = ranked.groupBy("feature").agg(F.min("_rank").alias("_first"), F.count("*").alias("_n"))
@@ -256,62 +257,36 @@ class QuantileScaler:
     knots: dict[str, list[float]]
     normal: bool = True
 
-    def _tables(self, c: str):
-        """Distinct knots with the positions at which each one starts and ends."""
-        q = self.knots[c]
-        last = len(q) - 1
-        values, start, end = [], [], []
-        for i, v in enumerate(q):
-            if values and values[-1] == v:
-                end[-1] = i / last
-            else:
-                values.append(v), start.append(i / last), end.append(i / last)
-        return values, start, end
-
-    def uniform(self, c: str, v: Column) -> Column:
-        """Position by linear interpolation; a repeated knot sits in its middle."""
-        values, start, end = self._tables(c)
-        if len(values) == 1:
-            return F.when(v < values[0], 0.0).when(v > values[0], 1.0).when(v.isNotNull(), 0.0)
-        knots, starts, ends = _literal_array(values), _literal_array(start), _literal_array(end)
-        last = len(values) - 1
-        steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, math.ceil(math.log2(len(values))))))])
-
-        def halve(acc, step):
-            """Move to the last knot at or below the value; the value is computed once, in ``acc``."""
-            probe = acc["at"] + step
-            fits = (probe <= F.lit(last)) & (F.try_element_at(knots, probe) <= acc["v"])
-            return F.struct(acc["v"].alias("v"), F.when(fits, probe).otherwise(acc["at"]).alias("at"))
-
-        def position(acc):
-            x, at = acc["v"], acc["at"]
-            here, there = F.element_at(knots, at), F.element_at(knots, at + 1)
-            left, right = F.element_at(ends, at), F.element_at(starts, at + 1)
-            inner = F.when(x == here, (F.element_at(starts, at) + left) / F.lit(2.0)).otherwise(
-                left + (x - here) / (there - here) * (right - left))
-            return (
-                F.when(x <= F.lit(values[0]), F.lit(0.0)).when(x >= F.lit(values[-1]), F.lit(1.0))
-                .when(x.isNotNull(), inner)
-            )
-
-        return F.aggregate(steps, F.struct(v.cast("double").alias("v"), F.lit(1).alias("at")), halve, position)
-
     def value(self, c: str, v: Column) -> Column:
+        """A search over a thousand knots per value; vectorised, since nested array
+        functions are interpreted row by row."""
         if c not in self.knots:
             return v
-        u = self.uniform(c, v)
-        if not self.normal:
-            return u
-        # Fixed value: positions are kept this far from 0 and 1.
-        edge = 1e-7
-        return inverse_normal(F.least(F.greatest(u, F.lit(edge)), F.lit(1.0 - edge)))
+        knots, normal = np.array(self.knots[c]), self.normal
+
+        @F.pandas_udf("double")
+        def place(x: pd.Series) -> pd.Series:
+            known = x.notna().to_numpy()
+            u = rank_position(x.to_numpy(dtype=float)[known], knots)
+            out = np.full(len(x), np.nan)
+            # Fixed value: positions are kept this far from 0 and 1.
+            out[known] = normal_quantile(np.clip(u, 1e-7, 1 - 1e-7)) if normal else u
+            return pd.Series(out).where(known, None)
+
+        return place(v.cast("double"))
 
     def apply(self, df: DataFrame) -> DataFrame:
         return df.select(*[self.value(c, column(c)).alias(c) for c in df.columns])
 
 
-def _literal_array(values: Sequence[float]) -> Column:
-    return F.expr("array(" + ",".join(f"{x!r}D" for x in values) + ")")
+def rank_position(x: np.ndarray, knots: np.ndarray) -> np.ndarray:
+    """Position among sorted knots in [0, 1]: straight between two, the middle of equal ones."""
+    last = len(knots) - 1
+    below, upto = np.searchsorted(knots, x, side="left"), np.searchsorted(knots, x, side="right")
+    at = np.clip(upto - 1, 0, last - 1)
+    gap = np.maximum(knots[at + 1] - knots[at], np.finfo(float).tiny)
+    position = np.where(upto > below, (below + upto - 1) / 2, at + (x - knots[at]) / gap) / last
+    return np.where(x <= knots[0], 0.0, np.where(x >= knots[-1], 1.0, position))
 
 
 def fit_quantile_scaler(df: DataFrame, cols: Sequence[str], n_quantiles: int = 1000, normal: bool = True,
@@ -548,7 +523,7 @@ class FlowPreprocessorModel:
             else:
                 rows += [(stage, c, "centre", 0, v) for c, v in s.centre.items()]
                 rows += [(stage, c, "width", 0, v) for c, v in s.width.items()]
-        return spark.createDataFrame(rows, "stage string, feature string, param string, position int, value double")
+        return small_table(spark, rows, "stage string, feature string, param string, position int, value double")
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Write params, vocabulary and options under ``path``; existing state is an error."""
@@ -557,7 +532,7 @@ class FlowPreprocessorModel:
 
         self.params(spark).coalesce(1).write.mode("errorifexists").parquet(f"{path}/params")
         options = json.dumps(asdict(self.options))
-        spark.createDataFrame([(options,)], "options string").coalesce(1).write.mode("errorifexists").parquet(f"{path}/options")
+        small_table(spark, [(options,)], "options string").coalesce(1).write.mode("errorifexists").parquet(f"{path}/options")
         if self.encoder is not None:
             self.encoder.vocab.write.mode("errorifexists").parquet(f"{path}/vocab")
 

@@ -33,7 +33,7 @@ from netweave.operators.weights import (
     weight_map,
     with_weight,
 )
-from netweave.session import materialize
+from netweave.session import materialize, small_table
 
 FEATURES = "features"
 
@@ -218,7 +218,8 @@ def importances(model: Model, names: Sequence[str]) -> list[tuple[str, float, fl
 
 
 def importance_table(df: DataFrame, model: Model, names: Sequence[str]) -> DataFrame:
-    return df.sparkSession.createDataFrame(
+    return small_table(
+        df.sparkSession,
         importances(model, names), "feature string, importance double, weight double")
 
 
@@ -285,6 +286,7 @@ def regularization_compare(train: DataFrame, test: DataFrame, trees: int = 100,
             m = evaluate(score(trees_model, table), "label", "score").first()
             rows.append((name, part, l1, l2, c["depth"], m["accuracy"], m["precision"], m["recall"], m["f1"],
                          m["auc"], used, nonzero))
-    return train.sparkSession.createDataFrame(
+    return small_table(
+        train.sparkSession,
         rows, "config string, part string, l1 double, l2 double, depth int, accuracy double, precision double, "
               "recall double, f1 double, auc double, used_features int, nonzero int")

@@ -2,7 +2,7 @@
 
 Prefix sums split the order into value ranges taken from a sketch, add up each
 range, and let every range start from the total of those before it.  Row numbers
-do the same over the partitions of a range-partitioned, written table.
+do the same, or fall back to the partitions of a range-partitioned, written table.
 """
 
 from __future__ import annotations
@@ -58,13 +58,63 @@ def prefix_sums(df: DataFrame, order: str, sums: dict[str, str], by: Sequence[st
     )
 
 
-def with_row_ids(df: DataFrame, order_by: Sequence[str | Column], start: int = 0, name: str = "id") -> DataFrame:
+_ORDERED = ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
+
+
+def with_row_ids(df: DataFrame, order_by: Sequence[str | Column], start: int = 0, name: str = "id",
+                 rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Consecutive ids along ``order_by`` for any number of rows.
 
-    The range-partitioned rows are written once with their partition and position,
-    so that the counts and the final ids refer to the same placement.
+    Where the first order column is a number or a time whose values spread, its
+    ranges are numbered side by side and offset by the rows before them.  Any other
+    order goes through a range-partitioned table.  ``order_by`` must order the rows
+    totally for the ids to be repeatable.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    first = order_by[0]
+    keep = [F.col(f"`{c}`") for c in df.columns if c != name]
+    if isinstance(first, str) and dict(df.dtypes)[first] in _ORDERED:
+        ranged = _even_ranges(df, first, rows_per_range)
+        if ranged is not None:
+            rows, before = ranged
+            number = F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) + before - 1
+            return rows.select((number + F.lit(start)).cast("long").alias(name), *keep)
+    return _ids_by_table(df, keys, start, name, keep)
+
+
+def _even_ranges(df: DataFrame, order: str, rows_per_range: int) -> tuple[DataFrame, Column] | None:
+    """Rows with their ``_range``, and the rows before each range; None if some range is too full."""
+    kind = dict(df.dtypes)[order]
+    value = F.col(order)
+    if kind in ("date", "timestamp_ntz"):
+        # Wall-clock days stay in order in every time zone.
+        value = F.unix_date(value.cast("date"))
+    elif kind == "timestamp":
+        value = F.unix_micros(value)
+    valued = df.withColumn("_v", value.cast("double"))
+    n = df.count()
+    pieces = min(MAX_RANGES, -(-n // rows_per_range))
+    if pieces <= 1:
+        return df.withColumn("_range", F.lit(0)), F.lit(0)
+    probs = [i / pieces for i in range(1, pieces)]
+    cuts = valued.agg(F.percentile_approx("_v", probs, 10 * pieces).alias("q")).first()["q"]
+    splits = [float("-inf"), *sorted(set(float(c) for c in cuts)), float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="_v", outputCol="_b", handleInvalid="keep").transform(valued)
+    # Nulls sort first and NaN last.
+    ranged = cut.withColumn("_range", F.when(F.col("_v").isNull(), F.lit(-1)).otherwise(F.col("_b")).cast("int"))
+    counts = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect()}
+    if max(counts.values()) > max(8 * n // pieces, 2 * rows_per_range):
+        return None
+    total, offsets = 0, []
+    for r in sorted(counts):
+        offsets.append(f"{r}, {total}L")
+        total += counts[r]
+    return ranged, F.element_at(F.expr("map(" + ",".join(offsets) + ")"), F.col("_range"))
+
+
+def _ids_by_table(df: DataFrame, keys: Sequence[Column], start: int, name: str, keep: Sequence[Column]) -> DataFrame:
+    """Ids from a range-partitioned, sorted table, written once with each row's partition and
+    position, so that the counts and the final ids refer to the same placement."""
     placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     position = F.monotonically_increasing_id()
     frozen = materialize(
@@ -75,8 +125,7 @@ def with_row_ids(df: DataFrame, order_by: Sequence[str | Column], start: int = 0
     per_slot = frozen.groupBy("_slot").agg(F.count("*").alias("_n"))
     w = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slot.select("_slot", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_from"))
-    keep = [c for c in df.columns if c != name]
     return (
         frozen.join(F.broadcast(offsets), "_slot")
-        .select((F.col("_from") + F.col("_pos") + F.lit(start)).cast("long").alias(name), *[F.col(f"`{c}`") for c in keep])
+        .select((F.col("_from") + F.col("_pos") + F.lit(start)).cast("long").alias(name), *keep)
     )

@@ -22,7 +22,8 @@ from netweave.operators.ordering import prefix_sums
 from netweave.session import materialize
 
 _GRID = 96
-_BATCH = 32
+_MAX_GRID = 6144
+_PAIRS = 4_000_000  # (cut-off, value) pairs measured by one pass
 
 
 @dataclass(frozen=True)
@@ -48,17 +49,21 @@ def fit_power_law(df: DataFrame, col: str, min_n: int = 50) -> PowerLawFit | Non
     alpha = F.lit(1.0) + F.col("tail") / (F.col("tail_log") - F.col("tail") * F.log(F.col("x") - F.lit(0.5)))
     cuts = values.where((F.col("x") < size["top"]) & (F.col("x") > 0.5)).select(
         F.col("x").alias("xmin"), "tail", alpha.alias("alpha"))
-    cuts = materialize(cuts.where(F.col("alpha") > 1.0), "cut-offs")
-    points = _GRID
-    while True:
-        survivors = _bounded(cuts, _grid(values, size["v"], points), size["top"])
-        # The winner always survives; when many do, a finer grid separates them.
-        if len(survivors) <= 8 * _BATCH or points >= size["v"]:
-            break
-        points *= 4
+    cuts = cuts.where(F.col("alpha") > 1.0).withColumn("z", hurwitz_zeta(F.col("alpha"), F.col("xmin")))
+    batch = max(1, _PAIRS // size["v"])
+    if batch >= size["v"]:
+        survivors = cuts.collect()
+    else:
+        cuts, points = materialize(cuts, "cut-offs"), _GRID
+        while True:
+            survivors = _bounded(cuts, _grid(values, size["v"], points), size["top"])
+            # The winner always survives; when many do, a finer grid separates them.
+            if len(survivors) <= 4 * batch or points >= _MAX_GRID:
+                break
+            points *= 4
     best = None
-    for start in range(0, len(survivors), _BATCH):
-        for xmin, tail, a, d in _measure(values, survivors[start:start + _BATCH]):
+    for start in range(0, len(survivors), batch):
+        for xmin, tail, a, d in _measure(values, survivors[start:start + batch]):
             # Equal distances go to the smaller cut-off.
             if best is None or (d, xmin) < (best[3], best[0]):
                 best = (xmin, tail, a, d)
@@ -89,26 +94,23 @@ def _bounded(cuts: DataFrame, grid, top: float) -> list:
         return F.array(F.struct(F.lit(v).alias("e"), F.lit(v).alias("t")))
 
     walk = F.concat(end(1.0), F.transform(beyond, at))
-    pairs = cuts.withColumn("z", hurwitz_zeta(F.col("alpha"), F.col("xmin"))).withColumn("w", walk)
+    pairs = cuts.withColumn("w", walk)
     low = F.array_max(F.transform("w", lambda p: F.abs(p["e"] - p["t"])))
     # Past the last grid value both functions lie between 0 and their value there.
     following = F.concat(F.slice("w", 2, F.size("w")), end(0.0))
     high = F.array_max(F.zip_with("w", following, lambda p, q: F.greatest(p["e"] - q["t"], p["t"] - q["e"])))
-    bounds = materialize(pairs.select("xmin", "tail", "alpha", low.alias("low"), F.greatest(low, high).alias("high")),
+    bounds = materialize(pairs.select("xmin", "tail", "alpha", "z", low.alias("low"), F.greatest(low, high).alias("high")),
                          "distance-bounds")
     limit = bounds.agg(F.min("high").alias("h")).first()["h"]
-    return bounds.where(F.col("low") <= limit + 1e-12).select("xmin", "tail", "alpha").orderBy("low", "xmin").collect()
+    return bounds.where(F.col("low") <= limit + 1e-12).orderBy("low", "xmin").collect()
 
 
 def _measure(values: DataFrame, cuts) -> list[tuple[float, int, float, float]]:
-    """Exact distances of a few cut-offs in one pass over the distinct values."""
-    spark = values.sparkSession
-    table = spark.createDataFrame(
-        [(i, c["xmin"], float(c["tail"]), c["alpha"]) for i, c in enumerate(cuts)], "i int, xmin double, t double, a double")
-    table = table.select(F.struct("i", "xmin", "t", "a", hurwitz_zeta(F.col("a"), F.col("xmin")).alias("z")).alias("c"))
-    params = [r["c"] for r in table.collect()]
-    literal = F.array(*[F.struct(*[F.lit(r[f]).alias(f) for f in ("i", "xmin", "t", "a", "z")]) for r in params])
-    tall = values.withColumn("c", F.explode(literal)).where(F.col("x") >= F.col("c.xmin"))
+    """Exact distances of a bounded number of cut-offs in one pass over the distinct values."""
+    literal = F.expr("array(" + ",".join(
+        f"named_struct('i', {i}, 'xmin', {c['xmin']!r}D, 't', {float(c['tail'])!r}D, 'a', {c['alpha']!r}D, 'z', {c['z']!r}D)"
+        for i, c in enumerate(cuts)) + ")")
+    tall = values.withColumn("c", F.explode(F.filter(literal, lambda c: c["xmin"] <= F.col("x"))))
     gap = F.abs(F.col("tail") / F.col("c.t") - hurwitz_zeta(F.col("c.a"), F.col("x")) / F.col("c.z"))
     found = {r["i"]: r["d"] for r in tall.groupBy(F.col("c.i").alias("i")).agg(F.max(gap).alias("d")).collect()}
     return [(c["xmin"], c["tail"], c["alpha"], found[i]) for i, c in enumerate(cuts)]

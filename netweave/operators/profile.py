@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from netweave.functions.labels import map_values
 from netweave.operators.quantiles import SMALL, quantiles
 from netweave.plans.mapping import column
+from netweave.session import small_table
 
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -87,7 +88,7 @@ def histogram(df: DataFrame, col: str, bins: int = 30, by: Sequence[str] = ()) -
     v = column(col).cast("double")
     row = df.agg(F.min(v).alias("low"), F.max(v).alias("high"), F.count(v).alias("n")).first()
     if not row["n"]:
-        return df.sparkSession.createDataFrame([], "bin int, low double, high double, n bigint, density double")
+        return small_table(df.sparkSession, [], "bin int, low double, high double, n bigint, density double")
     low, n = row["low"], row["n"]
     width = (row["high"] - low) / bins or 1.0
     bin_ = F.least(F.floor((v - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
@@ -125,7 +126,7 @@ def attack_family(df: DataFrame, label: str, families: Mapping[str, str], other:
 
 def label_lookup(df: DataFrame, label: str, mapping: Mapping[str, str], default: str, name: str) -> DataFrame:
     """The same lookup as a join to the mapping table, whose size is the mapping's."""
-    table = df.sparkSession.createDataFrame(list(mapping.items()), ["_key", name])
+    table = small_table(df.sparkSession, list(mapping.items()), f"_key string, {name} string")
     joined = df.join(F.broadcast(table), df[label] == table["_key"], "left").drop("_key")
     return joined.withColumn(name, F.coalesce(F.col(name), F.lit(default)))
 
@@ -222,7 +223,8 @@ def label_consistency(df: DataFrame, label: str, category: str, normal: str = "N
 def verify(df: DataFrame, label: str, category: str, normal: str = "Normal") -> DataFrame:
     """Conversion report as (section, item, value, percent) rows."""
     types = [t for _, t in df.dtypes]
-    frame = df.sparkSession.createDataFrame(
+    frame = small_table(
+        df.sparkSession,
         [("shape", "columns", float(len(types))),
          ("types", "numeric", float(len(numeric_columns(df)))),
          ("types", "text", float(len(text_columns(df))))],

@@ -1,7 +1,7 @@
 """Exact quantiles without gathering a column in one place.
 
 Small columns use the built-in ``percentile``, whose buffer maps every distinct
-value to its count.  Beyond ``small`` rows that buffer is no longer bounded, so
+value to its count.  Beyond ``small`` cells that buffer is no longer bounded, so
 the order statistics are narrowed down instead: a sketch proposes a bracket for
 each rank, then histogram passes shrink it until one value, or few enough rows
 to fetch, remain.  Each pass returns at most (targets x bins) rows.
@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from netweave.plans.mapping import column
 
-SMALL = 2_000_000
+SMALL = 1_000_000  # cells (rows x columns) whose distinct values may share one buffer
 _BINS = 256
 _FETCH = 10_000
+_TARGETS = 60
 _SKETCH = 10_000
 
 
@@ -46,8 +47,8 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], exact:
         row = df.agg(*[F.percentile_approx(column(c), probs, _SKETCH).alias(f"q{i}") for i, c in enumerate(cols)]).first()
         return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(cols)}
     counts = df.agg(*[F.count(column(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    if max(counts) <= small:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
+    if sum(counts) <= small:
+        wanted = F.expr("array(" + ",".join(f"{float(p)!r}D" for p in probs) + ")")
         row = df.agg(*[F.percentile(column(c), wanted).alias(f"q{i}") for i, c in enumerate(cols)]).first()
         return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(cols)}
     sizes = dict(zip(cols, counts))
@@ -65,11 +66,11 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], exact:
 
 def _order_statistics(df: DataFrame, wanted, sizes) -> dict[tuple[str, int], float]:
     targets = _brackets(df, wanted, sizes)
-    while True:
-        active = [t for t in targets if t.value is None]
-        if not active:
-            return {(t.col, t.rank): t.value for t in targets}
-        _narrow(df, active)
+    while active := [t for t in targets if t.value is None]:
+        # Bounded literals per job, whatever the number of columns.
+        for start in range(0, len(active), _TARGETS):
+            _narrow(df, active[start:start + _TARGETS])
+    return {(t.col, t.rank): t.value for t in targets}
 
 
 def _brackets(df: DataFrame, wanted, sizes) -> list[_Target]:
@@ -121,7 +122,21 @@ def _narrow(df: DataFrame, active: list[_Target]) -> None:
             t.low, t.high = hit["low"], hit["high"]
             if hit["n"] <= _FETCH:
                 fetch.append((t, left))
-    for t, left in fetch:
-        v = column(t.col).cast("double")
-        rows = df.where(v.between(t.low, t.high)).select(v.alias("v")).orderBy("v").collect()
-        t.value = rows[left]["v"]
+    _fetch(df, fetch)
+
+
+def _fetch(df: DataFrame, wanted: list[tuple[_Target, int]]) -> None:
+    """Finish the targets whose bracket holds few rows, all in one job."""
+    if not wanted:
+        return
+    items = [
+        F.when(column(t.col).cast("double").between(t.low, t.high),
+               F.struct(F.lit(i).alias("t"), column(t.col).cast("double").alias("v")))
+        for i, (t, _) in enumerate(wanted)
+    ]
+    rows = df.select(F.explode(F.array_compact(F.array(*items))).alias("x")).select("x.*").collect()
+    values: dict[int, list[float]] = {}
+    for r in rows:
+        values.setdefault(r["t"], []).append(r["v"])
+    for i, (t, left) in enumerate(wanted):
+        t.value = sorted(values[i])[left]

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def local_session(app: str = "netweave", cores: str = "*", shuffle_partitions: int = 8,
@@ -60,3 +64,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, rows: Sequence[Sequence], ddl: str) -> DataFrame:
+    """A driver-side table as a local relation, whose size the planner knows."""
+    schema = StructType.fromDDL(ddl)
+    columns = list(zip(*rows)) if rows else [[] for _ in schema]
+    table = pa.table({
+        f.name: pa.array(list(values), to_arrow_type(f.dataType)) for f, values in zip(schema, columns)
+    })
+    return spark.createDataFrame(table, schema)
