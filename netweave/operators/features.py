@@ -7,11 +7,16 @@ when their counted size is small.
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -417,11 +422,27 @@ class FlowPreprocessor:
             selected = select_by_corr(stage(), numeric, self.label, self.select_threshold, self.select_top)
         model.selected = selected
         if self.standardize:
-            flat = model.assemble(df)
-            model.final = fit_scaler(flat, model.feature_names(), "standard")
+            names = model.feature_names()
+            model.final = (
+                _fit_packed(model.packed(df), names) if model.is_wide() else fit_scaler(model.assemble(df), names, "standard")
+            )
         return model
 
 
+def _fit_packed(rows: DataFrame, names: Sequence[str]) -> Scaler:
+    """Standard scaling of an array column, all positions in one vector aggregate."""
+    stats = rows.select(
+        Summarizer.metrics("mean", "variance", "min", "max", "count").summary(array_to_vector("_x")).alias("s")).first()["s"]
+    n = stats["count"]
+    shrink = (n - 1) / n if n > 1 else 0.0
+    centre, width = {}, {}
+    for i, name in enumerate(names):
+        flat = stats["min"][i] == stats["max"][i]
+        centre[name] = float(stats["mean"][i])
+        width[name] = 1.0 if flat else math.sqrt(float(stats["variance"][i]) * shrink)
+    return Scaler("standard", centre, width)
+
+
 @dataclass
 class FlowPreprocessorModel:
     """Fitted chain: ``transform`` is one projection (and a lookup per text column)."""
@@ -454,11 +475,15 @@ class FlowPreprocessorModel:
     def feature_names(self) -> list[str]:
         return [*self.selected, *[f"{a}_{b}_inter" for a, b in self.pair_list()], *self.options.text]
 
-    def assemble(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """Features before the final standardisation.
+    def is_wide(self) -> bool:
+        """Whether the products are too many to be generated as separate expressions."""
+        return len(self.pair_list()) > _WIDE
+
+    def _scaled(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """The scaled columns as ``_s_*`` and the codes, before any product.
 
-        Two projections: first the scaled columns, then their products, so that no
-        column is computed once per product it takes part in.
+        Products come in a second projection, so that no column is computed once per
+        product it takes part in.
         """
         if self.encoder is not None:
             df = self.encoder.apply(df, suffix="_code")
@@ -466,8 +491,31 @@ class FlowPreprocessorModel:
         have = set(df.columns)
         scaled = [F.coalesce(self.step(c, df), fill).alias(f"_s_{c}") if c in have else fill.alias(f"_s_{c}")
                   for c in self.selected]
-        codes = [F.col(f"{c}_code") for c in self.options.text]
-        base = df.select(*keep, *scaled, *codes)
+        return df.select(*keep, *scaled, *[F.col(f"{c}_code") for c in self.options.text])
+
+    def packed(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """``keep`` and all features before the final standardisation as one array ``_x``."""
+        names = [f"_s_{c}" for c in self.selected]
+        parts = [F.array(*[column(n) for n in names]), packed_products(names, len(self.pair_list()))]
+        if self.options.text:
+            parts.append(F.array(*[F.col(f"{c}_code").cast("double") for c in self.options.text]))
+        return self._scaled(df, keep).select(*keep, F.concat(*parts).alias("_x"))
+
+    def _packed_final(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        rows = self.packed(df, keep)
+        if self.final is None:
+            return rows
+        names = self.feature_names()
+
+        def literal(values):
+            return F.expr("array(" + ",".join(f"{float(values[n])!r}D" for n in names) + ")")
+
+        centred = F.zip_with("_x", literal(self.final.centre), lambda v, m: v - m)
+        return rows.select(*keep, F.zip_with(centred, literal(self.final.width), lambda v, w: v / w).alias("_x"))
+
+    def assemble(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """Features before the final standardisation, one column each."""
+        base = self._scaled(df, keep)
         return base.select(
             *keep,
             *[F.col(f"`_s_{c}`").alias(c) for c in self.selected],
@@ -477,8 +525,6 @@ class FlowPreprocessorModel:
 
     def refit_bounds(self, df: DataFrame) -> FlowPreprocessorModel:
         """The same chain with clip limits and skew shifts taken from another table."""
-        from dataclasses import replace
-
         other = replace(self, bounds=[], skew=None, scalers=[])
         numeric = [c for c in self.numeric if c in df.columns]
         methods = [self.options.clip] * bool(self.options.clip) + ["percentile"] * self.options.percentile_clip
@@ -491,6 +537,9 @@ class FlowPreprocessorModel:
         return other
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        if self.is_wide():
+            rows = self._packed_final(df, keep)
+            return rows.select(*keep, *[F.col("_x")[i].alias(n) for i, n in enumerate(self.feature_names())])
         flat = self.assemble(df, keep)
         if self.final is None:
             return flat
@@ -498,8 +547,8 @@ class FlowPreprocessorModel:
 
     def vector(self, df: DataFrame, keep: Sequence[str] = (), out: str = "features") -> DataFrame:
         """``keep`` plus one feature vector."""
-        from pyspark.ml.feature import VectorAssembler
-
+        if self.is_wide():
+            return self._packed_final(df, keep).select(*keep, array_to_vector("_x").alias(out))
         flat = self.transform(df, keep)
         safe = flat.toDF(*keep, *[f"f{i}" for i in range(len(flat.columns) - len(keep))])
         inputs = [c for c in safe.columns if c not in keep]
@@ -527,9 +576,6 @@ class FlowPreprocessorModel:
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Write params, vocabulary and options under ``path``; existing state is an error."""
-        from dataclasses import asdict
-        import json
-
         self.params(spark).coalesce(1).write.mode("errorifexists").parquet(f"{path}/params")
         options = json.dumps(asdict(self.options))
         small_table(spark, [(options,)], "options string").coalesce(1).write.mode("errorifexists").parquet(f"{path}/options")
@@ -538,8 +584,6 @@ class FlowPreprocessorModel:
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> FlowPreprocessorModel:
-        import json
-
         options = FlowPreprocessor(**json.loads(spark.read.parquet(f"{path}/options").first()["options"]))
         rows = spark.read.parquet(f"{path}/params").collect()
         by_stage: dict[str, list] = {}

@@ -19,17 +19,23 @@ ROWS_PER_RANGE = 200_000
 MAX_RANGES = 4096
 
 
+def _cut(df: DataFrame, value: str, pieces: int, out: str) -> DataFrame:
+    """Number the rows by value range: nulls first (-1), NaN last, as sorting places them."""
+    probs = [i / pieces for i in range(1, pieces)]
+    sketch = df.where(~F.isnan(value)).agg(F.percentile_approx(value, probs, 10 * pieces).alias("q")).first()["q"]
+    splits = [float("-inf"), *sorted(set(float(c) for c in sketch or [])), float("inf")]
+    cut = Bucketizer(splits=splits, inputCol=value, outputCol="_b", handleInvalid="keep").transform(df)
+    number = F.when(F.col(value).isNull(), F.lit(-1)).otherwise(F.col("_b")).cast("int")
+    return cut.withColumn(out, number).drop("_b")
+
+
 def _range_index(df: DataFrame, order: str, out: str, descending: bool, rows_per_range: int) -> DataFrame | None:
     """``df`` with a range number that grows along the order; None if one range suffices."""
-    n = df.count()
-    pieces = min(MAX_RANGES, -(-n // rows_per_range))
+    pieces = min(MAX_RANGES, -(-df.count() // rows_per_range))
     if pieces <= 1:
         return None
-    probs = [i / pieces for i in range(1, pieces)]
-    cuts = df.agg(F.percentile_approx(F.col(order), probs, 10 * pieces).alias("q")).first()["q"]
-    splits = [float("-inf"), *sorted(set(float(c) for c in cuts)), float("inf")]
-    numbered = Bucketizer(splits=splits, inputCol=order, outputCol=out).transform(df)
-    return numbered.withColumn(out, -F.col(out) if descending else F.col(out))
+    numbered = _cut(df, order, pieces, out)
+    return numbered.withColumn(out, -F.col(out)) if descending else numbered
 
 
 def prefix_sums(df: DataFrame, order: str, sums: dict[str, str], by: Sequence[str] = (), descending: bool = False,
@@ -96,12 +102,7 @@ def _even_ranges(df: DataFrame, order: str, rows_per_range: int) -> tuple[DataFr
     pieces = min(MAX_RANGES, -(-n // rows_per_range))
     if pieces <= 1:
         return df.withColumn("_range", F.lit(0)), F.lit(0)
-    probs = [i / pieces for i in range(1, pieces)]
-    cuts = valued.agg(F.percentile_approx("_v", probs, 10 * pieces).alias("q")).first()["q"]
-    splits = [float("-inf"), *sorted(set(float(c) for c in cuts)), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="_v", outputCol="_b", handleInvalid="keep").transform(valued)
-    # Nulls sort first and NaN last.
-    ranged = cut.withColumn("_range", F.when(F.col("_v").isNull(), F.lit(-1)).otherwise(F.col("_b")).cast("int"))
+    ranged = _cut(valued, "_v", pieces, "_range")
     counts = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect()}
     if max(counts.values()) > max(8 * n // pieces, 2 * rows_per_range):
         return None

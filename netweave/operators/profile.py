@@ -134,8 +134,7 @@ def label_lookup(df: DataFrame, label: str, mapping: Mapping[str, str], default:
 def fallback_rows(df: DataFrame, label: str, source: str, first: str = "test") -> DataFrame:
     """Rows of the first source, and of the others only for classes it lacks."""
     present = df.where(F.col(source) == first).select(label).distinct()
-    # One row per class: joined by value, so null classes are handled apart.
-    others = df.where(F.col(source) != first).join(F.broadcast(present), label, "left_anti")
+    others = df.where(F.col(source) != first).join(present, label, "left_anti")
     return df.where(F.col(source) == first).unionByName(others)
 
 
