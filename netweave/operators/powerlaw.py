@@ -134,12 +134,9 @@ def fit_exponential(tail: DataFrame, xmin: float) -> float:
     return math.log1p(1.0 / (mean - xmin)) if mean > xmin else float("inf")
 
 
-_erfc = np.frompyfunc(math.erfc, 1, 1)
-
-
 def _upper(z: np.ndarray) -> np.ndarray:
-    """Upper tail of the standard normal."""
-    return 0.5 * _erfc(z / math.sqrt(2.0)).astype(float)
+    """Upper tail of the standard normal; evaluated once per distinct value."""
+    return 0.5 * np.array([math.erfc(v) for v in z / math.sqrt(2.0)])
 
 
 def _lognormal_log(x: np.ndarray, xmin: float, mu: float, sigma: float) -> np.ndarray:
