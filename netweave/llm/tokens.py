@@ -158,7 +158,9 @@ def long_counts(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = O
     """(``digest``, ``n_tokens``) of the documents (``digest``, text), by overlap resynchronisation."""
     done = None
     while True:
-        counts = materialize(_spliced(_encoded(_pieces(docs, chunk, overlap), path)), "token-counts")
+        # Written, since a seam reads the chunks on both its sides.
+        encoded = materialize(_encoded(_pieces(docs, chunk, overlap), path), "token-pieces")
+        counts = materialize(_spliced(encoded), "token-counts")
         good = counts.where(~F.col("failed")).select("digest", "n_tokens")
         done = good if done is None else done.unionByName(good)
         failed = counts.where("failed").select("digest")
