@@ -32,11 +32,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the least id, null after all others."""
-    frozen = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    one = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+    frozen = materialize(docs.withColumn("_dedup_row", F.monotonically_increasing_id()), "documents")
+    one = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_dedup_row").alias("row"))
     classes = near_duplicates(frozen.select(one.alias("_one"), "text"), key="_one")
-    least = classes.where(F.col("_one") == F.col("component_id")).select(F.col("_one.row").alias("_row"))
-    return frozen.join(least, "_row", "left_semi").select(*[field(docs, c) for c in docs.columns])
+    least = classes.where(F.col("_one") == F.col("component_id")).select(F.col("_one.row").alias("_dedup_row"))
+    return frozen.join(least, "_dedup_row", "left_semi").select(*[field(docs, c) for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

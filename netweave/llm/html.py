@@ -1,7 +1,7 @@
 """Main text of web pages, by container paths that the pages of a host agree on.
 
 Each page is read into containers and blocks of text.  A container's path is the chain of
-tags and classes above it, numbers made general.  A page scores the containers that hold
+tags, names and classes above it, numbers made general.  A page scores the containers that hold
 most of its text outside links and outside parts that are never main text (menus, adverts,
 comments and so on, known by tag, role or class), and votes for the deepest that holds
 nearly all of it.  Spark adds up the votes of a host, and every page is then extracted from
@@ -119,7 +119,8 @@ def read_page(source: str) -> Page:
                 here = stack[-1][1]
                 if tag in CONTAINERS and not outside and len(stack) <= DEPTH:
                     classes = sorted(_NUMBER.sub("0", attributes.get("class", "").lower()).split())
-                    page.paths.append("/".join([page.paths[here], ".".join([tag, *classes])]))
+                    name = "".join(f"#{x}" for x in _NUMBER.sub("0", attributes.get("id", "").lower()).split()[:1])
+                    page.paths.append("/".join([page.paths[here], ".".join([tag + name, *classes])]))
                     page.parents.append(here)
                     here = len(page.parents) - 1
                 stack.append((tag, here, outside))

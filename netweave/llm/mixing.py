@@ -30,7 +30,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 LIMIT = 2.0
 #: Documents in a leaf and children of a node, on average at most.
-LEAF = 20_000
+LEAF = 2_000
 FAN = 32
 #: Smallest open documents that a node, and a root, does not settle by pairs.
 HELD, HELD_ROOT = 64, 256
@@ -209,7 +209,8 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source"
     """
     if copy in docs.columns:
         raise ValueError(f"{copy} is a column of the documents")
-    frozen = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    mixed = mix_sources(frozen, "_row", source, text, **options).select("_row", "copies").where("copies > 0")
-    joined = frozen.join(mixed, "_row").withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    frozen = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "documents")
+    mixed = mix_sources(frozen, "_mix_row", source, text, **options).where("copies > 0").select(
+        "_mix_row", F.col("copies").alias("_mix_copies"))
+    joined = frozen.join(mixed, "_mix_row").withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), "_mix_copies")))
     return joined.select(*[field(joined, c) for c in docs.columns], copy)
