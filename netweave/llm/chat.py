@@ -3,8 +3,9 @@
 Calls and results meet in a hash join on conversation and identifier.  A call may refer to
 others by ``{"$ref": "<id>"}`` anywhere in its arguments, and then comes after them.  Where
 all references point backwards the turns already are such an order; other conversations are
-peeled level by level.  Arguments are checked against the schema of their tool, and every
-record becomes canonical JSON: sorted keys, no spaces, nothing escaped that need not be.
+levelled in rounds that settle calls without open references and shorten chains by half.
+Arguments are checked against the schema of their tool, and every record becomes canonical
+JSON: sorted keys, no spaces, nothing escaped that need not be.
 """
 
 from __future__ import annotations
@@ -130,32 +131,52 @@ def _levels(calls: DataFrame) -> DataFrame:
     """(``conv``, ``call_id``, ``level``): null for calls on or behind a circle of references.
 
     Where all references of a conversation point to earlier turns, every level is 0 and the
-    turns are the order.  Other conversations take as many rounds as their longest chain.
+    turns are the order.  Elsewhere the level is the longest chain of references below a call.
+    A round settles the calls whose references are all settled, and lets a reference to a call
+    with one open reference of its own point to that one's target, with the steps added up: a
+    chain takes as many rounds as its length has binary digits.  More steps than there are
+    calls can only lead around a circle.
     """
+    name, end = ["conv", "call_id"], ["conv", "ref"]
     turns = calls.select("conv", F.col("call_id").alias("ref"), F.col("turn").alias("_turn"))
     needs = materialize(
-        calls.select("conv", "call_id", "turn", F.explode(F.array_distinct("refs")).alias("ref"))
-        .join(turns, ["conv", "ref"]).select("conv", "call_id", "ref", (F.col("_turn") < F.col("turn")).alias("back")),
-        "references")
+        calls.select(*name, "turn", F.explode(F.array_distinct("refs")).alias("ref")).join(turns, end)
+        .select(*name, "ref", (F.col("_turn") < F.col("turn")).alias("back")), "references")
     hard = needs.where("not back").select("conv").distinct()
-    open_calls = calls.join(hard, "conv", "left_semi").select("conv", "call_id")
-    done = calls.join(hard, "conv", "left_anti").select("conv", "call_id", F.lit(0).alias("level"))
-    needs = needs.join(hard, "conv", "left_semi").select("conv", "call_id", "ref")
-    level = 0
-    while True:
-        blocked = needs.select("conv", "call_id").distinct()
-        free = materialize(open_calls.join(blocked, ["conv", "call_id"], "left_anti"), "free-calls")
-        if free.isEmpty():
-            return done.unionByName(open_calls.select("conv", "call_id", F.lit(None).cast("int").alias("level")))
-        done = done.unionByName(free.select("conv", "call_id", F.lit(level).alias("level")))
-        open_calls = materialize(open_calls.join(free, ["conv", "call_id"], "left_anti"), "open-calls")
-        needs = materialize(needs.join(free.withColumnRenamed("call_id", "ref"), ["conv", "ref"], "left_anti"), "open-references")
-        level += 1
+    easy = calls.join(hard, "conv", "left_anti").select(*name, F.lit(0).cast("long").alias("level"))
+    nodes = materialize(calls.join(hard, "conv", "left_semi").select(
+        *name, F.lit(0).cast("long").alias("base"), F.lit(False).alias("lost")), "levels")
+    edges = materialize(needs.join(hard, "conv", "left_semi").select(*name, "ref", F.lit(1).cast("long").alias("steps")),
+                        "open-references")
+    bound = nodes.count()
+    while not edges.isEmpty():
+        out = edges.groupBy(*name).agg(F.count("*").alias("degree"), F.max("ref").alias("next"), F.max("steps").alias("far"))
+        lost = F.col("lost") | F.coalesce(F.col("far") > bound, F.lit(False))
+        state = materialize(nodes.join(out, name, "left").select(
+            *name, "base", F.coalesce("degree", F.lit(0)).alias("degree"), "next", "far", lost.alias("lost")), "levels")
+        target = state.where("degree <= 1 and not lost").select(
+            "conv", F.col("call_id").alias("ref"), F.col("base").alias("_base"), F.col("degree").alias("_degree"),
+            F.col("next").alias("_next"), F.col("far").alias("_far"))
+        # A reference to a call on a circle, or to one with several open references, stays as it is.
+        moved = materialize(edges.join(state.where("lost").select(*name), name, "left_anti").join(target, end, "left").select(
+            *name, (F.col("_base") + F.col("steps")).alias("base"), F.col("_degree").isNotNull().alias("_moved"),
+            F.when(F.col("_degree").isNull(), F.col("ref")).otherwise(F.col("_next")).alias("ref"),
+            (F.col("steps") + F.coalesce("_far", F.lit(0))).alias("steps")), "moved-references")
+        raised = moved.groupBy(*name).agg(F.max("base").alias("_raised"))
+        nodes = materialize(state.join(raised, name, "left").select(
+            *name, F.greatest("base", "_raised").alias("base"), "lost"), "levels")
+        edges = materialize(moved.where(F.col("ref").isNotNull()).groupBy(*name, "ref").agg(F.max("steps").alias("steps")),
+                            "open-references")
+        if moved.where("_moved").isEmpty():
+            break  # what is left waits for a circle, or is one of several references each
+    waiting = edges.select(*name, F.lit(True).alias("_waits")).distinct()
+    known = F.when(~F.col("lost") & F.col("_waits").isNull(), F.col("base"))
+    return easy.unionByName(nodes.join(waiting, name, "left").select(*name, known.alias("level")))
 
 
 def _numbered(calls: DataFrame) -> DataFrame:
     """Add ``position`` from 1 along level, turn and identifier, a stretch of turns at a time."""
-    staged = calls.withColumn("_level", F.coalesce("level", F.lit(2 ** 31 - 1))).withColumn(
+    staged = calls.withColumn("_level", F.coalesce("level", F.lit(2 ** 62))).withColumn(
         "_part", F.floor(F.col("turn") / _STRETCH))
     sizes = staged.groupBy("conv", "_level", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("conv").orderBy("_level", "_part").rowsBetween(Window.unboundedPreceding, -1)
