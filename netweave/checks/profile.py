@@ -21,6 +21,7 @@ from netweave.functions import unit_hash
 from netweave.operators import profile
 from netweave.operators.flows import assemble_flows, to_nb15
 from netweave.operators.powerlaw import compare_tails, fit_power_law
+from netweave.operators.quantiles import quantiles
 from netweave.operators.sampling import (
     sample_fraction,
     sample_quota,
@@ -98,12 +99,13 @@ def distinct_counts(spark, sf):
 
 def _histogram_sql(bins):
     return f"""
-WITH {LABELLED}, ends AS (SELECT min(src_bytes) AS lo, max(src_bytes) AS hi, count(*) AS total FROM labelled),
-w AS (SELECT lo, (hi - lo) / {bins} AS width, total FROM ends),
-b AS (SELECT CAST(least(floor((src_bytes - lo) / width), {bins - 1}) AS INTEGER) AS bin, label, lo, width, total
-  FROM labelled, w)
-SELECT label, bin, round(any_value(lo + bin * width), 6) AS low, round(any_value(lo + (bin + 1) * width), 6) AS high,
-  count(*) AS n, round(count(*) / any_value(total) / any_value(width), 8) AS density FROM b GROUP BY 1, 2
+WITH {LABELLED}, ends AS (SELECT min(src_bytes) AS lo, (max(src_bytes) - min(src_bytes)) / {bins} AS width FROM labelled),
+b AS (SELECT CAST(least(floor((src_bytes - lo) / width), {bins - 1}) AS INTEGER) AS bin, label, count(*) AS n
+  FROM labelled, ends GROUP BY 1, 2),
+every AS (SELECT label, total, CAST(bin AS INTEGER) AS bin
+  FROM (SELECT label, count(*) AS total FROM labelled GROUP BY 1), range({bins}) AS r(bin))
+SELECT label, bin, round(lo + bin * width, 6) AS low, round(lo + (bin + 1) * width, 6) AS high, coalesce(n, 0) AS n,
+  round(coalesce(n, 0) / total / width, 8) AS density FROM every LEFT JOIN b USING (label, bin), ends
 """
 
 
@@ -113,6 +115,29 @@ def histogram(spark, sf):
     return out.withColumns({"low": F.round("low", 6), "high": F.round("high", 6), "density": F.round("density", 8)})
 
 
+_EDGED = """
+  SELECT CASE WHEN l_returnflag = 'A' THEN CAST('NaN' AS DOUBLE) WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_quantity AS DOUBLE) END AS gaps,
+    CASE WHEN l_linenumber = 6 THEN CAST('Infinity' AS DOUBLE) WHEN l_linenumber = 7 THEN CAST('-Infinity' AS DOUBLE)
+      ELSE CAST(l_extendedprice AS DOUBLE) END AS ends, CAST(7 AS DOUBLE) AS same,
+    CASE WHEN l_orderkey = 1 THEN CAST(9007199254740992 AS DOUBLE) ELSE CAST(3 AS DOUBLE) END AS spike FROM lineitem"""
+
+
+@query("quantiles_edge", f"""
+WITH e AS ({_EDGED}), long AS (UNPIVOT e ON gaps, ends, same, spike INTO NAME feature VALUE v)
+SELECT feature, p, round(quantile_cont(v, p), 6) AS value FROM
+  (SELECT feature, v, unnest([0.25, 0.5, 0.75]) AS p FROM long WHERE v IS NOT NULL AND NOT isnan(v))
+GROUP BY feature, p
+""")
+def quantiles_edge(spark, sf):
+    """Undefined, infinite and constant values on the way that large tables take."""
+    table(spark, sf, "lineitem").createOrReplaceTempView("_quantile_edges")
+    df = spark.sql(_EDGED.replace("FROM lineitem", "FROM _quantile_edges"))
+    probs = [0.25, 0.5, 0.75]
+    q = quantiles(df, df.columns, probs, small=0)
+    rows = [(c, p, v) for c in df.columns for p, v in zip(probs, q[c])]
+    return rounded(small_table(spark, rows, "feature string, p double, value double"))
+
+
 # --- reports -----------------------------------------------------------------------
 
 def sourced(spark, sf):
@@ -160,7 +185,7 @@ FROM {source} GROUP BY labels""" for f in ("protocol_type", "flag"))
 @query("profile_by_class", f"WITH {LABELLED}, p AS (SELECT *, 0 AS land FROM labelled) {_profile_sql('p')}")
 def profile_by_class(spark, sf):
     df = labelled(spark, sf).withColumn("land", F.lit(0))
-    return rounded(profile.profile_by_class(df, "labels", GROUPS))
+    return rounded(profile.profile_by_class(df, "labels", GROUPS, max_chars=50))
 
 
 @query("profile_fallback", f"""
@@ -170,7 +195,7 @@ WITH {SOURCED}, p AS (
 """)
 def profile_fallback(spark, sf):
     df = sourced(spark, sf).withColumn("land", F.lit(0))
-    return rounded(profile.profile_by_class(df, "labels", GROUPS, source="source", fallback="test"))
+    return rounded(profile.profile_by_class(df, "labels", GROUPS, source="source", fallback="test", max_chars=50))
 
 
 @query("profile_counts", f"""

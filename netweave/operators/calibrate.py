@@ -1,8 +1,8 @@
 """Platt calibration of scores, one sigmoid per domain.
 
 Rows collapse to one per (domain, distinct score); each Newton step is then a
-grouped sum over that table, with the current coefficients joined in.  No domain
-is ever gathered in one place.
+grouped sum over that table, with the current coefficients of a batch of domains joined
+in.  No domain's rows are ever gathered in one place.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from netweave.session import materialize, small_table
 
 _STEPS = 100
-_SMALL_DOMAINS = 100_000
+#: Domains fitted together, and whose coefficients may travel to the rows.
+_BATCH = 100_000
 
 
 def sigmoid(a: Column, b: Column, s: Column) -> Column:
@@ -25,11 +26,11 @@ def sigmoid(a: Column, b: Column, s: Column) -> Column:
     return F.when(z >= 0, F.exp(-z) / (F.lit(1.0) + F.exp(-z))).otherwise(F.lit(1.0) / (F.lit(1.0) + F.exp(z)))
 
 
-def _starts(counts: DataFrame, min_rows: int) -> list[dict]:
-    rows = counts.groupBy("domain").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(
-        F.col("pos") + F.col("neg") >= min_rows).limit(_SMALL_DOMAINS + 1).collect()
-    if len(rows) > _SMALL_DOMAINS:
-        raise ValueError("too many domains for one sigmoid each")
+def _starts(counts: DataFrame, min_rows: int, batch: int, batches: int) -> list[dict]:
+    """Where the fits of one batch of domains begin."""
+    mine = counts.where(F.pmod(F.xxhash64(F.col("domain").cast("string")), F.lit(batches)) == batch)
+    rows = mine.groupBy("domain").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(
+        F.col("pos") + F.col("neg") >= min_rows).collect()
     return [
         {
             "domain": r["domain"], "a": 0.0, "b": math.log((r["neg"] + 1.0) / (r["pos"] + 1.0)),
@@ -42,8 +43,12 @@ def _starts(counts: DataFrame, min_rows: int) -> list[dict]:
 
 
 def fit_calibrator(df: DataFrame, score: str, label: str, domain: str, min_rows: int = 10,
-                   tolerance: float = 1e-10) -> DataFrame:
-    """``(domain, a, b, rows)``; domains with fewer than ``min_rows`` rows are left out."""
+                   tolerance: float = 1e-10, per_batch: int = _BATCH) -> DataFrame:
+    """``(domain, a, b, rows, converged)``; domains with fewer than ``min_rows`` rows are left out.
+
+    The coefficients of about ``per_batch`` domains are on the driver at a time; more
+    domains take further batches.  A fit that its steps did not bring to rest says so.
+    """
     spark = df.sparkSession
     counts = materialize(
         df.groupBy(F.col(domain).alias("domain"), F.col(score).cast("double").alias("s")).agg(
@@ -51,7 +56,19 @@ def fit_calibrator(df: DataFrame, score: str, label: str, domain: str, min_rows:
             F.count_if(F.col(label) == 0).cast("double").alias("neg")),
         "score-counts",
     )
-    fits = _starts(counts, min_rows)
+    batches = max(1, -(-counts.select("domain").distinct().count() // per_batch))
+    out = None
+    for batch in range(batches):
+        fits = _fitted(spark, counts, _starts(counts, min_rows, batch, batches), tolerance)
+        part = small_table(
+            spark, [(str(f["domain"]), f["a"], f["b"], int(f["rows"]), f["done"]) for f in fits],
+            "domain string, a double, b double, rows bigint, converged boolean")
+        part = part if batches == 1 else materialize(part, "calibration")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _fitted(spark, counts: DataFrame, fits: list[dict], tolerance: float) -> list[dict]:
     schema = "domain string, a double, b double, high double, low double"
     for _ in range(_STEPS):
         active = [f for f in fits if not f["done"]]
@@ -63,9 +80,7 @@ def fit_calibrator(df: DataFrame, score: str, label: str, domain: str, min_rows:
         sums = _sums(counts, current)
         for f in active:
             _step(f, sums[str(f["domain"])], tolerance)
-    return small_table(
-        spark,
-        [(str(f["domain"]), f["a"], f["b"], int(f["rows"])) for f in fits], "domain string, a double, b double, rows bigint")
+    return fits
 
 
 def _sums(counts: DataFrame, current: DataFrame) -> dict:
@@ -112,6 +127,7 @@ def _step(f: dict, r, tolerance: float) -> None:
 def calibrate(df: DataFrame, params: DataFrame, score: str, domain: str, out: str = "calibrated") -> DataFrame:
     """Add the calibrated score; rows of domains without a fit keep the raw one."""
     fits = params.select(F.col("domain").alias("_domain"), "a", "b")
-    joined = df.join(F.broadcast(fits), F.col(domain).cast("string") == F.col("_domain"), "left")
+    fits = F.broadcast(fits) if fits.count() <= _BATCH else fits
+    joined = df.join(fits, F.col(domain).cast("string") == F.col("_domain"), "left")
     value = F.coalesce(sigmoid(F.col("a"), F.col("b"), F.col(score)), F.col(score))
     return joined.select(*df.columns, value.alias(out))

@@ -76,12 +76,12 @@ def cross_finetune(df: DataFrame, prep: FlowPreprocessorModel, bases: Mapping[st
     train, test = parts.where(F.col("split") == "train"), parts.where(F.col("split") == "test")
     if resample:
         train = materialize(smote(train, names, "label", options.key, seed=seed), "resampled")
-    vectors = to_vectors(train, names, [options.key, "label"])
+    vectors = materialize(to_vectors(train, names, [options.key, "label"]), "vectors")
     stack = StackedClassifier(bases, boosted_trees(10, 3), options.key, folds, seed)
-    oof = materialize(stack.out_of_fold(materialize(vectors, "vectors")), "meta")
+    oof = materialize(stack.out_of_fold(vectors), "meta")
     meta_rows = to_vectors(with_fold(oof.drop("fold"), folds, options.key, seed + 1), list(bases), [options.key, "label", "fold"])
     results, best = search(boosted_trees, materialize(meta_rows, "meta-vectors"), draw_settings(space, trials, seed), folds=folds)
     stack.meta = boosted_trees(**best)
-    model = stack.fit(vectors)
+    model = stack.fit(vectors, oof)
     scored = model.score(to_vectors(test, names, [options.key, "label"]))
     return FineTuned(model, evaluate(scored, "label", "score", options.threshold), results)

@@ -295,15 +295,14 @@ def rank_position(x: np.ndarray, knots: np.ndarray) -> np.ndarray:
 
 
 def fit_quantile_scaler(df: DataFrame, cols: Sequence[str], n_quantiles: int = 1000, normal: bool = True,
-                        small: int = SMALL) -> QuantileScaler:
-    """Knots at evenly spaced quantiles, at most one per row.
+                        small: int = SMALL, exact: bool = True) -> QuantileScaler:
+    """Knots at evenly spaced quantiles, at most one per row, exact at every size.
 
-    They are exact up to ``small`` rows.  Beyond that they come from a sketch over
-    all rows, which is closer than the row sample such transforms usually take.
+    ``exact=False`` takes them from one sketch over all rows instead.
     """
     n = df.count()
     k = max(2, min(n_quantiles, n))
-    q = quantiles(df, cols, [i / (k - 1) for i in range(k)], exact=n <= small, small=small)
+    q = quantiles(df, cols, [i / (k - 1) for i in range(k)], exact=exact, small=small)
     return QuantileScaler({c: [float(x) for x in q[c]] for c in cols if q[c][0] is not None}, normal)
 
 
@@ -529,7 +528,8 @@ class FlowPreprocessorModel:
         numeric = [c for c in self.numeric if c in df.columns]
         methods = [self.options.clip] * bool(self.options.clip) + ["percentile"] * self.options.percentile_clip
         for method in methods:
-            other.bounds.append(fit_bounds(df.select(*[other.step(c, df).alias(c) for c in numeric]), numeric, method))
+            other.bounds.append(fit_bounds(df.select(*[other.step(c, df).alias(c) for c in numeric]), numeric, method,
+                                           self.options.small))
         if self.skew is not None:
             other.skew = fit_skew_log(df.select(*[other.step(c, df).alias(c) for c in numeric]), numeric,
                                       self.options.skew_threshold)

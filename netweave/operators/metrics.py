@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netweave.operators.ordering import ROWS_PER_RANGE, prefix_sums
+from netweave.session import materialize
 
 
 def decide(score: str | Column, threshold: float = 0.5, inclusive: bool = False) -> Column:
@@ -84,27 +85,23 @@ def macro_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
 def _cumulative(df: DataFrame, label: str, score: str, by: Sequence[str], rows_per_range: int) -> DataFrame:
     """Per distinct score: positives, negatives and their totals at or above it."""
     by = list(by)
-    per_score = df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    # Written, so that the rows behind it are scored once; one row per score that occurs.
+    per_score = materialize(df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")), "score-counts")
     return prefix_sums(per_score, "score", {"tp": "pos", "fp": "neg"}, by, descending=True,
                        rows_per_range=rows_per_range)
 
 
-def _totals(df: DataFrame, label: str, by: Sequence[str]) -> DataFrame:
-    aggs = [F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n")]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-
-
 def roc_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = (),
               rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """(score, fpr, tpr) for every distinct score, used as an inclusive threshold."""
     by = list(by)
     points = _cumulative(df, label, score, by, rows_per_range)
-    totals = _totals(df, label, by)
+    sums = [F.sum("pos").alias("_p"), F.sum("neg").alias("_n")]
     if by:
-        joined = points.join(totals, by)
+        joined = points.join(points.groupBy(*by).agg(*sums), by)
     else:
-        row = totals.first()
+        row = points.agg(*sums).first()
         joined = points.withColumns({"_p": F.lit(row["_p"]), "_n": F.lit(row["_n"])})
     return joined.select(*by, "score", _ratio(F.col("fp"), F.col("_n")).alias("fpr"),
                          _ratio(F.col("tp"), F.col("_p")).alias("tpr"))

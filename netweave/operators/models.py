@@ -11,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -20,7 +22,8 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.util import DefaultParamsReader
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave.operators.metrics import evaluate, macro_metrics
@@ -36,6 +39,7 @@ from netweave.operators.weights import (
 from netweave.session import materialize, small_table
 
 FEATURES = "features"
+_META, _NAMES = "_meta", "_names"
 
 
 def to_vectors(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -113,28 +117,55 @@ class StackedClassifier:
     seed: int = 42
 
     def out_of_fold(self, df: DataFrame) -> DataFrame:
-        """``key, label, fold`` and one score per base, each row scored by models that never saw it."""
-        folded = with_fold(df, self.folds, self.key, self.seed)
+        """``key, label, fold`` and one score per base, each row scored by models that never saw it.
+
+        A fold whose other rows hold one class only has nothing to learn from; its scores are
+        that class.
+        """
+        folded = materialize(with_fold(df, self.folds, self.key, self.seed), "folded")
+        sizes = {(r["fold"], r["label"]): r["n"] for r in
+                 folded.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
         parts = []
         for k in range(self.folds):
             train, held = folded.where(F.col("fold") != k), folded.where(F.col("fold") == k)
+            known = {label for (fold, label), _ in sizes.items() if fold != k}
             for name, base in self.bases.items():
-                held = score(base.fit(train), held, name)
+                held = (score(base.fit(train), held, name) if len(known) > 1
+                        else held.withColumn(name, F.lit(float(min(known, default=0.0)))))
             parts.append(held.select(self.key, "label", "fold", *self.bases))
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
         return out
 
-    def fit(self, df: DataFrame) -> StackedModel:
-        """``df`` holds the key, a 0/1 ``label`` and ``features``."""
+    def fold_scores(self, oof: DataFrame) -> DataFrame:
+        """``key, label, fold, score``: in each fold a meta learner fitted on its own rows.
+
+        Where a fold's rows hold one class only, the plain mean of the base scores.
+        """
+        rows = oof.groupBy("fold").agg(F.count_distinct("label").alias("n")).collect()
+        names, keep, out = list(self.bases), [self.key, "label", "fold"], None
+        for fold, classes in sorted((r["fold"], r["n"]) for r in rows):
+            part = oof.where(F.col("fold") == fold)
+            if classes < 2:
+                part = part.select(*keep, mean_score(names).alias("score"))
+            else:
+                vectors = to_vectors(part, names, keep)
+                part = score(self.meta.fit(vectors), vectors, "score").drop(FEATURES)
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def fit(self, df: DataFrame, oof: DataFrame | None = None) -> StackedModel:
+        """``df`` holds the key, a 0/1 ``label`` and ``features``.
+
+        ``oof`` may hand in the written :meth:`out_of_fold` table of the same rows.
+        """
         table = materialize(df.select(self.key, F.col("label").cast("double").alias("label"), FEATURES), "train")
         if table.select("label").distinct().limit(2).count() < 2:
             raise ValueError("training rows hold a single class")
-        oof = materialize(self.out_of_fold(table), "out-of-fold")
-        # With a class missing from the scored rows the meta step is the plain mean.
-        classes = oof.agg(F.count_distinct("label").alias("n")).first()["n"]
-        meta = self.meta.fit(to_vectors(oof, list(self.bases), [self.key, "label"])) if classes > 1 else None
+        if oof is None:
+            oof = materialize(self.out_of_fold(table), "out-of-fold")
+        meta = self.meta.fit(to_vectors(oof, list(self.bases), [self.key, "label"]))
         fitted = {name: base.fit(table) for name, base in self.bases.items()}
         return StackedModel(fitted, meta, list(self.bases), oof)
 
@@ -160,8 +191,21 @@ class StackedModel:
         return score(self.meta, to_vectors(scored, self.names, keep), out).drop(FEATURES)
 
     def save(self, path: str) -> None:
-        for name, model in {**self.bases, "meta": self.meta}.items():
+        """Every learner in a folder of its own, and their names."""
+        for name, model in self.bases.items():
             model.write().save(f"{path}/{name}")
+        if self.meta is not None:
+            self.meta.write().save(f"{path}/{_META}")
+        rows = [(i, name, self.meta is not None) for i, name in enumerate(self.names)]
+        small_table(SparkSession.active(), rows, "place int, name string, meta boolean").write.parquet(f"{path}/{_NAMES}")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> StackedModel:
+        """A saved stack; without the out-of-fold table, which is not saved."""
+        rows = sorted(tuple(r) for r in spark.read.parquet(f"{path}/{_NAMES}").collect())
+        bases = {name: DefaultParamsReader.loadParamsInstance(f"{path}/{name}", spark) for _, name, _ in rows}
+        meta = DefaultParamsReader.loadParamsInstance(f"{path}/{_META}", spark) if rows[0][2] else None
+        return StackedModel(bases, meta, [name for _, name, _ in rows])
 
 
 # --- reweighted refits ---------------------------------------------------------------
@@ -228,31 +272,36 @@ def top_importances(table: DataFrame, n: int = 10) -> DataFrame:
 
 
 def round_metrics(model: Model, df: DataFrame, label: str = "label") -> DataFrame:
-    """Loss, accuracy and F1 after each boosting round, in one pass over the rows."""
+    """Loss, accuracy and F1 after each boosting round, in one pass over the rows.
+
+    Each task adds up its rows' running margins and passes on one row per round.
+    """
     rows = df.select(F.col(label).cast("double").alias("y"), FEATURES)
-    names = []
     for i, tree in enumerate(model.trees):
-        rows = tree.setPredictionCol(f"t{i}").transform(rows)
-        names.append(f"t{i}")
-    margin, aggs = F.lit(0.0), []
-    for i, (name, weight) in enumerate(zip(names, model.treeWeights)):
-        margin = margin + F.lit(float(weight)) * F.col(name)
-        rows = rows.withColumn(f"m{i}", margin)
-        margin = F.col(f"m{i}")
-        sign = F.lit(2.0) * F.col("y") - F.lit(1.0)
-        pred = (F.col(f"m{i}") > 0).cast("double")
-        tp = F.count_if((pred == 1) & (F.col("y") == 1)).cast("double")
-        miss = F.count_if(pred != F.col("y")).cast("double")
-        aggs += [
-            F.avg(F.lit(2.0) * F.log1p(F.exp(F.lit(-2.0) * sign * F.col(f"m{i}")))).alias(f"loss{i}"),
-            F.avg((pred == F.col("y")).cast("double")).alias(f"accuracy{i}"),
-            F.coalesce(F.try_divide(F.lit(2.0) * tp, F.lit(2.0) * tp + miss), F.lit(0.0)).alias(f"f1{i}"),
-        ]
-    items = F.array(*[
-        F.struct(F.lit(i).alias("round"), F.col(f"loss{i}").alias("loss"), F.col(f"accuracy{i}").alias("accuracy"),
-                 F.col(f"f1{i}").alias("f1")) for i in range(len(names))
-    ])
-    return rows.agg(*aggs).select(F.explode(items).alias("x")).select("x.*")
+        rows = tree.setPredictionCol(f"t{i}").transform(rows).select("y", FEATURES, *[f"t{j}" for j in range(i + 1)])
+    weights = np.array([float(w) for w in model.treeWeights])
+    names = ["round", "n", "loss", "hits", "tp", "miss"]
+
+    def add_up(batches):
+        sums = np.zeros((len(weights), 5))
+        for batch in batches:
+            y = batch.column(0).to_numpy(zero_copy_only=False)[:, None]
+            outputs = batch.column(1).values.to_numpy(zero_copy_only=False).reshape(-1, len(weights))
+            margin = np.cumsum(outputs * weights, axis=1)
+            pred = margin > 0
+            right = pred == (y == 1)
+            parts = [np.ones_like(margin), 2 * np.logaddexp(0, -2 * (2 * y - 1) * margin), right, pred & (y == 1), ~right]
+            sums += np.column_stack([p.sum(0) for p in parts])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(len(weights)), pa.int32()), *[pa.array(c, pa.float64()) for c in sums.T]], names=names)
+
+    parts = rows.select("y", F.array(*[f"t{i}" for i in range(len(weights))]).alias("t")).mapInArrow(
+        add_up, "round int, " + ", ".join(f"{c} double" for c in names[1:]))
+    total = parts.groupBy("round").agg(*[F.sum(c).alias(c) for c in names[1:]])
+    return total.select(
+        "round", F.try_divide("loss", "n").alias("loss"), F.try_divide("hits", "n").alias("accuracy"),
+        F.coalesce(F.try_divide(F.lit(2.0) * F.col("tp"), F.lit(2.0) * F.col("tp") + F.col("miss")), F.lit(0.0)).alias("f1"),
+    ).orderBy("round")
 
 
 # --- configuration comparisons -----------------------------------------------------------
@@ -269,24 +318,27 @@ REGULARIZATION = (
 
 def regularization_compare(train: DataFrame, test: DataFrame, trees: int = 100,
                            configs=REGULARIZATION) -> DataFrame:
-    """Train and test measures and the number of used features per configuration.
+    """Train and test measures per configuration and learner, and the features each learner uses.
 
-    Spark's boosted trees take depth and row/column sampling; L1/L2 shares are
-    applied by a logistic model whose non-zero coefficients are counted alongside.
+    Spark's boosted trees take depth and row/column sampling; L1/L2 shares are taken by a
+    logistic model.  Configurations with the same tree settings share one fit, and show so.
     """
-    rows = []
+    rows, grown = [], {}
     for name, c in configs:
         l1, l2 = c.get("l1", 0.0), c.get("l2", 0.0)
-        trees_model = boosted_trees(trees, c["depth"], rows=c["rows"], cols=c["cols"]).fit(train)
+        shape = (c["depth"], c["rows"], c["cols"])
+        if shape not in grown:
+            grown[shape] = boosted_trees(trees, shape[0], rows=shape[1], cols=shape[2]).fit(train)
         total = l1 + l2
         linear = logistic(penalty=total / 100, mix=l1 / total if total else 0.0).fit(train)
-        used = sum(1 for v in trees_model.featureImportances.toArray() if v > 0.001)
-        nonzero = sum(1 for v in linear.coefficients.toArray() if abs(v) > 1e-9)
-        for part, table in (("train", train), ("test", test)):
-            m = evaluate(score(trees_model, table), "label", "score").first()
-            rows.append((name, part, l1, l2, c["depth"], m["accuracy"], m["precision"], m["recall"], m["f1"],
-                         m["auc"], used, nonzero))
+        used = {"trees": sum(1 for v in grown[shape].featureImportances.toArray() if v > 0.001),
+                "logistic": sum(1 for v in linear.coefficients.toArray() if abs(v) > 1e-9)}
+        for learner, model in (("trees", grown[shape]), ("logistic", linear)):
+            for part, table in (("train", train), ("test", test)):
+                m = evaluate(score(model, table), "label", "score").first()
+                rows.append((name, learner, part, l1, l2, c["depth"], m["accuracy"], m["precision"], m["recall"],
+                             m["f1"], m["auc"], used[learner]))
     return small_table(
         train.sparkSession,
-        rows, "config string, part string, l1 double, l2 double, depth int, accuracy double, precision double, "
-              "recall double, f1 double, auc double, used_features int, nonzero int")
+        rows, "config string, learner string, part string, l1 double, l2 double, depth int, accuracy double, "
+              "precision double, recall double, f1 double, auc double, used_features int")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netweave.functions.labels import map_values
+from netweave.functions.numeric import finite_or_null
 from netweave.operators.quantiles import SMALL, quantiles
 from netweave.plans.mapping import column
 from netweave.session import small_table
@@ -84,20 +85,33 @@ def distinct_counts(df: DataFrame, cols: Sequence[str], exact: bool = True) -> D
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
-    """Equal-width bins over [min, max]: count and density; the last bin is closed."""
-    v = column(col).cast("double")
+    """Equal-width bins over [min, max], empty ones too: count and density; the last bin is closed.
+
+    With ``by`` every group gets all bins of the common range, and its own densities add up to
+    one over it.  Nulls and undefined values are left out, and so are infinite ones.
+    """
+    v = finite_or_null(column(col).cast("double"))
+    v = F.when(F.abs(v) < F.lit(float("inf")), v)
     row = df.agg(F.min(v).alias("low"), F.max(v).alias("high"), F.count(v).alias("n")).first()
+    by = list(by)
     if not row["n"]:
-        return small_table(df.sparkSession, [], "bin int, low double, high double, n bigint, density double")
-    low, n = row["low"], row["n"]
+        kinds = dict(df.dtypes)
+        head = "".join(f"`{c}` {kinds[c]}, " for c in by)
+        return small_table(df.sparkSession, [], head + "bin int, low double, high double, n bigint, density double")
+    low = row["low"]
     width = (row["high"] - low) / bins or 1.0
     bin_ = F.least(F.floor((v - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
     counts = df.where(v.isNotNull()).groupBy(*by, bin_.alias("bin")).agg(F.count("*").alias("n"))
-    return counts.select(
+    # One row per group: its counts as a map, opened again into all bins.
+    held = counts.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_held"),
+                                   F.sum("n").alias("_total"))
+    every = held.select(*by, "_held", "_total", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    n = F.coalesce(F.try_element_at("_held", F.col("bin")), F.lit(0).cast("long"))
+    return every.select(
         *by, "bin",
         (F.lit(low) + F.col("bin") * F.lit(width)).alias("low"),
         (F.lit(low) + (F.col("bin") + 1) * F.lit(width)).alias("high"),
-        "n", (F.col("n") / F.lit(float(n)) / F.lit(width)).alias("density"),
+        n.alias("n"), (n / F.col("_total") / F.lit(width)).alias("density"),
     )
 
 
@@ -139,12 +153,13 @@ def fallback_rows(df: DataFrame, label: str, source: str, first: str = "test") -
 
 
 def profile_by_class(df: DataFrame, label: str, groups: Mapping[str, Sequence[str]], text_as: str = "values",
-                     text: Sequence[str] = (), source: str | None = None, fallback: str | None = None) -> DataFrame:
+                     text: Sequence[str] = (), source: str | None = None, fallback: str | None = None,
+                     max_chars: int | None = None) -> DataFrame:
     """One row per (class, feature): share of non-zero rows, min, max and mean.
 
-    Text features, and numeric ones named in ``text``, report their distinct
-    values instead: the list cut to 50 characters (``text_as="values"``) or how
-    many there are (``"count"``).
+    Text features, and numeric ones named in ``text``, report their distinct values
+    instead: the sorted list (``text_as="values"``), cut to ``max_chars`` characters if
+    given, or how many there are (``"count"``).
     """
     if fallback is not None:
         df = fallback_rows(df, label, source, fallback)
@@ -174,12 +189,13 @@ def profile_by_class(df: DataFrame, label: str, groups: Mapping[str, Sequence[st
             F.when(blank, F.lit("unused")).otherwise(F.lit("used")).alias("note"),
         ))
     if words:
-        parts.append(_text_profile(df, label, words, text_as))
+        parts.append(_text_profile(df, label, words, text_as, max_chars))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.withColumn("category", map_values(F.col("feature"), group_of))
 
 
-def _text_profile(df: DataFrame, label: str, words: Sequence[str], text_as: str) -> DataFrame:
+def _text_profile(df: DataFrame, label: str, words: Sequence[str], text_as: str,
+                  max_chars: int | None = None) -> DataFrame:
     pairs = F.array(*[
         F.struct(F.lit(f).alias("feature"), column(f).cast("string").alias("value")) for f in words
     ])
@@ -192,14 +208,16 @@ def _text_profile(df: DataFrame, label: str, words: Sequence[str], text_as: str)
         note = F.concat(F.lit("distinct: "), F.col("distinct").cast("string"))
         noted = size.withColumn("note", note)
     else:
-        # Fifty characters cannot show more than the first fifty values.
-        w = Window.partitionBy(label, "feature").orderBy("value")
-        first = (
-            values.where(F.col("value").isNotNull()).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 51)
-            .groupBy(label, "feature").agg(F.array_join(F.sort_array(F.collect_list("value")), ", ").alias("text"))
-        )
-        long = F.length("text") > 50
-        shown = F.when(long, F.concat(F.substring("text", 1, 50), F.lit("..."))).otherwise(F.col("text"))
+        listed = values.where(F.col("value").isNotNull())
+        if max_chars is not None:
+            # So many characters cannot show more than as many values.
+            w = Window.partitionBy(label, "feature").orderBy("value")
+            listed = listed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_chars + 1)
+        first = listed.groupBy(label, "feature").agg(
+            F.array_join(F.sort_array(F.collect_list("value")), ", ").alias("text"))
+        shown = F.col("text")
+        if max_chars is not None:
+            shown = F.when(F.length("text") > max_chars, F.concat(F.substring("text", 1, max_chars), F.lit("..."))).otherwise(shown)
         noted = size.join(first, [label, "feature"], "left").withColumn(
             "note", F.concat(F.lit("values: "), F.coalesce(shown, F.lit(""))))
     none = F.lit(None).cast("double")

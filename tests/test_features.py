@@ -60,6 +60,29 @@ def test_quantiles_match_interpolation(spark, small):
     assert got["b"] == pytest.approx(np.quantile(kept, probs).tolist(), abs=1e-9)
 
 
+def test_both_ways_to_quantiles_agree(spark):
+    """Undefined, infinite, constant, nearly constant and widely spread values; few and many ranks."""
+    rng = np.random.default_rng(1)
+    n = 6000
+    gaps, ends, spike, wide = rng.normal(size=n) * 100, rng.normal(size=n), np.full(n, 3.0), np.exp(rng.normal(size=n) * 100)
+    gaps[::8], ends[:900], ends[900:1500], spike[5] = np.nan, np.inf, -np.inf, 2.0 ** 53
+    wide[::3] *= -1
+    rows = [(*map(float, r), 7.0, float(i % 3), None, -0.0 if i % 2 else 0.0) for i, r in enumerate(zip(gaps, ends, spike, wide))]
+    names = ["gaps", "ends", "spike", "wide", "same", "ties", "none", "zero"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names))
+    for probs in ([0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0], [i / 999 for i in range(1000)]):
+        one, other = quantiles(df, names, probs), quantiles(df, names, probs, small=0)
+        for c in names:
+            assert str(one[c]) == str(other[c]) or one[c] == pytest.approx(other[c], rel=1e-12, nan_ok=True), c
+    assert one["gaps"] == pytest.approx(np.quantile(gaps[~np.isnan(gaps)], probs).tolist(), abs=1e-9)
+    assert one["none"] == [None] * 1000 and one["ends"][0] == -np.inf and one["ends"][-1] == np.inf
+
+
+def test_quantile_scaler_is_exact_at_every_size(spark):
+    df = spark.range(3000).selectExpr("id * id % 997 / 7.0 AS x")
+    assert feat.fit_quantile_scaler(df, ["x"], 100, small=0).knots == feat.fit_quantile_scaler(df, ["x"], 100).knots
+
+
 def test_normal_quantile():
     ps = [1e-9, 1e-7, 0.001, 0.02425, 0.075, 0.2, 0.4999, 0.5, 0.6, 0.95, 0.99999, 1 - 1e-7]
     want = [statistics.NormalDist().inv_cdf(p) for p in ps]

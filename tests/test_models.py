@@ -50,10 +50,29 @@ def test_stack_scores_rows_out_of_fold(separable, tmp_path):
     assert set(scored.columns) == {"row_id", "label", "p_a", "p_b", "score"}
     assert evaluate(scored, "label", "score").first()["auc"] > 0.9
     model.save(str(tmp_path / "stack"))
+    back = mod.StackedModel.load(separable.sparkSession, str(tmp_path / "stack")).score(separable)
+    both = scored.join(back.withColumnRenamed("score", "again").select("row_id", "again"), "row_id")
+    assert both.count() == 600 and both.where("abs(score - again) > 1e-9").count() == 0
     model.meta = None
+    model.save(str(tmp_path / "mean"))
+    back = mod.StackedModel.load(separable.sparkSession, str(tmp_path / "mean"))
+    assert back.meta is None and back.names == ["p_a", "p_b"]
     assert model.score(separable).where("abs(score - (p_a + p_b) / 2) > 1e-12").count() == 0
 
 
+def test_folds_with_one_class(spark, separable):
+    """A fold without both classes is averaged; a fold whose other rows lack one takes that class."""
+    stack = mod.StackedClassifier({"p_a": LEARNERS["logistic"](), "p_b": LEARNERS["logistic"]()}, mod.logistic(), folds=2)
+    oof = stack.out_of_fold(separable)
+    one = oof.where("fold = 0 OR label = 1")
+    got = stack.fold_scores(one)
+    assert got.columns == ["row_id", "label", "fold", "score"] and got.count() == one.count()
+    mean = got.where("fold = 1").join(oof.select("row_id", "p_a", "p_b"), "row_id")
+    assert mean.where("abs(score - (p_a + p_b) / 2) > 1e-12").count() == 0
+    lone = with_fold(separable, 2, "row_id", stack.seed).where("fold = 0 OR label = 1").drop("fold")
+    assert {r[0] for r in stack.out_of_fold(lone).where("fold = 0").select("p_a").distinct().collect()} == {1.0}
+
+
 def test_single_class_cannot_be_stacked(separable):
     with pytest.raises(ValueError, match="single class"):
         mod.StackedClassifier({"p_a": LEARNERS["logistic"]()}, mod.logistic()).fit(separable.where("label = 0"))
@@ -93,7 +112,9 @@ def test_search(separable):
 
 def test_regularization_table(separable):
     out = mod.regularization_compare(separable, separable, trees=2, configs=mod.REGULARIZATION[-2:])
-    assert out.count() == 4 and out.where("part = 'train' AND f1 < 0.5").count() == 0
+    assert out.count() == 8 and out.where("part = 'train' AND f1 < 0.5").count() == 0
+    same = mod.regularization_compare(separable, separable, trees=1, configs=mod.REGULARIZATION[:3])
+    assert same.where("learner = 'trees'").drop("config", "l1", "l2").distinct().count() == 2
 
 
 @pytest.fixture(scope="module")

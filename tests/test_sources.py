@@ -1,7 +1,7 @@
 import pytest
 
 from netweave.session import small_table
-from netweave.sources import header_names, read_flows, read_table, write_csv, write_report, write_table
+from netweave.sources import header_names, read_flows, read_flows_reported, read_table, write_csv, write_report, write_table
 
 
 def _write(path, text):
@@ -36,6 +36,27 @@ def test_files_with_different_columns(spark, tmp_path):
     assert got == {("1", "2", None), (None, "3", "4")}
 
 
+def test_columns_are_found_by_name(spark, tmp_path):
+    """The order of a file's columns does not matter, with a schema either."""
+    a = _write(tmp_path / "a.csv", "p,q\n1,2\n")
+    b = _write(tmp_path / "b.csv", " q , p,extra\n20,10,x\n")
+    c = _write(tmp_path / "c.csv", "q\n200\n")
+    df = read_flows(spark, [a, b, c], "p double, q double")
+    assert sorted(map(tuple, df.collect()), key=str) == [(1.0, 2.0), (10.0, 20.0), (None, 200.0)]
+    assert read_flows(spark, [b, a], "p double, q double", columns=["q"]).agg({"q": "sum"}).first()[0] == 22.0
+
+
+def test_unreadable_files_are_reported(spark, tmp_path):
+    a, empty = _write(tmp_path / "a.csv", "p,q\n1,2\n"), _write(tmp_path / "empty.csv", "")
+    paths = [str(tmp_path / "absent.csv"), empty, a]
+    df, skipped = read_flows_reported(spark, paths, "p int, q int")
+    assert df.count() == 1 and sorted(skipped) == sorted(paths[:2]) and all(skipped.values())
+    with pytest.warns(UserWarning, match="absent.csv"):
+        read_flows(spark, paths)
+    with pytest.raises(FileNotFoundError):
+        read_flows(spark, paths, skip_missing=False)
+
+
 def test_projection_reaches_the_scan(spark, tmp_path):
     write_table(spark.range(10).selectExpr("id", "id * 2 AS b", "id % 2 AS c"), str(tmp_path / "t"), ["c"])
     df = read_table(spark, str(tmp_path / "t"), ["b"])
