@@ -26,7 +26,7 @@ from netweave.plans import SPECS, conform, vocab
 from netweave.plans.mapping import drop_present, rename_present
 from netweave.plans.schemas import KDD_COLUMNS, NB15_COLUMNS, UNSW_RAW_COLUMNS
 from netweave.session import scratch_path
-from netweave.sources import read_flows, read_table, write_csv
+from netweave.sources import read_flows, read_flows_reported, read_table, write_csv
 
 # --- scans and sinks ---------------------------------------------------------------
 
@@ -55,6 +55,20 @@ def csv_roundtrip(spark, sf):
         F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.sum("o_orderkey").alias("keys"))
 
 
+@query("csv_by_name", """
+SELECT n_nationkey AS key, n_name AS name, n_regionkey * 1.0::DOUBLE AS region FROM nation
+""")
+def csv_by_name(spark, sf):
+    """Two files whose columns stand in different orders, and one that does not exist."""
+    nation = table(spark, sf, "nation")
+    first, second = scratch_path(spark, "nations-csv"), scratch_path(spark, "nations-csv")
+    write_csv(nation.where("n_nationkey < 10").selectExpr("n_nationkey AS key", "n_name AS name", "n_regionkey AS region"), first)
+    write_csv(nation.where("n_nationkey >= 10").selectExpr("n_regionkey AS region", "n_name AS name", "n_nationkey AS key"), second)
+    df, skipped = read_flows_reported(spark, [first, first + "-absent", second], "key bigint, name string, region double")
+    assert list(skipped) == [first + "-absent"]
+    return df
+
+
 # --- conformance ---------------------------------------------------------------------
 
 def _zeros(names):

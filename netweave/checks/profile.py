@@ -30,6 +30,7 @@ from netweave.operators.sampling import (
     with_fold,
 )
 from netweave.plans import vocab
+from netweave.plans.schemas import KDD_FEATURE_GROUPS, NB15_FEATURE_GROUPS
 from netweave.session import small_table
 
 # --- counts ------------------------------------------------------------------------
@@ -124,9 +125,8 @@ _EDGED = """
 
 @query("quantiles_edge", f"""
 WITH e AS ({_EDGED}), long AS (UNPIVOT e ON gaps, ends, same, spike INTO NAME feature VALUE v)
-SELECT feature, p, round(quantile_cont(v, p), 6) AS value FROM
-  (SELECT feature, v, unnest([0.25, 0.5, 0.75]) AS p FROM long WHERE v IS NOT NULL AND NOT isnan(v))
-GROUP BY feature, p
+SELECT feature, unnest([CAST(0.25 AS DOUBLE), 0.5, 0.75]) AS p, unnest(list_transform(quantile_cont(v, [0.25, 0.5, 0.75]), lambda x: round(x, 6))) AS value
+FROM long WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY feature
 """)
 def quantiles_edge(spark, sf):
     """Undefined, infinite and constant values on the way that large tables take."""
@@ -163,7 +163,7 @@ def class_summary(spark, sf):
     return rounded(profile.class_summary(sourced(spark, sf), "labels", "source", vocab.family_pairs(vocab.KDD_FAMILIES)))
 
 
-GROUPS = {"basic": ("duration", "src_bytes", "dst_bytes", "protocol_type", "flag"), "traffic": ("same_srv_rate", "land")}
+GROUPS = KDD_FEATURE_GROUPS
 
 
 def _profile_sql(source):
@@ -174,7 +174,7 @@ SELECT labels, rows, '{f}' AS feature, round(100.0::DOUBLE * used / rows, 6) AS
   '{g}' AS category FROM (SELECT labels, count(*) AS rows, count(*) FILTER ({f} <> 0) AS used,
     min({f}) AS lo, max({f}) AS hi, avg({f}) AS mid FROM {source} GROUP BY labels)"""
         for f, g in (("duration", "basic"), ("src_bytes", "basic"), ("dst_bytes", "basic"), ("same_srv_rate", "traffic"),
-                     ("land", "traffic")))
+                     ("land", "basic")))
     text = " UNION ALL ".join(f"""
 SELECT labels, count(*), '{f}', 100.0, NULL, NULL, NULL, 'values: ' || CASE WHEN length(string_agg(DISTINCT {f}, ', ' ORDER BY {f})) > 50
     THEN substr(string_agg(DISTINCT {f}, ', ' ORDER BY {f}), 1, 50) || '...' ELSE string_agg(DISTINCT {f}, ', ' ORDER BY {f}) END, 'basic'
@@ -208,6 +208,31 @@ def profile_counts(spark, sf):
     return profile.profile_by_class(df, "labels", {"who": ("user",)}, text_as="count")
 
 
+_NB15_FLOWS = FLOWS + """, nb AS (SELECT labels AS attack_cat, duration AS dur, protocol_type AS proto, flag AS state,
+  src_bytes AS sbytes, dst_bytes AS dbytes, 0 AS is_ftp_login FROM flows)"""
+
+
+@query("profile_nb15", f"""
+WITH {_NB15_FLOWS} {" UNION ALL ".join(f"""
+SELECT attack_cat, rows, '{f}' AS feature, round(100.0::DOUBLE * used / rows, 6) AS usage,
+  CASE WHEN used = 0 THEN 0 ELSE round(lo, 6) END AS min, CASE WHEN used = 0 THEN 0 ELSE round(hi, 6) END AS max,
+  CASE WHEN used = 0 THEN 0 ELSE round(mid, 6) END AS mean, CASE WHEN used = 0 THEN 'unused' ELSE 'used' END AS note,
+  '{g}' AS category FROM (SELECT attack_cat, count(*) AS rows, count(*) FILTER ({f} <> 0) AS used,
+    min({f}) AS lo, max({f}) AS hi, avg({f}) AS mid FROM nb GROUP BY attack_cat)"""
+    for f, g in (("dur", "basic"), ("sbytes", "traffic"), ("dbytes", "traffic"), ("is_ftp_login", "protocol")))}
+{"".join(f"""
+UNION ALL SELECT attack_cat, count(*), '{f}', 100.0, NULL, NULL, NULL, 'values: ' || string_agg(DISTINCT {f}, ', ' ORDER BY {f}), 'basic'
+FROM nb GROUP BY attack_cat""" for f in ("proto", "state"))}
+""")
+def profile_nb15(spark, sf):
+    """The groups of the 49-column layout, values listed whole."""
+    f = flows(spark, sf)
+    nb = f.select(F.col("labels").alias("attack_cat"), F.col("duration").alias("dur"), F.col("protocol_type").alias("proto"),
+                  F.col("flag").alias("state"), F.col("src_bytes").alias("sbytes"), F.col("dst_bytes").alias("dbytes"),
+                  F.lit(0).alias("is_ftp_login"))
+    return rounded(profile.profile_by_class(nb, "attack_cat", NB15_FEATURE_GROUPS))
+
+
 def named(spark, sf):
     """NB15-style category and a label that is wrong for one group."""
     f = labelled(spark, sf)

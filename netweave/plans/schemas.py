@@ -81,3 +81,16 @@ KDD_FEATURE_GROUPS = {
         "dst_host_rerror_rate", "dst_host_srv_rerror_rate",
     ),
 }
+
+# The groups that the attack profile of the 49-column layout reports.
+NB15_FEATURE_GROUPS = {
+    "basic": ("dur", "proto", "service", "state", "srcip", "sport", "dstip", "dsport"),
+    "traffic": ("sbytes", "dbytes", "sttl", "dttl", "sloss", "dloss", "Sload", "Dload", "Spkts", "Dpkts"),
+    "time": ("Stime", "Ltime", "Sintpkt", "Dintpkt", "tcprtt", "synack", "ackdat"),
+    "statistics": ("smeansz", "dmeansz", "trans_depth", "res_bdy_len", "Sjit", "Djit"),
+    "connection": (
+        "ct_srv_src", "ct_state_ttl", "ct_dst_ltm", "ct_src_dport_ltm", "ct_dst_sport_ltm", "ct_dst_src_ltm",
+        "ct_src_ltm", "ct_srv_dst",
+    ),
+    "protocol": ("is_ftp_login", "ct_ftp_cmd", "ct_flw_http_mthd", "is_sm_ips_ports"),
+}
