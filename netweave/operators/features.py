@@ -121,7 +121,7 @@ def one_hot(df: DataFrame, cols: Sequence[str] | None = None, limit: int = 2000)
     """0/1 columns ``<column>_<value>`` for every value of the text columns.
 
     Output columns are plan-time objects, so a column with more than ``limit``
-    distinct values is an error rather than a silent cut.
+    distinct values is an error rather than a silent cut; :func:`one_hot_cells` takes any.
     """
     text = [c for c, t in df.dtypes if t == "string" and (cols is None or c in cols)]
     out = [column(c) for c in df.columns if c not in text]
@@ -133,6 +133,18 @@ def one_hot(df: DataFrame, cols: Sequence[str] | None = None, limit: int = 2000)
     return df.select(*out)
 
 
+def one_hot_cells(df: DataFrame, encoder: Encoder, key: str) -> DataFrame:
+    """The ones of a one-hot matrix as ``(key, feature, code)`` rows, for any number of values.
+
+    ``code`` is the value's place among its feature's sorted values; null and unseen values
+    have the encoder's fallback code.
+    """
+    coded = encoder.apply(df.select(key, *[column(f) for f in encoder.features if f in df.columns]), suffix="_code")
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"{f}_code").cast("long").alias("code"))
+                      for f in encoder.features])
+    return coded.select(key, F.explode(cells).alias("x")).select(key, "x.*")
+
+
 # --- clipping ------------------------------------------------------------------
 
 @dataclass

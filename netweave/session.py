@@ -50,8 +50,29 @@ def working_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+_written: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{working_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the working folder, which :func:`release` will remove."""
+    path = f"{working_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
+
+
+def release(spark: SparkSession, keep: Sequence[str] = ()) -> int:
+    """Remove the intermediate tables that this process has written, but for those in ``keep``.
+
+    For a caller who has stored what it wants: results that were not written yet still read
+    them.  Returns how many were removed.
+    """
+    gone = [p for p in sorted(_written) if p not in set(keep)]
+    context = spark.sparkContext
+    for path in gone:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        _written.discard(path)
+    return len(gone)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

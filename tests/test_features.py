@@ -83,6 +83,29 @@ def test_quantile_scaler_is_exact_at_every_size(spark):
     assert feat.fit_quantile_scaler(df, ["x"], 100, small=0).knots == feat.fit_quantile_scaler(df, ["x"], 100).knots
 
 
+def test_one_hot_cells(spark):
+    df = spark.createDataFrame([(1, "b", "x"), (2, "a", None), (3, "b", "y")], "k int, p string, q string")
+    encoder = feat.fit_encoder(df, ["p", "q"])
+    cells = {(r["k"], r["feature"]): r["code"] for r in feat.one_hot_cells(df, encoder, "k").collect()}
+    wide = {(r["k"], f): r[f"{f}_code"] for r in encoder.apply(df, suffix="_code").collect() for f in ("p", "q")}
+    assert len(cells) == 6 and cells == wide
+
+
+def test_released_tables_are_gone(spark):
+    import netweave.session as session
+
+    before = set(session._written)
+    kept = session.materialize(spark.range(3), "kept")
+    lost = session.materialize(spark.range(3), "lost")
+    path = [p for p in session._written if "/lost-" in p]
+    # Only what this test wrote; other tests may still read theirs.
+    assert session.release(spark, keep=[p for p in session._written if p not in path]) == 1
+    assert kept.count() == 3 and before <= session._written
+    with pytest.raises(Exception):
+        spark.read.parquet(path[0])
+    assert lost.columns == ["id"]
+
+
 def test_normal_quantile():
     ps = [1e-9, 1e-7, 0.001, 0.02425, 0.075, 0.2, 0.4999, 0.5, 0.6, 0.95, 0.99999, 1 - 1e-7]
     want = [statistics.NormalDist().inv_cdf(p) for p in ps]
