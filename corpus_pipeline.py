@@ -22,12 +22,19 @@ from netweave.session import materialize
 ORACLE_SQL = None
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with columns named by place, which clash with nothing, and the text's name there."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index("text")]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier takes for good ones."""
     labels = table(spark, sf_dir, "labels")
     model = fit_quality(docs, labels, crc_bucket(F.col("doc_id"), 4) != 2)
-    scored = score_quality(docs, model, docs.columns, out="_score").where(F.col("_score") >= QUALITY_CUT)
-    return scored.select(*[field(docs, c) for c in docs.columns])
+    plain, text = _numbered(docs)
+    scored = score_quality(plain, model, plain.columns, text).where(F.col("score") >= QUALITY_CUT)
+    return scored.select(*plain.columns).toDF(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +48,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with the benchmark."""
-    found = contamination(docs.withColumn("_body", F.col("text")), table(spark, sf_dir, "benchmark"),
-                          keep=docs.columns, text="_body")
-    return found.where(F.size("hits") == 0).select(*[field(docs, c) for c in docs.columns])
+    plain, text = _numbered(docs)
+    found = contamination(plain, table(spark, sf_dir, "benchmark"), plain.columns, text)
+    return found.where(F.size("hits") == 0).select(*plain.columns).toDF(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,8 +40,11 @@ def over_texts(df: DataFrame, text: str, keep: Sequence[str], result: str,
     clash = set(keep) & set(added.names)
     if clash:
         raise ValueError(f"columns {sorted(clash)} are both kept and computed")
-    schema = StructType([StructField(df.schema[k].name, df.schema[k].dataType) for k in keep] + list(added))
-    narrow = df.select(*[field(df, k) for k in keep], F.coalesce(field(df, text).cast("string"), F.lit("")).alias(TEXT))
+    # Names of their own inside, so that any name may be kept, also twice or with dots.
+    names = [f"_k{i}" for i in range(len(keep))]
+    schema = StructType([StructField(n, df.schema[k].dataType) for n, k in zip(names, keep)] + list(added))
+    narrow = df.select(*[field(df, k).alias(n) for n, k in zip(names, keep)],
+                       F.coalesce(field(df, text).cast("string"), F.lit("")).alias(TEXT))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = (setup(),) if setup else ()
@@ -50,7 +53,7 @@ def over_texts(df: DataFrame, text: str, keep: Sequence[str], result: str,
                 made = fn(part.column(len(keep)), *state)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=schema.names)
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(run, schema).toDF(*keep, *added.names)
 
 
 def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -289,14 +289,14 @@ def redact_secrets(docs: DataFrame, text: str = "text", length: str | None = "n_
         out = [redact(t, s) if s else t for t, s in zip(texts.to_pylist(), found)]
         return [pa.array(out, pa.string()), pa.array([bool(s) for s in found], pa.bool_())]
 
-    marked = docs.withColumn("_null", field(docs, text).isNull())
-    done = over_texts(marked, text, [*kept, "_null"], "_clean string, _hit boolean", clean, lambda: Scanner(rules))
+    marked = docs.withColumn("_redact_null", field(docs, text).isNull())
+    done = over_texts(marked, text, [*kept, "_redact_null"], "_redact_text string, _redact_hit boolean", clean, lambda: Scanner(rules))
     columns = []
     for c in docs.columns:
         if c == text:
-            columns.append(F.when(~F.col("_null"), F.col("_clean")).alias(text))
+            columns.append(F.when(~F.col("_redact_null"), F.col("_redact_text")).alias(text))
         elif c == length:
-            columns.append(F.when(F.col("_hit"), F.length("_clean")).otherwise(field(done, c))
+            columns.append(F.when(F.col("_redact_hit"), F.length("_redact_text")).otherwise(field(done, c))
                            .cast(docs.schema[c].dataType).alias(c))
         else:
             columns.append(field(done, c))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from netweave.llm import components, embeddings, mixing, quality, queries, simhash, toxicity
 from netweave.llm.base import crc_bucket
-from netweave.session import small_table
+from netweave.session import materialize, small_table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, fp int, predicted int"
 
@@ -400,6 +400,20 @@ def test_deduplicate_keeps_one_of_repeated_rows(spark, sf):
         (False, 1, "a b c d"), (False, 2, ""), (True, None, "other words here")]
 
 
+def test_pipeline_keeps_odd_columns(spark, sf):
+    """Nulls in every column, repeated rows, and columns named as the operators name theirs."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    docs = docs.select(*[F.when(F.col("doc_id") % (7 + i) != 0, F.col(c)).alias(c) for i, c in enumerate(docs.columns)])
+    more = ("a.b", "score", "spans", "hits", "items", "_text", "_c0", "fp", "size", "node", "n_words", "component_id", "copies")
+    docs = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(more)])
+    docs = docs.union(docs.limit(5))
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, sf), "odd")
+        assert docs.columns == (names if name != "mix" else [*names, "copy"])
+        assert docs.count() and [docs.select(f"`{c}`").distinct().collect() for c in more] == [[(i,)] for i in range(len(more))]
+
+
 def test_pipeline_of_empty_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
