@@ -21,10 +21,10 @@ from netweave.functions import (
 from netweave.operators.features import interactions, packed_products
 from netweave.operators.ordering import with_row_ids
 from netweave.operators.profile import attack_family, label_lookup
-from netweave.operators.tables import coerce_if_all, convert, fill_constant, fill_mean, union_all, union_tagged
+from netweave.operators.tables import coerce_if_all, convert, fill_constant, fill_mean, source_tag, union_all, union_tagged
 from netweave.plans import SPECS, conform, vocab
 from netweave.plans.mapping import drop_present, rename_present
-from netweave.plans.schemas import KDD_COLUMNS, NB15_COLUMNS, UNSW_RAW_COLUMNS
+from netweave.plans.schemas import CIC_COLUMNS, KDD_COLUMNS, NB15_COLUMNS, UNSW_RAW_COLUMNS
 from netweave.session import scratch_path
 from netweave.sources import read_flows, read_flows_reported, read_table, write_csv
 
@@ -113,9 +113,7 @@ _NB_MAPPED = ("dur", "proto", "service", "state", "spkts", "sbytes", "dbytes", "
               "attack_cat", "label", "id")
 
 
-@query("conform_overlay", f"""
-WITH {CIC}
-SELECT row_number() OVER (ORDER BY row_id) - 1 AS id, duration AS dur, 'unknown' AS proto, 'unknown' AS service,
+_OVERLAY = """row_number() OVER (ORDER BY row_id) - 1 AS id, duration AS dur, 'unknown' AS proto, 'unknown' AS service,
   'unknown' AS state, coalesce(fwd_packets, 0) AS spkts, src_bytes AS sbytes, dst_bytes AS dbytes,
   round((src_bytes + dst_bytes) / (duration + 0.000001), 4) AS rate,
   CASE WHEN protocol_type <> 'view' THEN same_srv_rate * 2 ELSE 0 END AS sinpkt, src_bytes AS swin,
@@ -123,15 +121,63 @@ SELECT row_number() OVER (ORDER BY row_id) - 1 AS id, duration AS dur, 'unknown'
     WHEN label_text LIKE '%DoS%' THEN 'DoS' WHEN label_text LIKE '%PortScan%' THEN 'Reconnaissance'
     WHEN label_text LIKE '%Brute Force%' THEN 'BruteForce' WHEN label_text LIKE '%Heartbleed%' THEN 'Exploits'
     ELSE 'Other' END AS attack_cat,
-  CASE WHEN trim(coalesce(label_text, '')) = 'BENIGN' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS label,
-  {_zeros(c for c in NB15_COLUMNS if c not in _NB_MAPPED)}
-FROM cic
+  CASE WHEN trim(coalesce(label_text, '')) = 'BENIGN' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS label"""
+
+
+@query("conform_overlay", f"""
+WITH {CIC}
+SELECT {_OVERLAY}, {_zeros(c for c in NB15_COLUMNS if c not in _NB_MAPPED)} FROM cic
 """)
 def conform_overlay(spark, sf):
     out = convert(cic_source(spark, sf), SPECS["cic_to_nb15"], order_by=["row_id"])
     return out.withColumn("rate", F.round("rate", 4))
 
 
+_NB_DERIVED = ("sttl", "dttl", "sload", "dload")
+
+
+@query("conform_cic_derived", f"""
+WITH {CIC}
+SELECT {_OVERLAY}, CAST(64 AS DOUBLE) AS sttl, CAST(64 AS DOUBLE) AS dttl,
+  round(src_bytes / (duration + 0.000001), 4) AS sload, round(dst_bytes / (duration + 0.000001), 4) AS dload,
+  {_zeros(c for c in NB15_COLUMNS if c not in _NB_MAPPED + _NB_DERIVED)} FROM cic
+""")
+def conform_cic_derived(spark, sf):
+    """The conversion that also fills time-to-live and load."""
+    out = convert(cic_source(spark, sf), SPECS["cic_to_nb15_derived"], order_by=["row_id"])
+    return out.withColumns({c: F.round(c, 4) for c in ("rate", "sload", "dload")})
+
+
+def cic_trimmed(spark, sf):
+    """The same source with plain labels and packet counts in both directions."""
+    return cic_source(spark, sf).withColumns({
+        " Label": F.trim(F.col("` Label`")), "Total Fwd Packets": F.col("Total Fwd Packets").try_cast("double"),
+        "Total Backward Packets": F.col("` Total Length of Bwd Packets`")})
+
+
+_SHORT_LABELS = """CASE WHEN trim(label_text) = 'BENIGN' THEN 'Normal' WHEN label_text LIKE '%DoS%' THEN 'DoS'
+    WHEN label_text LIKE '%PortScan%' THEN 'Reconnaissance' WHEN label_text LIKE '%Brute Force%' THEN 'BruteForce'
+    ELSE 'Other' END AS attack_cat,
+  CASE WHEN trim(label_text) = 'BENIGN' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS label"""
+
+
+@query("conform_cic_direct", f"""
+WITH {CIC}
+SELECT duration AS dur, '0' AS proto, '0' AS service, '0' AS state, coalesce(fwd_packets, 0) AS spkts, dst_bytes AS dpkts,
+  {_SHORT_LABELS}, {_zeros(c for c in NB15_COLUMNS if c not in ("dur", "proto", "service", "state", "spkts", "dpkts", "attack_cat", "label"))}
+FROM cic
+""")
+def conform_cic_direct(spark, sf):
+    return conform(cic_trimmed(spark, sf), SPECS["cic_to_nb15_direct"])
+
+
+@query("conform_cic_minimal", f"""
+WITH {CIC} SELECT duration AS dur, fwd_packets AS sbytes, dst_bytes AS dbytes, {_SHORT_LABELS} FROM cic
+""")
+def conform_cic_minimal(spark, sf):
+    return conform(cic_trimmed(spark, sf), SPECS["cic_to_nb15_minimal"])
+
+
 _CIC_KDD = ("duration", "protocol_type", "service", "flag", "src_bytes", "srv_count", "serror_rate",
             "same_srv_rate", "labels")
 
@@ -328,65 +374,65 @@ def conform_ctu_to_unsw(spark, sf):
 
 @query("conform_mqtt_to_kdd", f"""
 WITH {FLOWS}
-SELECT duration, flag, src_bytes, dst_bytes, dst_host_srv_rerror_rate, labels, count(*) AS n FROM (
-  SELECT same_srv_rate AS duration, floor(src_bytes / 100) AS src_bytes, floor(src_bytes / 100) AS dst_bytes,
-    CASE flag WHEN 'S0' THEN 'S1' WHEN 'REJ' THEN 'S2' ELSE 'SF' END AS flag,
-    CAST(user_id % 4 AS DOUBLE) AS dst_host_srv_rerror_rate,
-    CASE protocol_type WHEN 'view' THEN 'normal' WHEN 'error' THEN 'smurf' WHEN 'click' THEN 'back' ELSE 'normal' END AS labels
-  FROM flows) GROUP BY ALL
+SELECT same_srv_rate AS duration, src_bytes, src_bytes AS dst_bytes, 'tcp' AS protocol_type, 'mqtt' AS service,
+  CASE flag WHEN 'S0' THEN 'S1' WHEN 'REJ' THEN 'S2' ELSE 'SF' END AS flag,
+  CAST(user_id % 4 AS DOUBLE) AS dst_host_srv_rerror_rate,
+  CASE protocol_type WHEN 'view' THEN 'normal' WHEN 'error' THEN 'smurf' WHEN 'click' THEN 'back' ELSE 'normal' END AS labels,
+  {_zeros(c for c in KDD_COLUMNS if c not in ("duration", "src_bytes", "dst_bytes", "protocol_type", "service", "flag", "dst_host_srv_rerror_rate", "labels"))}
+FROM flows
 """)
 def conform_mqtt_to_kdd(spark, sf):
     source = flows(spark, sf).select(
-        F.col("same_srv_rate").alias("tcp.time_delta"), F.floor(F.col("src_bytes") / 100).alias("tcp.len"),
+        F.col("same_srv_rate").alias("tcp.time_delta"), F.col("src_bytes").alias("tcp.len"),
         F.when(F.col("flag") == "SF", "0x00000010").when(F.col("flag") == "S0", "0x00000018")
         .otherwise("0x00000014").alias("tcp.flags"),
         F.pmod("user_id", F.lit(4)).cast("string").alias("mqtt.msgtype"),
         F.when(F.col("protocol_type") == "view", "legitimate").when(F.col("protocol_type") == "error", "dos")
         .when(F.col("protocol_type") == "click", "flood").otherwise("strange").alias("target"))
-    out = conform(source, SPECS["mqtt_to_kdd"])
-    keys = ["duration", "flag", "src_bytes", "dst_bytes", "dst_host_srv_rerror_rate", "labels"]
-    return out.groupBy(*keys).agg(F.count("*").alias("n"))
+    return conform(source, SPECS["mqtt_to_kdd"])
+
+
+_CIC_GIVEN = ("Flow Duration", "Total Fwd Packets", "Total Backward Packets", "Fwd IAT Mean", "SYN Flag Count",
+              "RST Flag Count", "Label")
 
 
 @query("conform_kdd_to_cic", f"""
 WITH {FLOWS}
 SELECT duration AS "Flow Duration", src_bytes AS "Total Fwd Packets", dst_bytes AS "Total Backward Packets",
   same_srv_rate AS "Fwd IAT Mean", CAST(flag = 'S0' AS DOUBLE) AS "SYN Flag Count",
-  CAST(flag = 'REJ' AS DOUBLE) AS "RST Flag Count", CAST(0 AS DOUBLE) AS "Down/Up Ratio",
+  CAST(flag = 'REJ' AS DOUBLE) AS "RST Flag Count", {_zeros(c for c in CIC_COLUMNS if c not in _CIC_GIVEN)},
   CASE labels WHEN 'normal' THEN 'BENIGN' WHEN 'neptune' THEN 'DoS' ELSE 'PortScan' END AS "Label"
 FROM flows
 """)
 def conform_kdd_to_cic(spark, sf):
     f = flows(spark, sf)
     flag = F.when(F.col("flag") == "S0", "SYN").when(F.col("flag") == "REJ", "RST").otherwise("SF")
-    out = conform(f.withColumn("flag", flag), SPECS["kdd_to_cic"])
-    return out.select("Flow Duration", "Total Fwd Packets", "Total Backward Packets", "Fwd IAT Mean",
-                      "SYN Flag Count", "RST Flag Count", "`Down/Up Ratio`", "Label")
+    return conform(f.withColumn("flag", flag), SPECS["kdd_to_cic"])
 
 
 @query("conform_nsl_to_nb15", f"""
 WITH {FLOWS}
-SELECT duration AS dur, protocol_type AS proto, flag AS state, src_bytes AS sbytes, dst_bytes AS dbytes,
+SELECT duration AS dur, protocol_type AS proto, flag AS state, 'unknown' AS service, src_bytes AS sbytes, dst_bytes AS dbytes,
   round((src_bytes + dst_bytes) / (duration + 1), 6) AS rate, src_bytes AS sinpkt, dst_bytes AS dinpkt,
-  CAST(0 AS DOUBLE) AS spkts, labels AS attack_cat, CAST(labels <> 'normal' AS DOUBLE) AS label
+  labels AS attack_cat, CAST(labels <> 'normal' AS DOUBLE) AS label,
+  {_zeros(c for c in NB15_COLUMNS if c not in ("id", "dur", "proto", "service", "state", "sbytes", "dbytes", "rate", "sload", "dload", "sinpkt", "dinpkt", "attack_cat", "label"))}
 FROM flows
 """)
 def conform_nsl_to_nb15(spark, sf):
     f = flows(spark, sf).withColumns({"attack_type": F.col("labels"), "label": F.col("labels")})
-    out = conform(f, SPECS["nsl_to_nb15"]).withColumn("rate", F.round("rate", 6))
-    return out.select("dur", "proto", "state", "sbytes", "dbytes", "rate", "sinpkt", "dinpkt", "spkts", "attack_cat", "label")
+    return conform(f, SPECS["nsl_to_nb15"]).withColumn("rate", F.round("rate", 6))
 
 
 @query("conform_bot_to_kdd", f"""
 WITH {FLOWS}
-SELECT duration, src_bytes, flag, protocol_type, '0' AS service, CAST(0 AS DOUBLE) AS urgent,
-  CASE WHEN labels = 'normal' THEN 'normal' ELSE 'attack' END AS labels
+SELECT duration, src_bytes, dst_bytes, same_srv_rate, flag, protocol_type, '0' AS service,
+  CASE WHEN labels = 'normal' THEN 'normal' ELSE 'attack' END AS labels,
+  {_zeros(c for c in KDD_COLUMNS if c not in ("duration", "src_bytes", "dst_bytes", "same_srv_rate", "flag", "protocol_type", "service", "labels"))}
 FROM flows
 """)
 def conform_bot_to_kdd(spark, sf):
     f = flows(spark, sf).withColumn("category", F.concat(F.lit(" "), F.initcap("labels"), F.lit(" "))).drop("labels")
-    out = conform(f, SPECS["bot_to_kdd"])
-    return out.select("duration", "src_bytes", "flag", "protocol_type", "service", "urgent", "labels")
+    return conform(f, SPECS["bot_to_kdd"])
 
 
 @query("row_ids", """
@@ -637,6 +683,16 @@ def missing(spark, sf):
     return union_all([o, c], allow_missing=True)
 
 
+@query("source_tag", """
+SELECT n_name AS name, 'nation' AS source FROM nation UNION ALL SELECT r_name, 'region' FROM region
+""")
+def tags_of_files(spark, sf):
+    """Rows tagged with the name of the file that they come from."""
+    tag = source_tag(suffix=".parquet").alias("source")
+    return union_all([table(spark, sf, "nation").select(F.col("n_name").alias("name"), tag),
+                      table(spark, sf, "region").select(F.col("r_name").alias("name"), tag)])
+
+
 @query("union_tagged", """
 SELECT c_custkey AS k, c_acctbal AS v, 'customers' AS source FROM customer
 UNION ALL SELECT s_suppkey, s_acctbal, 'suppliers' FROM supplier

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from netweave.checks.base import FLOWS, LABELLED, NUMERIC, TEXT, flows, labelled, query, rounded, table
+from netweave.functions import numeric
 from netweave.operators import features as feat
+from netweave.plans.presets import standard_limited
 from netweave.session import small_table
 
 # --- encoding ------------------------------------------------------------------------
@@ -72,6 +76,18 @@ def one_hot(spark, sf):
     return feat.one_hot(flows(spark, sf).select("row_id", "src_bytes", "flag"))
 
 
+@query("one_hot_scaled", f"""
+WITH {FLOWS}, o AS (SELECT row_id, src_bytes, CAST(flag = 'REJ' AS INTEGER) AS "flag_REJ",
+    CAST(flag = 'S0' AS INTEGER) AS "flag_S0", CAST(flag = 'SF' AS INTEGER) AS "flag_SF" FROM flows),
+s AS (SELECT {", ".join(f'avg("{c}") AS a_{c}, stddev_pop("{c}") AS s_{c}' for c in ("src_bytes", "flag_REJ", "flag_S0", "flag_SF"))} FROM o)
+SELECT row_id, {", ".join(f'round(("{c}" - a_{c}) / s_{c}, 6) AS "{c}"' for c in ("src_bytes", "flag_REJ", "flag_S0", "flag_SF"))} FROM o, s
+""")
+def one_hot_scaled(spark, sf):
+    """One column per value, then standard scaling of all of them."""
+    wide = feat.one_hot(flows(spark, sf).select("row_id", "src_bytes", "flag"))
+    return rounded(feat.fit_scaler(wide, wide.columns[1:], "standard").apply(wide))
+
+
 # --- clipping ------------------------------------------------------------------------
 
 def _bounds_sql(c):
@@ -221,7 +237,34 @@ def scale_quantile(spark, sf):
     return rounded(feat.fit_quantile_scaler(df, _POSITIONED, normal=False).apply(df))
 
 
-@query("scale_quantile_normal")
+def _polynomial(x, weights):
+    out = f"{weights[-1]!r}::DOUBLE"
+    for w in weights[-2::-1]:
+        out = f"({out} * {x} + {w!r}::DOUBLE)"
+    return out
+
+
+def _normal_sql(c):
+    """The normal quantile of the position ``u_<c>``, from the published approximations."""
+    central, middle, tail = ([_polynomial(x, w) for w in pair] for x, pair in (
+        (f"(0.180625::DOUBLE - q_{c} * q_{c})", numeric.CENTRAL), (f"(t_{c} - 1.6::DOUBLE)", numeric.MIDDLE),
+        (f"(t_{c} - 5::DOUBLE)", numeric.TAIL)))
+    outer = f"CASE WHEN t_{c} <= 5 THEN {middle[0]} / {middle[1]} ELSE {tail[0]} / {tail[1]} END"
+    return f"CASE WHEN abs(q_{c}) <= 0.425 THEN q_{c} * {central[0]} / {central[1]} ELSE sign(q_{c}) * {outer} END"
+
+
+NORMAL = POSITIONS + ", u AS (SELECT row_id, " + ", ".join(
+    f"least(greatest({_position_sql(c)}, 1e-7::DOUBLE), {1 - 1e-7!r}::DOUBLE) AS u_{c}" for c in _POSITIONED
+) + " FROM counted), q AS (SELECT row_id, " + ", ".join(
+    f"u_{c} - 0.5::DOUBLE AS q_{c}, sqrt(-ln(least(u_{c}, 1 - u_{c}))) AS t_{c}" for c in _POSITIONED
+) + " FROM u), z AS (SELECT row_id, " + ", ".join(f"{_normal_sql(c)} AS {c}" for c in _POSITIONED) + """ FROM q),
+rq AS (SELECT """ + ", ".join(f"quantile_cont({c}, [0.25, 0.5, 0.75]) AS r_{c}" for c in _POSITIONED) + """ FROM z),
+r AS (SELECT row_id, """ + ", ".join(f"({c} - r_{c}[2]) / (r_{c}[3] - r_{c}[1]) AS {c}" for c in _POSITIONED) + """ FROM z, rq),
+s AS (SELECT """ + ", ".join(f"avg({c}) AS a_{c}, stddev_pop({c}) AS s_{c}" for c in _POSITIONED) + " FROM r)"
+
+
+@query("scale_quantile_normal", f"WITH {NORMAL} SELECT row_id, " + ", ".join(
+    f"round(({c} - a_{c}) / s_{c}, 6) AS {c}" for c in _POSITIONED) + " FROM r, s")
 def scale_quantile_normal(spark, sf):
     """Positions mapped on to a normal distribution, then robust and standard scaling."""
     df = flows(spark, sf).select("row_id", *_POSITIONED)
@@ -309,3 +352,25 @@ def preprocess_subset(spark, sf):
                                   select_threshold=None, use_pairs=False, standardize=False)
     df = flows(spark, sf)
     return rounded(chain.fit(df).transform(df, keep=["row_id"]))
+
+
+_GAPPED = ("duration", "src_bytes", "dst_bytes")
+_ENDS = [*_GAPPED, "flag"]
+
+
+@query("preprocess_limited", f"""
+WITH {FLOWS}, g AS (SELECT row_id, duration, CASE WHEN flag <> 'S0' THEN src_bytes END AS src_bytes, dst_bytes,
+    (dense_rank() OVER (ORDER BY flag))::DOUBLE AS flag FROM flows),
+m AS (SELECT avg(src_bytes) AS mean FROM g),
+f AS (SELECT row_id, duration, coalesce(src_bytes, mean) AS src_bytes, dst_bytes, flag FROM g, m),
+s AS (SELECT {", ".join(f"avg({c}) AS a_{c}, stddev_pop({c}) AS s_{c}" for c in _GAPPED)} FROM f),
+l AS (SELECT row_id, {", ".join(f"least(greatest(({c} - a_{c}) / s_{c}, -1.25::DOUBLE), 1.25::DOUBLE) AS {c}" for c in _GAPPED)},
+    least(flag, 1.25::DOUBLE) AS flag FROM f, s),
+e AS (SELECT least({", ".join(f"min({c})" for c in _ENDS)}) AS low, greatest({", ".join(f"max({c})" for c in _ENDS)}) AS high FROM l)
+SELECT row_id, {", ".join(f"round(({c} - low) / (high - low), 6) AS {c}" for c in _ENDS)} FROM l, e
+""")
+def preprocess_limited(spark, sf):
+    """Means for gaps, standard scaling, a limit that binds, one range over numbers and codes together."""
+    df = flows(spark, sf).withColumn("src_bytes", F.when(F.col("flag") != "S0", F.col("src_bytes")))
+    chain = replace(standard_limited(_GAPPED, ["flag"]), limit=1.25)
+    return rounded(chain.fit(df).transform(df, keep=["row_id"]))

@@ -355,15 +355,17 @@ def pair_names(cols: Sequence[str], max_pairs: int | None = None) -> list[tuple[
 def interactions(df: DataFrame, cols: Sequence[str], max_pairs: int | None = None, packed: str | None = None) -> DataFrame:
     """Add the product ``a_b_inter`` of every pair of columns.
 
-    Hundreds of product columns outgrow generated code; with ``packed`` they come
-    as one array column of that name instead.
+    With ``packed`` they come as one array column of that name instead.  Hundreds of product
+    columns outgrow generated code, so these are taken from such an array.
     """
     pairs = pair_names(cols, max_pairs)
-    if packed is None and len(pairs) > _WIDE:
-        raise ValueError(f"{len(pairs)} products: pass packed=<array column>")
     if packed is not None:
         return df.withColumn(packed, packed_products(cols, max_pairs))
-    return df.select("*", *[(column(a) * column(b)).alias(f"{a}_{b}_inter") for a, b in pairs])
+    if len(pairs) <= _WIDE:
+        return df.select("*", *[(column(a) * column(b)).alias(f"{a}_{b}_inter") for a, b in pairs])
+    built = df.withColumn("_products", packed_products(cols, max_pairs))
+    return built.select(*[column(c) for c in df.columns],
+                        *[F.col("_products")[i].alias(f"{a}_{b}_inter") for i, (a, b) in enumerate(pairs)])
 
 
 def packed_products(cols: Sequence[str], max_pairs: int | None = None) -> Column:
@@ -382,9 +384,10 @@ def packed_products(cols: Sequence[str], max_pairs: int | None = None) -> Column
 class FlowPreprocessor:
     """Options of the preprocessing chain.
 
-    Order: coerce, ``log_cols``, clip (``clip`` then optionally percentile), skew
-    log, scale, select by correlation with the label, pair products, append the
-    text codes, final standardisation.
+    Order: coerce, ``log_cols``, means for missing values (``fill_mean``), clip (``clip``
+    then optionally percentile), skew log, scale, select by correlation with the label, pair
+    products, append the text codes, keep within ``limit`` of zero, final scaling (``final``,
+    with ``standardize``).  What is missing after the scaling becomes ``fill``.
     """
 
     numeric: Sequence[str]
@@ -403,11 +406,24 @@ class FlowPreprocessor:
     null_token: str = ""
     fill: float = 0.0
     small: int = SMALL
+    fill_mean: bool = False
+    limit: float | None = None
+    final: str = "standard"
+
+    def columns(self, df: DataFrame, numeric: Sequence[str]) -> DataFrame:
+        """Label, text and coerced numeric columns, written once: a fit reads its source no more often."""
+        kinds = dict(df.dtypes)
+        other = [c for c in dict.fromkeys([*([self.label] if self.label else []), *self.text]) if c in kinds]
+        numbers = [coerce_double(column(c), kinds[c] == "string").alias(c) for c in numeric if c not in other]
+        if not other and not numbers:
+            return df
+        return materialize(df.select(*[column(c) for c in other], *numbers), "fit-columns")
 
     def fit(self, df: DataFrame) -> FlowPreprocessorModel:
         model = FlowPreprocessorModel(options=self)
         numeric = [c for c in self.numeric if c in df.columns]
         model.numeric = numeric
+        df = self.columns(df, numeric)
         if self.text:
             model.encoder = fit_encoder(df, list(self.text), self.null_token)
         keep = [self.label] if self.label else []
@@ -416,6 +432,9 @@ class FlowPreprocessor:
             """The numeric columns after the steps fitted so far."""
             return df.select(*keep, *[model.step(c, df).alias(c) for c in numeric])
 
+        if self.fill_mean and numeric:
+            row = stage().agg(*[F.avg(column(c)).alias(f"m{i}") for i, c in enumerate(numeric)]).first()
+            model.means = {c: row[f"m{i}"] for i, c in enumerate(numeric) if row[f"m{i}"] is not None}
         if self.clip:
             model.bounds.append(fit_bounds(stage(), numeric, self.clip, self.small))
         if self.percentile_clip:
@@ -435,15 +454,23 @@ class FlowPreprocessor:
         if self.standardize:
             names = model.feature_names()
             model.final = (
-                _fit_packed(model.packed(df), names) if model.is_wide() else fit_scaler(model.assemble(df), names, "standard")
+                _fit_packed(model.packed(df), names, self.final) if model.is_wide()
+                else fit_scaler(model.assemble(df), names, self.final)
             )
         return model
 
 
-def _fit_packed(rows: DataFrame, names: Sequence[str]) -> Scaler:
-    """Standard scaling of an array column, all positions in one vector aggregate."""
+def _fit_packed(rows: DataFrame, names: Sequence[str], kind: str = "standard") -> Scaler:
+    """Scaling of an array column by mean and deviation or by ends, all positions in one vector aggregate."""
+    if kind not in ("standard", "minmax", "global_minmax"):
+        raise ValueError(f"{kind} needs order statistics, which too many products rule out")
     stats = rows.select(
         Summarizer.metrics("mean", "variance", "min", "max", "count").summary(array_to_vector("_x")).alias("s")).first()["s"]
+    if kind != "standard":
+        low, high = [float(v) for v in stats["min"]], [float(v) for v in stats["max"]]
+        if kind == "global_minmax":
+            low, high = [min(low)] * len(low), [max(high)] * len(high)
+        return Scaler(kind, dict(zip(names, low)), {n: b - a or 1.0 for n, a, b in zip(names, low, high)})
     n = stats["count"]
     shrink = (n - 1) / n if n > 1 else 0.0
     centre, width = {}, {}
@@ -461,6 +488,7 @@ class FlowPreprocessorModel:
     options: FlowPreprocessor
     numeric: list[str] = field(default_factory=list)
     encoder: Encoder | None = None
+    means: dict[str, float] = field(default_factory=dict)
     bounds: list[Bounds] = field(default_factory=list)
     skew: SkewLog | None = None
     scalers: list = field(default_factory=list)
@@ -472,6 +500,8 @@ class FlowPreprocessorModel:
         v = coerce_double(column(c), dict(df.dtypes)[c] == "string")
         if c in self.options.log_cols:
             v = log1p_clipped(v)
+        if c in self.means:
+            v = F.coalesce(v, F.lit(self.means[c]))
         for b in self.bounds:
             v = b.value(c, v)
         if self.skew is not None:
@@ -504,13 +534,20 @@ class FlowPreprocessorModel:
                   for c in self.selected]
         return df.select(*keep, *scaled, *[F.col(f"{c}_code") for c in self.options.text])
 
+    def _limited(self, v: Column) -> Column:
+        limit = self.options.limit
+        return v if limit is None else clip(v, -float(limit), float(limit))
+
     def packed(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """``keep`` and all features before the final standardisation as one array ``_x``."""
+        """``keep`` and all features before the final scaling as one array ``_x``."""
         names = [f"_s_{c}" for c in self.selected]
         parts = [F.array(*[column(n) for n in names]), packed_products(names, len(self.pair_list()))]
         if self.options.text:
             parts.append(F.array(*[F.col(f"{c}_code").cast("double") for c in self.options.text]))
-        return self._scaled(df, keep).select(*keep, F.concat(*parts).alias("_x"))
+        whole = F.concat(*parts)
+        if self.options.limit is not None:
+            whole = F.transform(whole, self._limited)
+        return self._scaled(df, keep).select(*keep, whole.alias("_x"))
 
     def _packed_final(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         rows = self.packed(df, keep)
@@ -525,19 +562,20 @@ class FlowPreprocessorModel:
         return rows.select(*keep, F.zip_with(centred, literal(self.final.width), lambda v, w: v / w).alias("_x"))
 
     def assemble(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """Features before the final standardisation, one column each."""
+        """Features before the final scaling, one column each."""
         base = self._scaled(df, keep)
         return base.select(
             *keep,
-            *[F.col(f"`_s_{c}`").alias(c) for c in self.selected],
-            *[(F.col(f"`_s_{a}`") * F.col(f"`_s_{b}`")).alias(f"{a}_{b}_inter") for a, b in self.pair_list()],
-            *[F.col(f"{c}_code").cast("double").alias(c) for c in self.options.text],
+            *[self._limited(F.col(f"`_s_{c}`")).alias(c) for c in self.selected],
+            *[self._limited(F.col(f"`_s_{a}`") * F.col(f"`_s_{b}`")).alias(f"{a}_{b}_inter") for a, b in self.pair_list()],
+            *[self._limited(F.col(f"{c}_code").cast("double")).alias(c) for c in self.options.text],
         )
 
     def refit_bounds(self, df: DataFrame) -> FlowPreprocessorModel:
         """The same chain with clip limits and skew shifts taken from another table."""
         other = replace(self, bounds=[], skew=None, scalers=[])
         numeric = [c for c in self.numeric if c in df.columns]
+        df = self.options.columns(df, numeric)
         methods = [self.options.clip] * bool(self.options.clip) + ["percentile"] * self.options.percentile_clip
         for method in methods:
             other.bounds.append(fit_bounds(df.select(*[other.step(c, df).alias(c) for c in numeric]), numeric, method,
@@ -572,6 +610,7 @@ class FlowPreprocessorModel:
         """Fitted numbers as ``(stage, feature, param, position, value)``."""
         rows = [("select", c, "position", i, float(i)) for i, c in enumerate(self.selected)]
         rows += [("numeric", c, "position", i, float(i)) for i, c in enumerate(self.numeric)]
+        rows += [("fill", c, "mean", 0, v) for c, v in self.means.items()]
         for k, b in enumerate(self.bounds):
             rows += [(f"clip{k}", c, name, 0, v) for c, (low, high) in b.limits.items()
                      for name, v in (("low", low), ("high", high))]
@@ -607,6 +646,7 @@ class FlowPreprocessorModel:
             return [r["feature"] for r in sorted(by_stage.get(stage, []), key=lambda r: r["position"])]
 
         model.numeric, model.selected = ordered("numeric"), ordered("select")
+        model.means = {r["feature"]: r["value"] for r in by_stage.get("fill", [])}
         for k in range(int(bool(options.clip)) + int(options.percentile_clip)):
             limits: dict = {}
             for r in by_stage.get(f"clip{k}", []):
@@ -628,7 +668,7 @@ class FlowPreprocessorModel:
         kinds = ["quantile", "robust", "standard"] if options.scale == "quantile" else [options.scale] if options.scale else []
         model.scalers = [scaler(f"scale{k}", kind) for k, kind in enumerate(kinds)]
         if options.standardize:
-            model.final = scaler("final", "standard")
+            model.final = scaler("final", options.final)
         if options.text:
             vocab = spark.read.parquet(f"{path}/vocab")
             sizes = {r["feature"]: r["n"] for r in vocab.groupBy("feature").agg(F.count("*").alias("n")).collect()}

@@ -23,7 +23,8 @@ from netweave.session import materialize
 
 _GRID = 96
 _MAX_GRID = 6144
-_PAIRS = 4_000_000  # (cut-off, value) pairs measured by one pass
+_PAIRS = 4_000_000  # (cut-off, value) pairs measured by one pass,
+_LEAST = 16  # but at least so many cut-offs
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,7 @@ class PowerLawFit:
 
 
 def fit_power_law(df: DataFrame, col: str, min_n: int = 50) -> PowerLawFit | None:
-    """Exponent and cut-off of the best-fitting tail of the positive values; None below ``min_n`` rows."""
+    """Exponent and cut-off of the best-fitting tail of the positive values; None below ``min_n`` rows or without such a tail."""
     x = F.col(col).cast("double")
     counts = df.where(x > 0).groupBy(x.alias("x")).agg(F.count("*").alias("n")).withColumn(
         "nlog", F.col("n") * F.log("x"))
@@ -50,26 +51,45 @@ def fit_power_law(df: DataFrame, col: str, min_n: int = 50) -> PowerLawFit | Non
     cuts = values.where((F.col("x") < size["top"]) & (F.col("x") > 0.5)).select(
         F.col("x").alias("xmin"), "tail", alpha.alias("alpha"))
     cuts = cuts.where(F.col("alpha") > 1.0).withColumn("z", hurwitz_zeta(F.col("alpha"), F.col("xmin")))
-    batch = max(1, _PAIRS // size["v"])
+    batch = max(_LEAST, _PAIRS // size["v"])
     if batch >= size["v"]:
-        survivors = cuts.collect()
+        best = _best(_measure(values, cuts.collect()))
     else:
         cuts, points = materialize(cuts, "cut-offs"), _GRID
         while True:
             survivors = _bounded(cuts, _grid(values, size["v"], points), size["top"])
             # The winner always survives; when many do, a finer grid separates them.
-            if len(survivors) <= 4 * batch or points >= _MAX_GRID:
+            if points >= _MAX_GRID or survivors.count() <= 4 * batch:
                 break
             points *= 4
-    best = None
-    for start in range(0, len(survivors), batch):
-        for xmin, tail, a, d in _measure(values, survivors[start:start + batch]):
-            # Equal distances go to the smaller cut-off.
-            if best is None or (d, xmin) < (best[3], best[0]):
-                best = (xmin, tail, a, d)
+        best = _nearest(values, survivors, batch)
+    if best is None:
+        return None
     return PowerLawFit(col, int(size["n"]), int(best[1]), best[0], best[2], best[3])
 
 
+def _best(measured, best=None):
+    """The least distance; equal ones go to the smaller cut-off."""
+    return min([*measured, *([best] if best else [])], key=lambda m: (m[3], m[0]), default=None)
+
+
+def _nearest(values: DataFrame, survivors: DataFrame, batch: int):
+    """The best of the cut-offs in a table, the most promising ones first, ``batch`` of them at a time.
+
+    A cut-off whose least possible distance is above one already measured is out.
+    """
+    best, last = None, None
+    while True:
+        rest = survivors
+        if best is not None:
+            rest = rest.where(F.col("low") <= best[3] + 1e-12)
+            rest = rest.where((F.col("low") > last["low"]) | ((F.col("low") == last["low"]) & (F.col("xmin") > last["xmin"])))
+        part = rest.orderBy("low", "xmin").limit(batch).collect()
+        if not part:
+            return best
+        best, last = _best(_measure(values, part), best), part[-1]
+
+
 def _grid(values: DataFrame, size: int, points: int) -> list[tuple[float, int]]:
     """Up to ``points`` values spread evenly over the distinct ones, with the rows at or above each."""
     probs = [i / points for i in range(points + 1)]
@@ -77,7 +97,7 @@ def _grid(values: DataFrame, size: int, points: int) -> list[tuple[float, int]]:
     return [(r["x"], r["tail"]) for r in values.where(F.col("x").isin(*sorted(set(at)))).orderBy("x").collect()]
 
 
-def _bounded(cuts: DataFrame, grid, top: float) -> list:
+def _bounded(cuts: DataFrame, grid, top: float) -> DataFrame:
     """Cut-offs whose smallest possible distance does not exceed the smallest certain one.
 
     Between two grid values both survival functions only fall, so their gap stays
@@ -102,11 +122,13 @@ def _bounded(cuts: DataFrame, grid, top: float) -> list:
     bounds = materialize(pairs.select("xmin", "tail", "alpha", "z", low.alias("low"), F.greatest(low, high).alias("high")),
                          "distance-bounds")
     limit = bounds.agg(F.min("high").alias("h")).first()["h"]
-    return bounds.where(F.col("low") <= limit + 1e-12).orderBy("low", "xmin").collect()
+    return bounds if limit is None else bounds.where(F.col("low") <= limit + 1e-12)
 
 
 def _measure(values: DataFrame, cuts) -> list[tuple[float, int, float, float]]:
     """Exact distances of a bounded number of cut-offs in one pass over the distinct values."""
+    if not cuts:
+        return []
     literal = F.expr("array(" + ",".join(
         f"named_struct('i', {i}, 'xmin', {c['xmin']!r}D, 't', {float(c['tail'])!r}D, 'a', {c['alpha']!r}D, 'z', {c['z']!r}D)"
         for i, c in enumerate(cuts)) + ")")

@@ -38,7 +38,8 @@ class Cut:
 
 
 def hash_cuts(df: DataFrame, by: str | None, wanted: Mapping, key: str | Sequence[str], seed: int = 42) -> list[Cut]:
-    """For each group the (hash, key) such that exactly ``wanted[group]`` rows come before or at it.
+    """For each group the (hash, key) such that exactly ``wanted[group]`` rows come before or at it
+    (or, where the last key has several rows, the first key that reaches as many).
 
     Groups that want no rows, or at least as many as they have, get no cut.  Each
     round counts the next bits of the hash among the rows that share the prefix
@@ -94,11 +95,14 @@ def _rank_boundary(base: DataFrame, prefix, ready, left, n_keys: int) -> list[Cu
     for g, p in prefix.items():
         test = test | ((F.col("_g") == F.lit(g)) & (F.shiftright("_h", ready[g]) == F.lit(p)))
     key_cols = [f"_k{i}" for i in range(n_keys)]
-    w = Window.partitionBy("_g").orderBy("_h", *key_cols)
+    # Rows that share a key come or go together, so keys are ranked, however many rows each has.
+    counts = base.where(test).groupBy("_g", "_h", *key_cols).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("_g").orderBy("_h", *key_cols).rowsBetween(Window.unboundedPreceding, 0)
     at = F.lit(False)
     for g, n in left.items():
-        at = at | ((F.col("_g") == F.lit(g)) & (F.col("_r") == F.lit(n)))
-    rows = base.where(test).withColumn("_r", F.row_number().over(w)).where(at).collect()
+        reached = (F.col("_r") >= F.lit(n)) & (F.col("_r") - F.col("_n") < F.lit(n))
+        at = at | ((F.col("_g") == F.lit(g)) & reached)
+    rows = counts.withColumn("_r", F.sum("_n").over(w)).where(at).collect()
     return [Cut(r["_g"], r["_h"], tuple(r[k] for k in key_cols)) for r in rows]
 
 

@@ -40,6 +40,12 @@ def subset_quantile() -> FlowPreprocessor:
     return FlowPreprocessor(**_SUBSET, scale="quantile", percentile_clip=True, standardize=False)
 
 
+def standard_limited(numeric: Sequence[str], text: Sequence[str] = ()) -> FlowPreprocessor:
+    """Means for missing values, standard scaling, ten deviations at most, then one range for all columns."""
+    return FlowPreprocessor(numeric=tuple(numeric), text=tuple(text), clip=None, skew_threshold=None, fill_mean=True,
+                            scale="standard", select_threshold=None, use_pairs=False, limit=10.0, final="global_minmax")
+
+
 # How each variant balances, augments and combines; keys name the functions' options.
 TRAINING = {
     "full": {"noise": 0.05, "mask": 0.1, "resample": "scores", "meta": "boosted"},

@@ -1,5 +1,6 @@
 import math
 import statistics
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -156,9 +157,15 @@ def test_packed_products(spark):
     assert df.select(feat.packed_products(["a", "b", "c"]).alias("p")).first()["p"] == [6.0, 10.0, 15.0]
     assert df.select(feat.packed_products(["a", "b", "c"], 2).alias("p")).first()["p"] == [6.0, 10.0]
     assert feat.interactions(df, ["a", "b", "c"], 1).columns[-1] == "a_b_inter"
+
+
+def test_hundreds_of_products_have_columns_too(spark):
     many = [f"c{i}" for i in range(20)]
-    with pytest.raises(ValueError):
-        feat.interactions(df, many)
+    df = spark.range(3).select("id", *[(F.col("id") + i).cast("double").alias(c) for i, c in enumerate(many)])
+    out = feat.interactions(df, many)
+    assert len(out.columns) == 21 + 190
+    for r in out.collect():
+        assert all(r[f"{a}_{b}_inter"] == r[a] * r[b] for a, b in feat.pair_names(many))
 
 
 @pytest.fixture(scope="module")
@@ -210,6 +217,42 @@ def test_many_products_take_the_packed_path(chain, monkeypatch):
         assert r["features"].toArray() == pytest.approx(vectors[r["row_id"]], abs=1e-7)
 
 
+def test_a_fit_reads_its_source_once(spark, sf):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    df = labelled(spark, sf)
+    n = df.count()
+    watched = df.withColumn("src_bytes", counted("src_bytes"))
+    feat.FlowPreprocessor(numeric=NUMERIC, text=TEXT, label="label", percentile_clip=True, scale="quantile").fit(watched)
+    assert seen.value == n
+
+
+def test_limited_chain(spark, sf, tmp_path, monkeypatch):
+    df = labelled(spark, sf).withColumn("src_bytes", F.when(F.col("flag") != "S0", F.col("src_bytes")))
+    names = [*NUMERIC, "Flow Bytes/s"]
+    df = df.withColumn("Flow Bytes/s", F.exp(F.col("duration") / 100))
+    model = presets.standard_limited(names, TEXT).fit(df)
+    plain = rows(model.transform(df, ["row_id"]))
+    inner = [v for r in plain for v in r[1:]]
+    assert min(inner) == 0.0 and max(inner) == 1.0
+    model.save(spark, str(tmp_path / "m"))
+    back = feat.FlowPreprocessorModel.load(spark, str(tmp_path / "m"))
+    assert back.means == model.means and rows(back.transform(df, ["row_id"])) == plain
+    monkeypatch.setattr(feat, "_WIDE", 1)
+    chain = replace(presets.standard_limited(names, TEXT), use_pairs=True)
+    packed = chain.fit(df)
+    assert packed.is_wide()
+    wide = rows(packed.transform(df, ["row_id"]))
+    monkeypatch.setattr(feat, "_WIDE", 100)
+    for a, b in zip(rows(chain.fit(df).transform(df, ["row_id"])), wide):
+        assert a == pytest.approx(b, abs=1e-9)
+
+
 def test_fitted_bounds_by_default_refit_on_request(spark, chain):
     df, model = chain
     moved = df.withColumn("src_bytes", F.col("src_bytes") * 10)

@@ -21,6 +21,16 @@ def test_exact_quotas(keyed, monkeypatch, boundary):
     assert smp.sample_quota(keyed, "y", {"a": 0}, "k").count() == 0
 
 
+def test_rows_of_one_key_stay_together(spark):
+    """Also a key with more rows than are ranked at once."""
+    df = spark.range(30_000).select(F.when(F.col("id") < 25_000, F.lit(-1)).otherwise(F.col("id")).alias("k"), F.lit("a").alias("y"))
+    got = smp.sample_quota(df, "y", {"a": 26_000}, "k")
+    sizes = {r["k"]: r["count"] for r in got.groupBy("k").count().collect()}
+    assert sizes.pop(-1) == 25_000 and set(sizes.values()) == {1} and len(sizes) >= 1000
+    few = smp.sample_quota(df, "y", {"a": 10}, "k").count()
+    assert few in (10, *range(25_000, 25_011))
+
+
 def test_stratified_shares(keyed):
     parts = smp.split_stratified(keyed, "y", 0.2, "k").groupBy("y", "split").count().collect()
     assert {(r["y"], r["split"]): r["count"] for r in parts} == {
