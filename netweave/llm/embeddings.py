@@ -11,7 +11,8 @@ components, else in double) decides almost all pairs.  The cosine is recomputed
 precision only where the bound allows the threshold to be reached.
 
 Equal vectors are compared once and counted.  A pair of tiles answers with one row for each
-vector that has a link there: its links, and the smallest vector it reaches there.
+vector that has a link there: its links, and one vector for all that it reaches there.  Vectors
+are ordered by their least keys, so the root of a component already names its least key.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ TILE = 1024
 _RECHECK = 16_384
 #: Slack for the rounding of the bound and of the products themselves.
 _SLACK = 1e-9
+#: A vector in the order of its least key, null keys last.
+_NODE = ("none", "least", "id")
 
 
 def quantised(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,13 +75,15 @@ def close_pairs(left: np.ndarray, right: np.ndarray, threshold: float, same: boo
 
 
 def _compare(threshold: float):
+    def nodes(rows) -> pa.Array:
+        return pa.StructArray.from_arrays([rows.field(c) for c in _NODE], names=list(_NODE))
+
     def matrix(rows) -> np.ndarray:
         flat = rows.field("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         return flat.reshape(len(rows), -1)
 
     def run(batches):
         for batch in batches:
-            out = []
             for k in range(batch.num_rows):
                 same = batch.column(2)[k].as_py()
                 a = batch.column(0)[k].values
@@ -86,18 +91,16 @@ def _compare(threshold: float):
                 i, j = close_pairs(matrix(a), matrix(b), threshold, same)
                 if not len(i):
                     continue
-                ids = a.field("id").to_pylist() + ([] if same else b.field("id").to_pylist())
+                both = nodes(a) if same else pa.concat_arrays([nodes(a), nodes(b)])
                 copies = np.concatenate([x.field("copies").to_numpy() for x in ((a,) if same else (a, b))])
                 j = j if same else j + len(a)
-                links = np.zeros(len(ids), np.int64)
+                links = np.zeros(len(both), np.int64)
                 np.add.at(links, i, copies[j])
                 np.add.at(links, j, copies[i])
-                root = local_roots(len(ids), i, j)
-                out += [(ids[n], ids[root[n]], int(links[n])) for n in np.flatnonzero(links).tolist()]
-            if out:
+                held = np.flatnonzero(links)
+                roots = local_roots(len(both), i, j)[held]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.binary()),
-                     pa.array([r[2] for r in out], pa.int64())], names=["a", "b", "links"])
+                    [both.take(pa.array(held)), both.take(pa.array(roots)), pa.array(links[held])], names=["a", "b", "links"])
 
     return run
 
@@ -139,13 +142,13 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     different = materialize(
         valid.groupBy("id").agg(F.first("_label").alias("label"), F.first("vector").alias("vector"),
                                 F.count("*").alias("copies"), F.min("_key").alias("least"))
-        .withColumn("width", F.size("vector")), "different-vectors")
+        .withColumns({"width": F.size("vector"), "none": F.col("least").isNull()}), "different-vectors")
     sizes = different.groupBy("label", "width").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     number = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
     cut = materialize(
         different.join(sizes, ["label", "width"]).withColumn("tile", number)
         .groupBy("label", "width", "tiles", "tile")
-        .agg(F.sort_array(F.collect_list(F.struct("id", "copies", "vector"))).alias("rows")), "vector-tiles")
+        .agg(F.sort_array(F.collect_list(F.struct("id", "copies", "vector", "none", "least"))).alias("rows")), "vector-tiles")
     ours = cut.select("label", "width", F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("other"),
                       F.col("tile").alias("home"), F.col("rows").alias("ours"))
     theirs = cut.select("label", "width", F.col("tile").alias("other"), F.col("rows").alias("theirs"))
@@ -153,14 +156,13 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     # Few heavy rows: they are dealt by pair of tiles, so that they spread over the tasks.
     pairs = ours.join(theirs, ["label", "width", "other"]).repartition("label", "width", "home", "other")
     pairs = pairs.select("ours", F.when(~same, F.col("theirs")).alias("theirs"), same.alias("same"))
-    found = materialize(pairs.mapInArrow(_compare(threshold), "a binary, b binary, links long"), "vector-links")
-    links = found.groupBy("a").agg(F.sum("links").alias("links"))
-    linked = components(found.select("a", "b"))
-    rooted = different.select("id", "copies", "least").join(
-        linked.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    leasts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.join(leasts, "root").join(links, rooted["id"] == links["a"], "left").select(
-        "id", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    node = f"struct<none:boolean,least:{dict(rows.dtypes)['_key']},id:binary>"
+    found = materialize(pairs.mapInArrow(_compare(threshold), f"a {node}, b {node}, links long"), "vector-links")
+    links = found.groupBy(F.col("a.id").alias("id")).agg(F.sum("links").alias("links"))
+    linked = components(found.select("a", "b")).select(F.col("node.id").alias("id"), F.col("root.least").alias("first"))
+    known = different.select("id", "copies", "least").join(linked, "id", "left").join(links, "id", "left").select(
+        "id", F.coalesce("first", "least").alias("component_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     known = materialize(known, "vector-classes")
     whole = rows.select("_key", "id").join(known, "id", "left")
     component = F.when(F.col("id").isNull(), F.col("_key")).otherwise(F.col("component_id"))
