@@ -30,6 +30,19 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = CONTAINERS | frozenset(
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr th thead tbody tfoot caption pre address header fieldset "
     "figcaption summary hr br option".split())
+#: Elements that a tag closes when it opens, and those that it does not reach across.
+_SECTIONS = ("article", "section", "main", "aside", "nav", "blockquote", "form", "table", "td", "th", "caption")
+_LIST = (("li",), ("ul", "ol", "menu", "dir", *_SECTIONS))
+_TERM = (("dt", "dd"), ("dl", *_SECTIONS))
+_CELL = (("td", "th"), ("tr", "table"))
+_ROW = (("tr",), ("table", "thead", "tbody", "tfoot"))
+_GROUP = (("thead", "tbody", "tfoot"), ("table",))
+CLOSED_BY = {"li": _LIST, "dt": _TERM, "dd": _TERM, "td": _CELL, "th": _CELL, "tr": _ROW, "thead": _GROUP,
+             "tbody": _GROUP, "tfoot": _GROUP, "option": (("option",), ("select", "datalist"))}
+#: Tags that close an open paragraph, and elements that keep an outer one open.
+ENDS_P = (BLOCKS | {"aside", "footer", "form", "menu", "nav", "dialog"}) - {
+    "html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "br", "option"}
+FENCE_P = ("td", "th", "caption", "button", "object")
 #: Words of classes, ids and roles that mark parts outside the main text.
 ASIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner promo promoted sponsor sponsored sidebar "
@@ -75,6 +88,9 @@ def read_page(source: str) -> Page:
     """Containers and blocks of a page, tolerant of unclosed, crossed and cut-off tags."""
     page = Page([-1], [""])
     stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, outside the main text
+    places: dict[str, list[int]] = {}  # of every tag, where on the stack it is open
+    special = [0]  # where elements are open that inline tags do not reach across
+    depths = [0]
     pieces: list[str] = []
     linked, in_link, at, size = 0, False, 0, len(source)
 
@@ -88,6 +104,17 @@ def read_page(source: str) -> Page:
             pieces.clear()
         linked = 0
 
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def close(depth: int) -> None:
+        if stack[-1][1:] != stack[depth - 1][1:]:
+            flush()
+        while len(stack) > depth:
+            places[stack.pop()[0]].pop()
+        while special[-1] >= depth:
+            special.pop()
+
     while at < size:
         m = _TAG.search(source, at)
         stop = m.start() if m else size
@@ -102,6 +129,13 @@ def read_page(source: str) -> Page:
         if not m[1]:
             if tag in BLOCKS:
                 flush()
+            if tag in CLOSED_BY:
+                tags, fence = CLOSED_BY[tag]
+                depth = last(tags)
+                if depth > last(fence):
+                    close(depth)
+            if tag in ENDS_P and places.get("p") and places["p"][-1] > last(FENCE_P):
+                close(places["p"][-1])
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
                 at = end.end() if end else size
@@ -109,31 +143,34 @@ def read_page(source: str) -> Page:
                 in_link = True
             elif tag in VOID or m[3].endswith("/") and tag not in CONTAINERS:
                 continue
-            elif tag in CONTAINERS or tag in NEVER or "=" in m[3] or tag == "header":
+            else:
                 attributes = _attributes(m[3])
                 outside = stack[-1][2] or tag in NEVER or tag not in ("html", "body") and _aside(attributes)
                 # A header that stands in an article belongs to it; any other is the page's.
-                outside = outside or tag == "header" and not any(t in ("article", "main") for t, _, _ in stack)
+                outside = outside or tag == "header" and not last(("article", "main"))
                 if outside and not stack[-1][2]:
                     flush()
                 here = stack[-1][1]
-                if tag in CONTAINERS and not outside and len(stack) <= DEPTH:
+                if tag in CONTAINERS and not outside and depths[here] < DEPTH:
                     classes = sorted(_NUMBER.sub("0", attributes.get("class", "").lower()).split())
                     name = "".join(f"#{x}" for x in _NUMBER.sub("0", attributes.get("id", "").lower()).split()[:1])
                     page.paths.append("/".join([page.paths[here], ".".join([tag + name, *classes])]))
                     page.parents.append(here)
+                    depths.append(depths[here] + 1)
                     here = len(page.parents) - 1
+                places.setdefault(tag, []).append(len(stack))
+                if tag in BLOCKS or tag in NEVER:
+                    special.append(len(stack))
                 stack.append((tag, here, outside))
         elif tag == "a":
             in_link = False
         else:
             if tag in BLOCKS:
                 flush()
-            depth = next((d for d in range(len(stack) - 1, max(0, len(stack) - 1 - 4 * DEPTH), -1) if stack[d][0] == tag), 0)
-            if depth:
-                if not stack[-1][2]:
-                    flush()
-                del stack[depth:]
+            depth = last((tag,))
+            # An inline tag that ends across an open block leaves the block open, unless it is what hides the text.
+            if depth and (depth >= special[-1] or stack[depth][2] and not stack[depth - 1][2]):
+                close(depth)
     if not stack[-1][2]:
         flush()
     return page

@@ -232,6 +232,22 @@ def test_article_text_of_given_pages(spark, sf):
         assert r["text"] == want[r["page_id"]]
 
 
+def read(source):
+    return html.main_text(html.read_page(source), [])
+
+
+@pytest.mark.parametrize("n", [200, 300, 5000])
+def test_closing_tags_at_any_depth(n):
+    """An article after a long menu comes back whatever the menu's length, and items close their siblings."""
+    story = "<article><p>The story itself</p></article>"
+    for item in ("<li class=x>item", "<p class=x>item", "<tr class=x><td class=y>cell", "<i class=x>word"):
+        assert read(f"<body><nav>{item * n}</nav>{story}</body>") == "The story itself"
+    assert read("<ul>" + "<li class=ad>Buy<li class=x>keep this" * n + "</ul>") == " ".join(["keep this"] * n)
+    assert read("<ul><li class=ad>Buy<ul><li>now</li></ul>more</li><li>kept</ul>") == "kept"
+    assert read("<p class=ad>Buy<div>kept</div>") == "kept"
+    assert read("<b><div>one</b> two</div>") == "one two"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/!-\"'= abpdiv&;\n", max_size=80))
 def test_any_text_is_read(source):
