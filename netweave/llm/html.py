@@ -4,7 +4,7 @@ Each page is read into containers and blocks of text.  A container's path is the
 tags, names and classes above it, numbers made general.  A page scores the containers that hold
 most of its text outside links and outside parts that are never main text (menus, adverts,
 comments and so on, known by tag, role or class), and votes for the deepest that holds
-nearly all of it.  Spark adds up the votes of a host, and every page is then extracted from
+nearly all of it, widened to its article or to the containers above that have text of their own.  Spark adds up the votes of a host, and every page is then extracted from
 the containers on the best path of its host that it has.
 """
 
@@ -50,6 +50,8 @@ ASIDE = frozenset(
     "alert popup modal newsletter subscribe subscription signup login share sharing social related recommended "
     "recommendations comment comments reply replies disqus pagination pager toolbar widget skip "
     "complementary contentinfo search".split())
+#: Containers that pages are laid out in; the others are parts of a text.
+LAYOUT = frozenset("html body main article section div".split())
 #: A container votes if it holds at least this share of its page's text.
 SHARE = 0.9
 #: Paths kept per host.
@@ -72,6 +74,7 @@ class Page:
     parents: list[int] = slot(default_factory=list)
     paths: list[str] = slot(default_factory=list)
     blocks: list[tuple[int, str, int]] = slot(default_factory=list)
+    tags: list[str] = slot(default_factory=lambda: [""])
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -156,6 +159,7 @@ def read_page(source: str) -> Page:
                     name = "".join(f"#{x}" for x in _NUMBER.sub("0", attributes.get("id", "").lower()).split()[:1])
                     page.paths.append("/".join([page.paths[here], ".".join([tag + name, *classes])]))
                     page.parents.append(here)
+                    page.tags.append(tag)
                     depths.append(depths[here] + 1)
                     here = len(page.parents) - 1
                 places.setdefault(tag, []).append(len(stack))
@@ -176,12 +180,36 @@ def read_page(source: str) -> Page:
     return page
 
 
+def widened(page: Page, containers: list[int]) -> set[int]:
+    """The containers, each widened to the whole text that it is a part of.
+
+    That is its outermost article or main.  Where it has none, it is the nearest container that a
+    layout is made of, and above that the highest that has text outside links of its own, as a
+    title or lead beside the body.
+    """
+    direct = {n for n, text, linked in page.blocks if len(text) > 2 * linked}
+    found = set()
+    for n in containers:
+        above = [n]
+        while above[-1] > 0:
+            above.append(page.parents[above[-1]])
+        whole = [a for a in above if page.tags[a] in ("article", "main")]
+        if not whole:
+            at = next(i for i, a in enumerate(above) if a == 0 or page.tags[a] in LAYOUT)
+            whole = [above[at], *(a for a in above[at:] if a in direct)]
+        found.add(whole[-1])
+    return found
+
+
 def votes(page: Page) -> list[tuple[str, float]]:
-    """The page's vote: the deepest path that holds nearly all of its text, weighted by how much that is."""
+    """The page's vote: the deepest path that holds nearly all of its text, widened, weighted by how much that is."""
     held = [0.0] * len(page.parents)
     for container, text, linked in page.blocks:
         held[container] += max(0, len(text) - 2 * linked)
     by_path: dict[str, float] = {}
+    depth = {"": 0}
+    for n in range(1, len(held)):
+        depth[page.paths[n]] = depth[page.paths[page.parents[n]]] + 1
     for n in range(len(held) - 1, 0, -1):
         held[page.parents[n]] += held[n]
     for n, h in enumerate(held):
@@ -189,20 +217,22 @@ def votes(page: Page) -> list[tuple[str, float]]:
     total = by_path.get("", 0.0)
     if not total:
         return []
-    best = max((p for p, h in by_path.items() if h >= SHARE * total), key=lambda p: (p.count("/"), p))
-    return [(best, log1p(total))]
+    best = max((p for p, h in by_path.items() if h >= SHARE * total), key=lambda p: (depth[p], p))
+    top = widened(page, [page.paths.index(best)]).pop()
+    return [(page.paths[top], log1p(total))]
 
 
 def main_text(page: Page, paths: list[str]) -> str:
-    """The blocks in the containers on the first of ``paths`` that the page has text on, joined by spaces."""
+    """The blocks in the containers, widened, on the first of ``paths`` that the page has text on, joined by spaces."""
     present = set(page.paths)
     own = [p for p, _ in votes(page)]
     for path in [*paths, *own]:
         if path not in present:
             continue
+        top = widened(page, [n for n, p in enumerate(page.paths) if p == path])
         inside = [False] * len(page.paths)
-        for n, p in enumerate(page.paths):
-            inside[n] = p == path or n > 0 and inside[page.parents[n]]
+        for n in range(len(page.paths)):
+            inside[n] = n in top or n > 0 and inside[page.parents[n]]
         text = " ".join(t for c, t, _ in page.blocks if inside[c])
         if text:
             return text

@@ -248,6 +248,19 @@ def test_closing_tags_at_any_depth(n):
     assert read("<b><div>one</b> two</div>") == "one two"
 
 
+@pytest.mark.parametrize("outer", ["article", "main", "div class=page", "section"])
+def test_title_and_lead_beside_a_long_body(spark, outer):
+    body = f"<body><div class=top><a href=x>Home</a></div><{outer}><h1>Title</h1><p>lead</p>{{}}</{outer.split()[0]}></body>"
+    long = "long text " * 300
+    inner = [f"<div class=body>{long}</div>", "<div class=body>short</div>", f"<blockquote>{long}</blockquote>",
+             f"<table><tr><td>{long}</td></tr></table>", f"<details>{long}</details>"]
+    wants = ["Title lead " + " ".join(re.sub("<[^>]*>", " ", x).split()) for x in inner]
+    assert [read(body.format(x)) for x in inner] == wants
+    rows = [(i, f"http://h{i if i > 1 else 0}.example/", body.format(x)) for i, x in enumerate(inner)]
+    got = html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == dict(enumerate(wants))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/!-\"'= abpdiv&;\n", max_size=80))
 def test_any_text_is_read(source):
