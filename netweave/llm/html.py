@@ -2,8 +2,8 @@
 
 Each page is read into containers and blocks of text.  A container's path is the chain of
 tags, names and classes above it, numbers made general.  A page scores the containers that hold
-most of its text outside links and outside parts that are never main text (menus, adverts,
-comments and so on, known by tag, role or class), and votes for the deepest that holds
+most of its text outside links and outside parts that are not main text (menus, adverts,
+comments and so on, known by tag, role or a whole class or id), and votes for the deepest that holds
 nearly all of it, widened to its article or to the containers above that have text of their own.  Spark adds up the votes of a host, and every page is then extracted from
 the containers on the best path of its host that it has.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field as slot
 from math import log1p
 
@@ -64,7 +65,7 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+|[^>]*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _NUMBER = re.compile(r"\d+")
-_MARK = re.compile(r"[^a-z0-9]+")
+_ENDING = re.compile(r"[\d_-]+\Z")
 
 
 @dataclass
@@ -83,14 +84,23 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
 
 
-def _aside(attributes: dict[str, str]) -> bool:
-    return any(not ASIDE.isdisjoint(_MARK.split(v.lower())) for v in attributes.values())
+def _aside(values: Iterable[str]) -> bool:
+    """Whether a whole class, id or role, but for a number at its end, is a word of ASIDE."""
+    return any(_ENDING.sub("", name) in ASIDE for v in values for name in v.lower().split())
 
 
 def read_page(source: str) -> Page:
-    """Containers and blocks of a page, tolerant of unclosed, crossed and cut-off tags."""
+    """Containers and blocks of a page, tolerant of unclosed, crossed and cut-off tags.
+
+    Parts that only a class or id marks as aside are read as well.  They count as main text if they
+    hold a main, or an article where none stands outside such parts, and all of them do if a page
+    that was not cut off has no other text outside links.
+    """
     page = Page([-1], [""])
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, outside the main text
+    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, container, zone
+    zones = [-1]  # zones marked by class or id, as the zone around each; 0 is the main text, -1 what is never read
+    holding: dict[str, set[int]] = {"main": set(), "article": set()}  # zones with such an element
+    read: list[tuple[int, tuple[int, str, int]]] = []  # zone and block
     places: dict[str, list[int]] = {}  # of every tag, where on the stack it is open
     special = [0]  # where elements are open that inline tags do not reach across
     depths = [0]
@@ -103,7 +113,7 @@ def read_page(source: str) -> Page:
             text = "".join(pieces)
             text = " ".join((entities.unescape(text) if "&" in text else text).split())
             if text:
-                page.blocks.append((stack[-1][1], text, min(linked, len(text))))
+                read.append((stack[-1][2], (stack[-1][1], text, min(linked, len(text)))))
             pieces.clear()
         linked = 0
 
@@ -121,7 +131,7 @@ def read_page(source: str) -> Page:
     while at < size:
         m = _TAG.search(source, at)
         stop = m.start() if m else size
-        if stop > at and not stack[-1][2]:
+        if stop > at and stack[-1][2] >= 0:
             pieces.append(source[at:stop])
             linked += (stop - at) * in_link
         if not m:
@@ -148,13 +158,20 @@ def read_page(source: str) -> Page:
                 continue
             else:
                 attributes = _attributes(m[3])
-                outside = stack[-1][2] or tag in NEVER or tag not in ("html", "body") and _aside(attributes)
-                # A header that stands in an article belongs to it; any other is the page's.
-                outside = outside or tag == "header" and not last(("article", "main"))
-                if outside and not stack[-1][2]:
-                    flush()
-                here = stack[-1][1]
-                if tag in CONTAINERS and not outside and depths[here] < DEPTH:
+                here, zone = stack[-1][1:]
+                if zone >= 0 and tag in holding:
+                    holding[tag].add(zone)
+                elif zone >= 0 and tag not in ("html", "body"):
+                    # A header that stands in an article belongs to it; any other is the page's.
+                    if (tag in NEVER or tag == "header" and not last(("article", "main"))
+                            or _aside([attributes.get("role", "")])):
+                        flush()
+                        zone = -1
+                    elif _aside(attributes.values()):
+                        flush()
+                        zones.append(zone)
+                        zone = len(zones) - 1
+                if tag in CONTAINERS and zone >= 0 and depths[here] < DEPTH:
                     classes = sorted(_NUMBER.sub("0", attributes.get("class", "").lower()).split())
                     name = "".join(f"#{x}" for x in _NUMBER.sub("0", attributes.get("id", "").lower()).split()[:1])
                     page.paths.append("/".join([page.paths[here], ".".join([tag + name, *classes])]))
@@ -165,7 +182,7 @@ def read_page(source: str) -> Page:
                 places.setdefault(tag, []).append(len(stack))
                 if tag in BLOCKS or tag in NEVER:
                     special.append(len(stack))
-                stack.append((tag, here, outside))
+                stack.append((tag, here, zone))
         elif tag == "a":
             in_link = False
         else:
@@ -173,10 +190,24 @@ def read_page(source: str) -> Page:
                 flush()
             depth = last((tag,))
             # An inline tag that ends across an open block leaves the block open, unless it is what hides the text.
-            if depth and (depth >= special[-1] or stack[depth][2] and not stack[depth - 1][2]):
+            if depth and (depth >= special[-1] or stack[depth][2] != stack[depth - 1][2]):
                 close(depth)
-    if not stack[-1][2]:
-        flush()
+    flush()
+    lifted = {0}
+    for kept in holding.values():
+        if lifted.isdisjoint(holding["main"] | holding["article"]) or kept is holding["main"]:
+            for zone in kept:
+                around = []
+                while zone > 0:
+                    around.append(zone)
+                    zone = zones[zone]
+                # An article in an aside part of another article is a comment or the like.
+                if kept.isdisjoint(around[1:]):
+                    lifted.update(around)
+    page.blocks = [block for zone, block in read if zone in lifted]
+    cut_off = any(tag in CONTAINERS or tag in NEVER for tag, _, _ in stack)
+    if not cut_off and all(len(text) <= 2 * n for _, text, n in page.blocks) and any(len(text) > 2 * n for _, (_, text, n) in read):
+        page.blocks = [block for _, block in read]
     return page
 
 

@@ -261,6 +261,29 @@ def test_title_and_lead_beside_a_long_body(spark, outer):
     assert {r["page_id"]: r["text"] for r in got} == dict(enumerate(wants))
 
 
+@pytest.mark.parametrize("outer", [
+    "div class='content has-sidebar'", "main class='no-sidebar'", "main class=comments", "article class='post comments-open'",
+    "article id=related", "div id=social", "div class=notice"])
+def test_article_in_a_part_with_an_aside_class(outer):
+    tag = outer.split()[0]
+    page = f"<body><nav>Menu</nav><div><a href=x>link</a></div><{outer}><p>The story</p></{tag}><div class='ad-12'>Buy</div></body>"
+    if outer.split()[-1] not in ("id=social", "class=notice"):
+        assert read(page) == "The story"
+    assert "The story" in read(page) and "Menu" not in read(page)
+    inner = f"<body><div class='social wide'><ul class=menu><li>Share</ul><{outer}><p>The story</p></{tag}></div></body>"
+    if tag in ("main", "article"):
+        assert read(inner) == "The story"
+
+
+def test_parts_with_an_aside_class_stay_out():
+    assert read("<body><article>Story</article><div class=comments><article>I like it</article></div></body>") == "Story"
+    assert read("<body><article>Story<div id=share>Share</div><aside><main>no</main></aside></article></body>") == "Story"
+    assert read("<body><article>Story</article><div role=navigation>Go</div><div class='x sidebar_2'>Buy</div></body>") == "Story"
+    assert read("<div class=social><article>Story<div class=comments><article>I like it</article></div></article></div>") == "Story"
+    # A page that ends before its article has none.
+    assert read("<body><nav>Menu</nav><div class=ad>Buy</div>") == read("<body><nav>Menu</nav><div class=ad>Bu") == ""
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/!-\"'= abpdiv&;\n", max_size=80))
 def test_any_text_is_read(source):
