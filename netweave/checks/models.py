@@ -11,7 +11,7 @@ from netweave.operators.crossdata import CrossOptions, cross_evaluate, cross_fin
 from netweave.operators.features import FlowPreprocessor
 from netweave.operators.metrics import evaluate, roc_auc
 from netweave.operators.sampling import with_fold
-from netweave.operators.search import draw_settings, grid_settings, search
+from netweave.operators.search import GRID_SPACE, RANDOM_SPACE, draw_settings, grid_settings, search
 from netweave.operators.weights import class_weights, weight_map, with_weight
 from netweave.plans.presets import subset_robust
 from netweave.session import materialize, small_table
@@ -64,15 +64,6 @@ def fit_meta_rf(spark, sf):
     return _scored(mod.forest(weight="weight").fit(with_weight(train, "label", weights)), test)
 
 
-def small_bases(width):
-    return {
-        "p_a": mod.dense_net(width, hidden=(8,), iterations=20),
-        "p_b": mod.logistic(penalty=1e-3, iterations=20),
-        "p_c": mod.forest(8, 5),
-        "p_d": mod.boosted_trees(5, 3),
-    }
-
-
 @query("model_facts", f"""
 WITH {LABELLED}, held AS (SELECT label FROM labelled WHERE {unit_sql(seed=11)} < 0.3)
 SELECT learner, count(*) AS rows, CAST(sum(label) AS BIGINT) AS positives, count(*) AS in_range, true AS better_than_chance
@@ -86,9 +77,9 @@ def model_facts(spark, sf):
     """
     table, model = prepared(spark, sf)
     train, test = parts(table)
-    learners = small_bases(len(model.feature_names()))
+    learners = mod.default_bases(len(model.feature_names()))
     names = dict(p_a="dense", p_b="logistic", p_c="forest", p_d="boosted", score="stacked")
-    scored = materialize(mod.StackedClassifier(learners, mod.logistic(), folds=2).fit(train).score(test), "scored")
+    scored = materialize(mod.StackedClassifier(learners, mod.logistic()).fit(train).score(test), "scored")
     rows = []
     for column, name in names.items():
         facts = scored.agg(F.count("*"), F.sum("label").cast("long"), F.count_if(F.col(column).between(0, 1))).first()
@@ -101,7 +92,7 @@ def stack_fit(spark, sf):
     """Out-of-fold stacking, tested on held-out rows."""
     table, model = prepared(spark, sf)
     train, test = parts(table)
-    stack = mod.StackedClassifier(small_bases(len(model.feature_names())), mod.logistic(), folds=3).fit(train)
+    stack = mod.StackedClassifier(mod.default_bases(len(model.feature_names())), mod.logistic()).fit(train)
     return rounded(evaluate(stack.score(test), "label", "score"), 4)
 
 
@@ -114,7 +105,7 @@ def score_apply(spark, sf):
 @query("reweight_rounds")
 def reweight_rounds(spark, sf):
     train, test = parts(prepared(spark, sf)[0])
-    fit = mod.reweighted_fit(lambda: mod.logistic(penalty=0.01, iterations=20), train, test)
+    fit = mod.reweighted_fit(lambda: mod.logistic(penalty=0.01), train, test)
     rows = [(h["round"], h["macro_f1"], h["loss"], h["weight_0"], h["weight_1"], h["round"] == fit.best_round)
             for h in fit.history]
     return small_table(
@@ -125,36 +116,36 @@ def reweight_rounds(spark, sf):
 @query("importance_rank")
 def importance_rank(spark, sf):
     table, prep = prepared(spark, sf)
-    model = mod.boosted_trees(10, 4).fit(table)
+    model = mod.boosted_trees().fit(table)
     return rounded(mod.top_importances(mod.importance_table(table, model, prep.feature_names()), 10), 4)
 
 
 @query("round_metrics")
 def round_metrics(spark, sf):
     train, test = parts(prepared(spark, sf)[0])
-    return rounded(mod.round_metrics(mod.boosted_trees(5, 3).fit(train), test), 4)
+    return rounded(mod.round_metrics(mod.boosted_trees().fit(train), test), 4)
 
 
-_SPACE = {"trees": (3, 5), "depth": (2, 3), "rate": (0.1, 0.3)}
+#: Draws of the random search, as the reference has for its meta learner.
+_TRIALS = 30
 
 
 @query("search_random")
 def search_random(spark, sf):
     table = with_fold(prepared(spark, sf)[0], 3, "row_id")
-    return rounded(search(mod.boosted_trees, table, draw_settings(_SPACE, 4))[0], 4)
+    return rounded(search(mod.boosted_trees, table, draw_settings(RANDOM_SPACE, _TRIALS))[0], 4)
 
 
 @query("search_grid")
 def search_grid(spark, sf):
     table = with_fold(prepared(spark, sf)[0], 3, "row_id")
-    settings = grid_settings({"penalty": (0.0, 0.1), "mix": (0.0, 0.5)})
-    return rounded(search(lambda **s: mod.logistic(iterations=20, **s), table, settings)[0], 4)
+    return rounded(search(mod.boosted_trees, table, grid_settings(GRID_SPACE))[0], 4)
 
 
 @query("regularization_compare")
 def regularization_compare(spark, sf):
     train, test = parts(prepared(spark, sf)[0])
-    return rounded(mod.regularization_compare(train, test, trees=3), 4)
+    return rounded(mod.regularization_compare(train, test), 4)
 
 
 def foreign(spark, sf):
@@ -167,8 +158,7 @@ def foreign(spark, sf):
 @query("cross_eval")
 def cross_eval(spark, sf):
     table, prep = prepared(spark, sf)
-    stack = mod.StackedClassifier(
-        {"p_b": mod.logistic(penalty=1e-3, iterations=20), "p_c": mod.forest(8, 5)}, mod.logistic(), folds=2).fit(table)
+    stack = mod.StackedClassifier(mod.default_bases(len(prep.feature_names())), mod.logistic()).fit(table)
     return rounded(cross_evaluate(foreign(spark, sf), prep, stack, CrossOptions()), 4)
 
 
@@ -176,6 +166,6 @@ def cross_eval(spark, sf):
 def finetune(spark, sf):
     df = labelled(spark, sf).withColumn("label", F.col("label").cast("double"))
     prep = FlowPreprocessor(numeric=NUMERIC, text=TEXT, label="label").fit(df)
-    bases = {"p_b": mod.logistic(penalty=1e-3, iterations=10), "p_c": mod.forest(5, 4)}
-    tuned = cross_finetune(foreign(spark, sf), prep, bases, CrossOptions(), _SPACE, trials=2, folds=2)
+    bases = mod.default_bases(len(prep.feature_names()))
+    tuned = cross_finetune(foreign(spark, sf), prep, bases, CrossOptions(), RANDOM_SPACE)
     return rounded(tuned.metrics, 4)

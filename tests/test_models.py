@@ -144,3 +144,51 @@ def test_cross_finetuning(spark, sf, fitted):
     space = {"trees": (2, 3), "depth": (2,)}
     tuned = cross_finetune(foreign(spark, sf), prep, bases, CrossOptions(), space, trials=2, folds=2)
     assert tuned.metrics.first()["auc"] > 0.8 and tuned.trials.count() == 2
+
+
+class Stop(Exception):
+    pass
+
+
+def test_model_queries_use_full_defaults(spark, monkeypatch):
+    """No query hands its operator fewer trees, rounds, bases, trials or settings than the defaults."""
+    from unittest.mock import MagicMock
+
+    from netweave.checks import models as queries
+
+    seen = {}
+
+    def stop(name):
+        def record(*args, **named):
+            seen[name] = args, named
+            raise Stop
+
+        return record
+
+    prep = MagicMock()
+    prep.feature_names.return_value = ["a", "b"]
+    for name in ("labelled", "foreign", "with_fold", "cross_evaluate", "FlowPreprocessor"):
+        monkeypatch.setattr(queries, name, MagicMock())
+    queries.FlowPreprocessor.return_value.fit.return_value = prep
+    monkeypatch.setattr(queries, "prepared", lambda *_: (MagicMock(), prep))
+    monkeypatch.setattr(queries, "parts", lambda _: (MagicMock(), MagicMock()))
+    monkeypatch.setattr(queries.mod, "default_bases", lambda width: ("all", width))
+    for owner, name in ((queries.mod, "StackedClassifier"), (queries.mod, "boosted_trees"), (queries, "search"),
+                        (queries, "cross_finetune"), (queries.mod, "regularization_compare")):
+        monkeypatch.setattr(owner, name, stop(name))
+
+    def call(fn, name):
+        with pytest.raises(Stop):
+            fn(None, None)
+        return seen.pop(name)
+
+    for fn in (queries.stack_fit, queries.model_facts, queries.cross_eval):
+        args, named = call(fn, "StackedClassifier")
+        assert args[0] == ("all", 2) and "folds" not in named
+    for fn in (queries.importance_rank, queries.round_metrics):
+        assert call(fn, "boosted_trees") == ((), {})
+    assert call(queries.regularization_compare, "regularization_compare")[1] == {}
+    assert len(call(queries.search_random, "search")[0][2]) == 30
+    assert call(queries.search_grid, "search")[0][2] == srch.grid_settings(srch.GRID_SPACE)
+    args, named = call(queries.finetune, "cross_finetune")
+    assert args[2] == ("all", 2) and args[4] == srch.RANDOM_SPACE and not named
