@@ -131,7 +131,7 @@ def _levels(calls: DataFrame) -> DataFrame:
     """(``conv``, ``call_id``, ``level``): null for calls on or behind a circle of references.
 
     Where all references of a conversation point to earlier turns, every level is 0 and the
-    turns are the order.  Elsewhere the level is the longest chain of references below a call.
+    turns are the order; a turn that is null is not earlier than any.  Elsewhere the level is the longest chain of references below a call.
     A round settles the calls whose references are all settled, and lets a reference to a call
     with one open reference of its own point to that one's target, with the steps added up: a
     chain takes as many rounds as its length has binary digits.  More steps than there are
@@ -141,7 +141,7 @@ def _levels(calls: DataFrame) -> DataFrame:
     turns = calls.select("conv", F.col("call_id").alias("ref"), F.col("turn").alias("_turn"))
     needs = materialize(
         calls.select(*name, "turn", F.explode(F.array_distinct("refs")).alias("ref")).join(turns, end)
-        .select(*name, "ref", (F.col("_turn") < F.col("turn")).alias("back")), "references")
+        .select(*name, "ref", F.coalesce(F.col("_turn") < F.col("turn"), F.lit(False)).alias("back")), "references")
     hard = needs.where("not back").select("conv").distinct()
     easy = calls.join(hard, "conv", "left_anti").select(*name, F.lit(0).cast("long").alias("level"))
     nodes = materialize(calls.join(hard, "conv", "left_semi").select(

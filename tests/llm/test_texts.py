@@ -343,6 +343,12 @@ def test_tool_calls(spark):
     assert (got[9, "p"]["status"], got[9, "p"]["position"], got[9, "p"]["valid"]) == ("no_call", None, False)
 
 
+def test_call_without_a_turn_follows_what_it_refers_to(spark):
+    rows = [(5, None, "n", "add", ref("p"), 0, ""), (5, 1, "p", "add", "{}", 0, "")]
+    got = chat.link_tool_calls(spark.createDataFrame(rows, CALLS), spark.createDataFrame([], RESULTS), SCHEMAS).collect()
+    assert {r["call_id"]: (r["level"], r["position"]) for r in got} == {"p": (0, 1), "n": (1, 2)}
+
+
 def test_every_turn_reaches_the_calls_whole(spark):
     """Long assistant texts, system turns and opening user turns all stand in the JSON."""
     from netweave.llm.queries import WHOLE_TOOLS, conversation_turns
