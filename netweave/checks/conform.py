@@ -69,6 +69,20 @@ def csv_by_name(spark, sf):
     return df
 
 
+@query("csv_orders_by_name", """
+SELECT o_orderkey AS key, o_orderpriority AS priority, o_totalprice::DOUBLE AS price FROM orders
+""")
+def csv_orders_by_name(spark, sf):
+    """As ``csv_by_name``, over a table that grows."""
+    orders = table(spark, sf, "orders")
+    first, second = scratch_path(spark, "orders-by-name"), scratch_path(spark, "orders-by-name")
+    write_csv(orders.where("o_orderkey % 2 = 0").selectExpr("o_orderkey AS key", "o_orderpriority AS priority", "o_totalprice AS price"), first)
+    write_csv(orders.where("o_orderkey % 2 <> 0").selectExpr("o_totalprice AS price", "o_orderpriority AS priority", "o_orderkey AS key"), second)
+    df, skipped = read_flows_reported(spark, [first, first + "-absent", second], "key bigint, priority string, price double")
+    assert list(skipped) == [first + "-absent"]
+    return df
+
+
 # --- conformance ---------------------------------------------------------------------
 
 def _zeros(names):
