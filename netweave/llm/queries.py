@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netweave.llm.audit import audit_filters
 from netweave.llm.base import crc_bucket
 from netweave.llm.chat import link_tool_calls
 from netweave.llm.decontaminate import contamination
@@ -16,6 +17,7 @@ from netweave.llm.mixing import mix_sources
 from netweave.llm.quality import fit_quality, score_quality
 from netweave.llm.secrets import secret_spans
 from netweave.llm.simhash import near_duplicates
+from netweave.llm.spelling import spelling_groups
 from netweave.llm.tokens import token_counts
 from netweave.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -326,3 +328,97 @@ def conversation_turns(talk: DataFrame) -> tuple[DataFrame, DataFrame]:
 def op10_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = conversation_turns(table(spark, sf_dir, "conversations"))
     return link_tool_calls(calls, results, WHOLE_TOOLS).withColumnRenamed("conv", "conv_id")
+
+
+# crc32 over the code points' UTF-8 bytes, its table built from the polynomial.  Near words share a
+# word with one letter masked or left out.
+_SPELLING_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS crc_table FROM (
+    SELECT i, list_reduce([CAST(i AS BIGINT)] || range(8),
+      lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i))),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(
+      range(CAST(octet_length(encode(ident)) AS BIGINT)), lambda i: CAST('0x' || substr(hex(ident), 2 * i + 1, 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, crc_table[CAST(xor(c & 255, b) AS BIGINT) + 1]))) AS h
+  FROM (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS ident FROM runs), crc),
+vocabulary AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+    FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary),
+masked AS (SELECT word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS m FROM places),
+shorter AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS m FROM places),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM masked a JOIN masked b ON a.m = b.m AND a.word <> b.word
+  UNION ALL SELECT s.word, v.word, v.n FROM shorter s JOIN vocabulary v ON s.m = v.word
+  UNION ALL SELECT v.word, s.word, s.n FROM shorter s JOIN vocabulary v ON s.m = v.word),
+best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS most FROM near GROUP BY word),
+forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * v.n THEN most END AS form_n,
+    CASE WHEN most >= 5 * v.n THEN (SELECT min(other) FROM near x WHERE x.word = v.word AND x.other_n = best.most) END AS form
+  FROM vocabulary v LEFT JOIN best USING (word)),
+led AS (
+  SELECT word, word AS root, 0 AS steps FROM forms
+  UNION ALL SELECT led.word, forms.form, steps + 1 FROM led JOIN forms ON forms.word = led.root WHERE forms.form IS NOT NULL)
+SELECT forms.word, form, root, n, n_near, form_n
+FROM forms JOIN (SELECT word, arg_max(root, steps) AS root FROM led GROUP BY word) USING (word)
+"""
+
+
+@query("op11_spelling", _SPELLING_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+# Plays every order on every document: a document goes at the first step whose filter it fails.
+_AUDIT_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda w: w <> '') AS words FROM documents),
+facts AS (
+  SELECT part,
+    CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY body) THEN 'E' ELSE '' END AS fails,
+    coalesce((SELECT max(quality) FROM labels l WHERE l.doc_id = docs.doc_id) = 1, false) AS good,
+    coalesce((SELECT max(toxic) FROM labels l WHERE l.doc_id = docs.doc_id) = 1, false) AS bad
+  FROM docs),
+kinds AS (SELECT part, fails, good, bad, count(*) AS n FROM facts GROUP BY ALL),
+orders AS (
+  SELECT '' AS filter_order
+  UNION ALL SELECT filter_order || f FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(filter_order, f)),
+steps AS (
+  SELECT filter_order, step, substr(filter_order, CAST(step AS BIGINT), 1) AS f
+  FROM orders, (SELECT unnest(range(1, 6)) AS step) WHERE length(filter_order) = 5),
+gone AS (
+  SELECT kinds.*, filter_order, (SELECT min(strpos(filter_order, l)) FROM (SELECT unnest(string_split(fails, '')) AS l) WHERE l <> '') AS goes
+  FROM kinds, orders WHERE length(filter_order) = 5),
+played AS (
+  SELECT part, filter_order, step, f,
+    coalesce(sum(n) FILTER (goes IS NULL OR goes > step), 0) AS kept,
+    coalesce(sum(n) FILTER (goes = step), 0) AS removed,
+    coalesce(sum(n) FILTER (contains(fails, f) AND goes < step), 0) AS redundant,
+    coalesce(sum(n) FILTER (fails = f), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (goes = step AND good), 0) AS good_lost,
+    coalesce(sum(n) FILTER (goes = step AND bad), 0) AS toxic_lost
+  FROM gone JOIN steps USING (filter_order) GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM played
+"""
+
+
+@query("op12_filter_audit", _AUDIT_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
