@@ -13,6 +13,7 @@ from netweave.llm.chat import link_tool_calls
 from netweave.llm.decontaminate import contamination
 from netweave.llm.embeddings import near_vectors
 from netweave.llm.html import extract_pages
+from netweave.llm.lm import score_texts
 from netweave.llm.mixing import mix_sources
 from netweave.llm.quality import fit_quality, score_quality
 from netweave.llm.secrets import secret_spans
@@ -422,3 +423,8 @@ FROM played
 @query("op12_filter_audit", _AUDIT_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_lm_score")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), crc_bucket(F.col("doc_id"), 5) != 1)
