@@ -17,33 +17,37 @@ of them.  An empty table gives no rows.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Mapping, Sequence
+import re
+from collections.abc import Callable, Sequence
+from hashlib import sha256
 from math import factorial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netweave.llm.base import field
+from netweave.llm.base import each_bytes, field, over_texts
 
-_BLANKS = " \t\n\x0b\x0c\r"
-#: Named tests of a text, each one true where the text fails.
-Rules = Callable[[Column], Mapping[str, Column]]
+#: Names of tests of a text, and what a text's bytes fail, in the order of the names.
+Rules = tuple[str, Callable[[bytes], Sequence[bool]]]
 #: Rows without a key are dealt over this many places when labels are joined.
 _SPREAD = 256
+_UPPER = bytes(range(65, 91))
+_CONTINUED = bytes(range(128, 192))
+_SIGNS = re.compile(rb"[#$%&*|]")
 
 
-def text_failures(body: Column) -> dict[str, Column]:
-    """Fixed rules that need only the text: A too short, B repetitive, C loud, D odd signs."""
-    trimmed = F.btrim(body, F.lit(_BLANKS))
-    words = F.split(trimmed, r"[ \t-\r]+")
-    n = F.when(trimmed == "", 0).otherwise(F.size(words))
-    distinct = F.when(trimmed == "", 0).otherwise(F.size(F.array_distinct(words)))
-    return {
-        "A": n < 200,
-        "B": 100 * distinct < 50 * n,
-        "C": 100 * F.regexp_count(body, F.lit("[A-Z]")) > 2 * F.length(body),
-        "D": body.rlike(r"[#$%&*|]"),
-    }
+def text_failures(text: bytes) -> tuple[bool, ...]:
+    """Fixed rules that need only the text: too short, repetitive, loud, odd signs."""
+    words = text.split()
+    # Bytes that only continue a letter are left out, so what is left counts code points.
+    letters = len(text.translate(None, _CONTINUED))
+    loud = len(text) - len(text.translate(None, _UPPER))
+    return (len(words) < 200, 100 * len(set(words)) < 50 * len(words), 100 * loud > 2 * letters,
+            _SIGNS.search(text) is not None)
+
+
+TEXT_RULES: Rules = ("ABCD", text_failures)
 
 
 def with_copies(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -134,20 +138,25 @@ def order_steps(games: DataFrame, filters: str) -> DataFrame:
 
 
 def failure_counts(docs: DataFrame, labels: DataFrame, part: str = "source", key: str = "doc_id",
-                   text: str = "text", rules: Rules = text_failures, copies: str | None = "E") -> tuple[DataFrame, str]:
+                   text: str = "text", rules: Rules = TEXT_RULES, copies: str | None = "E") -> tuple[DataFrame, str]:
     """Counts of documents by part, failures and labels, and the filters' names in the order of the bits.
 
     ``copies`` names the filter that a document fails whose text a smaller key has too, over
     the whole table; None leaves it out.
     """
-    body = F.coalesce(field(docs, text).cast("string"), F.lit(""))
-    # One projection: texts are read once and only their digests travel.
+    names, test = rules
     first = docs.select(field(docs, key).alias("id"), F.coalesce(field(docs, part).cast("string"), F.lit("")).alias("part"),
-                        body.alias("_body"))
-    tests = rules(F.col("_body"))
-    names = "".join(tests)
-    bits = sum((F.when(test, 1 << i).otherwise(0) for i, test in enumerate(tests.values())), F.lit(0))
-    rows = first.select("id", "part", F.unhex(F.sha2("_body", 256)).alias("digest"), bits.cast("int").alias("mask"))
+                        field(docs, text).alias("body"))
+
+    def read(texts: pa.Array) -> list[pa.Array]:
+        masks, digests = [], []
+        for body in each_bytes(texts):
+            masks.append(sum(1 << i for i, failed in enumerate(test(body)) if failed))
+            digests.append(sha256(body).digest())
+        return [pa.array(masks, pa.int32()), pa.array(digests, pa.binary())]
+
+    # Texts are read once; only their digests travel.
+    rows = over_texts(first, "body", ["id", "part"], "mask int, digest binary", read)
     known = labels.select(field(labels, key).alias("id"), field(labels, "quality").alias("q"),
                           field(labels, "toxic").alias("t")).where("id is not null")
     marks = known.groupBy("id").agg(F.max((F.col("q") == 1).cast("int")).alias("q"), F.max((F.col("t") == 1).cast("int")).alias("t"))
@@ -165,7 +174,7 @@ def failure_counts(docs: DataFrame, labels: DataFrame, part: str = "source", key
 
 
 def audit_filters(docs: DataFrame, labels: DataFrame, part: str = "source", key: str = "doc_id", text: str = "text",
-                  rules: Rules = text_failures, copies: str | None = "E") -> DataFrame:
+                  rules: Rules = TEXT_RULES, copies: str | None = "E") -> DataFrame:
     """One row per part, order of the filters and step.
 
     ``kept`` documents are left after the step, ``removed`` go at it, ``redundant`` fail its

@@ -187,7 +187,7 @@ def _bucketed(docs: DataFrame, key: str, text: str, train: Column, buckets: int,
         number[np.argsort(~trained, kind="stable")] = np.arange(len(trained))
         words, at = np.unique(token, return_inverse=True)
         goes = bucket_of(words, buckets)
-        home = chunk * 2654435761 % buckets
+        home = ((chunk >> 40) * 2654435761 + (chunk & 0xFFFFFFFF)) % buckets
         goes[np.isin(words, marked)] = home
         order = np.argsort(goes, kind="stable")
         rank = np.empty(len(words), np.uint64)
@@ -538,7 +538,8 @@ def score_texts(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
         return pa.Table.from_batches(tables_of(1, np.zeros(len(klass), np.int64), klass, customers, _seed(word)))
 
     got = _collected(rooms.mapInArrow(sampled, _SUMS).unionByName(_word_groups(dishes, hot_sampled, _SUMS)), CLASSES + 1)
-    samples = [Sample(got[i][0][:CLASSES], got[i][0][CLASSES], got[i][1][CLASSES]) for i in sorted(got)]
+    nobody = (np.zeros(CLASSES + 1), np.zeros(CLASSES + 1))
+    samples = [Sample(a[:CLASSES], a[CLASSES], b[CLASSES]) for a, b in (got.get(i, nobody) for i in range(SAMPLES))]
 
     def hot_likely(word, klass, customers):
         # A last word without customers says what classes give that the word never followed.
@@ -553,7 +554,7 @@ def score_texts(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
         return pa.table({"w": [word], "c": [int(customers.sum())], "p": pa.array([(p / len(samples)).tobytes()], pa.binary())})
 
     vectors = {r["w"] & 0xFFFFFFFFFFFFFFFF: (r["c"], np.frombuffer(bytes(r["p"])))
-               for r in _word_groups(dishes, hot_likely, "w bigint, c bigint, p binary").collect()} if samples else {}
+               for r in _word_groups(dishes, hot_likely, "w bigint, c bigint, p binary").collect()}
     shared = spark.sparkContext.broadcast((totals, samples, vectors))
 
     def scored(batches):
