@@ -44,9 +44,9 @@ from netweave.session import materialize
 
 CLASSES = 1 << 16
 #: Bytes of text for one bucket, of one slice, and hashed at a time.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 4 << 20
 SLICE = 8 << 20
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: A word of at least this share of the sampled tokens (one in ...) is dealt by slice.
 HOT = 256
 #: One document in this many decides which words are hot.
@@ -54,7 +54,7 @@ SAMPLED = 64
 BURN_IN, SAMPLES = 3, 4
 STRENGTH = 1.0
 #: Documents whose sums one task holds before it passes them on.
-HELD_DOCUMENTS = 500_000
+HELD_DOCUMENTS = 300_000
 
 START, END = np.uint64(0x51A27C0DE5A17B03), np.uint64(0xE4D0F7E871A9C2B5)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -570,50 +570,73 @@ def score_texts(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
             plain = np.log10((c + 0.5) / (totals.tokens + 0.5 * (totals.words + 1)))[room.word]
             known = (c > 0)[room.word].astype(float)
             each = [np.repeat(v, room.rows) * room.count for v in (known, plain, np.log10(p))]
-            held.add(room.chunks, room.chunk, room.doc, each)
-            if held.size > HELD_DOCUMENTS:
-                yield held.taken()
-        yield held.taken()
+            yield from held.add(room.chunks, room.chunk, room.doc, each)
+        yield from held.taken()
 
-    parts = rooms.mapInArrow(scored, "chunk bigint, idx int, known double, base double, score double")
+    parts = rooms.mapInArrow(scored, "chunk bigint, sums binary")
     people = table.where("room is null").select("chunk", "idx", "id", "held_out", "n_tokens")
-    nothing = [F.lit(0.0).alias(c) for c in ("known", "base", "score")]
-    whole = people.select("*", *nothing).unionByName(parts, allowMissingColumns=True).groupBy("chunk", "idx").agg(
-        F.max("id").alias("id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        *[F.sum(c).alias(c) for c in ("known", "base", "score")])
-    return whole.select(F.col("id").alias(key), "held_out", "n_tokens", F.col("known").cast("long").alias("n_known"),
+    kept = StructType([StructField("id", docs.schema[key].dataType)]).add("held_out", "boolean").add("n_tokens", "long").add(
+        "known", "long").add("base", "double").add("score", "double")
+    whole = people.groupBy("chunk").cogroup(parts.groupBy("chunk")).applyInArrow(_settled, kept)
+    return whole.select(F.col("id").alias(key), "held_out", "n_tokens", F.col("known").alias("n_known"),
                         F.lit(totals.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
+def _settled(people: pa.Table, parts: pa.Table) -> pa.Table:
+    """The documents of one slice with their sums."""
+    place = people.column("idx").to_numpy()
+    sums = np.zeros((3, int(place.max()) + 1 if len(place) else 0))
+    for blob in parts.column("sums"):
+        idx, *values = unpack(blob.as_py())
+        for total, v in zip(sums, values):
+            total[idx] += v
+    out = people.select(["id", "held_out", "n_tokens"])
+    out = out.append_column("known", pa.array(sums[0][place].astype(np.int64)))
+    return out.append_column("base", pa.array(sums[1][place])).append_column("score", pa.array(sums[2][place]))
+
+
 def _discount(ones: float, twos: float) -> float:
     """The discount that counts of counts suggest."""
     return float(np.clip(ones / max(ones + 2 * twos, 1), 0.1, 0.95))
 
 
 class Sums:
-    """Sums by document, added up over buckets until they are passed on."""
+    """Sums by document, added up over buckets while they fit and passed on packed by slice."""
 
     def __init__(self) -> None:
+        self.chunks: dict[int, int] = {}
         self.parts: list[tuple[np.ndarray, list[np.ndarray]]] = []
         self.size = 0
 
-    def add(self, chunks: np.ndarray, chunk: np.ndarray, doc: np.ndarray, values: list[np.ndarray]) -> None:
-        place = chunk.astype(np.int64) * (1 << 16) + doc
-        some, at = np.unique(place, return_inverse=True)
-        keys = np.stack([chunks[some >> 16], some & 0xFFFF], axis=1)
-        self.parts.append((keys, [np.bincount(at, v, len(some)) for v in values]))
+    def add(self, chunks: np.ndarray, chunk: np.ndarray, doc: np.ndarray, values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        local = np.array([self.chunks.setdefault(c, len(self.chunks)) for c in chunks.tolist()], np.int64)
+        self._keep((local[chunk] << 16) | doc, values)
+        if self.size > HELD_DOCUMENTS:
+            keys = np.concatenate([k for k, _ in self.parts])
+            columns = [np.concatenate([v[i] for _, v in self.parts]) for i in range(3)]
+            self.parts, self.size = [], 0
+            self._keep(keys, columns)
+            if self.size > HELD_DOCUMENTS // 2:
+                yield from self.taken()
+
+    def _keep(self, keys: np.ndarray, values: list[np.ndarray]) -> None:
+        some, at = np.unique(keys, return_inverse=True)
+        self.parts.append((some, [np.bincount(at, v, len(some)) for v in values]))
         self.size += len(some)
 
-    def taken(self) -> pa.RecordBatch:
-        names = ["chunk", "idx", "known", "base", "score"]
+    def taken(self) -> Iterator[pa.RecordBatch]:
+        """One row for each slice; nothing is held afterwards."""
         if not self.parts:
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32()),
-                                               *[pa.array([], pa.float64())] * 3], names=names)
+            return
         keys = np.concatenate([k for k, _ in self.parts])
-        order = np.lexsort((keys[:, 1], keys[:, 0]))
-        keys = keys[order]
-        starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
-        sums = [np.add.reduceat(np.concatenate([v[i] for _, v in self.parts])[order], starts) for i in range(3)]
-        self.parts, self.size = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(keys[starts, 0]), pa.array(keys[starts, 1].astype(np.int32)),
-                                           *[pa.array(s) for s in sums]], names=names)
+        columns = [np.concatenate([v[i] for _, v in self.parts]) for i in range(3)]
+        order = np.argsort(keys >> 16, kind="stable")
+        keys, columns = keys[order], [c[order] for c in columns]
+        cut = np.append(runs(keys >> 16), len(keys))
+        names = list(self.chunks)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            some, at = np.unique(keys[a:b] & 0xFFFF, return_inverse=True)
+            blob = pack(some.astype(np.uint16), *[np.bincount(at, c[a:b], len(some)) for c in columns])
+            yield pa.RecordBatch.from_arrays([pa.array([names[int(keys[a] >> 16)]], pa.int64()), pa.array([blob], pa.binary())],
+                                             names=["chunk", "sums"])
+        self.chunks, self.parts, self.size = {}, [], 0
