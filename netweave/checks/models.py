@@ -11,7 +11,17 @@ from netweave.operators.crossdata import CrossOptions, cross_evaluate, cross_fin
 from netweave.operators.features import FlowPreprocessor
 from netweave.operators.metrics import evaluate, roc_auc
 from netweave.operators.sampling import with_fold
-from netweave.operators.search import GRID_SPACE, RANDOM_SPACE, draw_settings, grid_settings, search
+from netweave.operators.search import (
+    GRID_SPACE,
+    MODEL_SPACE,
+    PENALISED_SPACE,
+    RANDOM_SPACE,
+    SHORT_SPACE,
+    draw_settings,
+    grid_settings,
+    model_search,
+    search,
+)
 from netweave.operators.weights import class_weights, weight_map, with_weight
 from netweave.plans.presets import subset_robust
 from netweave.session import materialize, small_table
@@ -46,7 +56,7 @@ def fit_base(spark, sf):
 def fit_meta_gbt(spark, sf):
     train, test = parts(prepared(spark, sf)[0])
     weights = weight_map(class_weights(train, "label"))
-    return _scored(mod.boosted_trees(weight="weight").fit(with_weight(train, "label", weights)), test)
+    return _scored(mod.penalised_trees(weight="weight").fit(with_weight(train, "label", weights)), test)
 
 
 @query("fit_meta_lr")
@@ -116,30 +126,42 @@ def reweight_rounds(spark, sf):
 @query("importance_rank")
 def importance_rank(spark, sf):
     table, prep = prepared(spark, sf)
-    model = mod.boosted_trees().fit(table)
+    model = mod.penalised_trees().fit(table)
     return rounded(mod.top_importances(mod.importance_table(table, model, prep.feature_names()), 10), 4)
 
 
 @query("round_metrics")
 def round_metrics(spark, sf):
     train, test = parts(prepared(spark, sf)[0])
-    return rounded(mod.round_metrics(mod.boosted_trees().fit(train), test), 4)
+    return rounded(mod.round_metrics(mod.penalised_trees().fit(train), test), 4)
 
 
-#: Draws of the random search, as the reference has for its meta learner.
-_TRIALS = 30
+def folded(spark, sf):
+    return materialize(with_fold(prepared(spark, sf)[0], 3, "row_id"), "folded")
 
 
 @query("search_random")
 def search_random(spark, sf):
-    table = with_fold(prepared(spark, sf)[0], 3, "row_id")
-    return rounded(search(mod.boosted_trees, table, draw_settings(RANDOM_SPACE, _TRIALS))[0], 4)
+    """Twenty draws from the lists of values."""
+    return rounded(search(folded(spark, sf), draw_settings(RANDOM_SPACE, 20))[0], 4)
 
 
 @query("search_grid")
 def search_grid(spark, sf):
-    table = with_fold(prepared(spark, sf)[0], 3, "row_id")
-    return rounded(search(mod.boosted_trees, table, grid_settings(GRID_SPACE))[0], 4)
+    """All 864 points of the grid."""
+    return rounded(search(folded(spark, sf), grid_settings(GRID_SPACE))[0], 4)
+
+
+@query("search_model")
+def search_model(spark, sf):
+    """Thirty proposals of the model-based search."""
+    return rounded(model_search(folded(spark, sf), MODEL_SPACE, 30)[0], 4)
+
+
+@query("search_penalised")
+def search_penalised(spark, sf):
+    """Fifty proposals over the penalties as well."""
+    return rounded(model_search(folded(spark, sf), PENALISED_SPACE, 50)[0], 4)
 
 
 @query("regularization_compare")
@@ -167,5 +189,5 @@ def finetune(spark, sf):
     df = labelled(spark, sf).withColumn("label", F.col("label").cast("double"))
     prep = FlowPreprocessor(numeric=NUMERIC, text=TEXT, label="label").fit(df)
     bases = mod.default_bases(len(prep.feature_names()))
-    tuned = cross_finetune(foreign(spark, sf), prep, bases, CrossOptions(), RANDOM_SPACE)
+    tuned = cross_finetune(foreign(spark, sf), prep, bases, CrossOptions(), SHORT_SPACE)
     return rounded(tuned.metrics, 4)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator
@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from netweave.functions.labels import binary_label, detect_label_rule
 from netweave.operators.features import FlowPreprocessorModel
 from netweave.operators.metrics import evaluate
-from netweave.operators.models import StackedClassifier, StackedModel, boosted_trees, to_vectors
+from netweave.operators.models import StackedClassifier, StackedModel, penalised_trees, to_vectors
 from netweave.operators.resample import smote
 from netweave.operators.sampling import split_stratified, with_fold
-from netweave.operators.search import draw_settings, search
+from netweave.operators.search import Range, model_search
 from netweave.operators.tables import with_passthrough
 from netweave.plans.mapping import MappingSpec, conform
 from netweave.session import materialize
@@ -67,9 +67,9 @@ class FineTuned:
 
 
 def cross_finetune(df: DataFrame, prep: FlowPreprocessorModel, bases: Mapping[str, Estimator], options: CrossOptions,
-                   space: Mapping[str, Sequence], trials: int = 10, folds: int = 3, seed: int = 42,
+                   space: Mapping[str, Range], trials: int = 10, folds: int = 3, seed: int = 42,
                    resample: bool = False) -> FineTuned:
-    """Refit the stack on another dataset with a searched meta learner, tested on held-out rows."""
+    """Refit the stack on another dataset with a meta learner found by a model-based search, tested on held-out rows."""
     table = prepare(df, prep, options)
     names = [c for c in table.columns if c not in (options.key, "label")]
     parts = materialize(split_stratified(table, "label", 0.2, options.key, seed), "finetune")
@@ -77,11 +77,11 @@ def cross_finetune(df: DataFrame, prep: FlowPreprocessorModel, bases: Mapping[st
     if resample:
         train = materialize(smote(train, names, "label", options.key, seed=seed), "resampled")
     vectors = materialize(to_vectors(train, names, [options.key, "label"]), "vectors")
-    stack = StackedClassifier(bases, boosted_trees(10, 3), options.key, folds, seed)
+    stack = StackedClassifier(bases, penalised_trees(key=options.key), options.key, folds, seed)
     oof = materialize(stack.out_of_fold(vectors), "meta")
     meta_rows = to_vectors(with_fold(oof.drop("fold"), folds, options.key, seed + 1), list(bases), [options.key, "label", "fold"])
-    results, best = search(boosted_trees, materialize(meta_rows, "meta-vectors"), draw_settings(space, trials, seed), folds=folds)
-    stack.meta = boosted_trees(**best)
+    results, best = model_search(materialize(meta_rows, "meta-vectors"), space, trials, folds=folds, key=options.key, seed=seed)
+    stack.meta = penalised_trees(key=options.key, **best)
     model = stack.fit(vectors, oof)
     scored = model.score(to_vectors(test, names, [options.key, "label"]))
     return FineTuned(model, evaluate(scored, "label", "score", options.threshold), results)

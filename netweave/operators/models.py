@@ -2,17 +2,20 @@
 
 Training tables are written once as (key, label, features) rows, so that the many
 passes of a fit read a narrow table instead of repeating the preprocessing.
-Deviations that Spark's learners impose: the dense net has sigmoid hidden layers
-without dropout, and boosted trees have no penalty on leaf values.
+Boosted trees with penalties on leaf values are this library's own
+(:mod:`netweave.operators.boosting`).  A deviation that Spark's learners impose: the dense
+net has sigmoid hidden layers without dropout.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -26,6 +29,7 @@ from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netweave.operators.boosting import BoostSettings, PenalisedBoost, PenalisedBoostModel, fit_settings
 from netweave.operators.metrics import evaluate, macro_metrics
 from netweave.operators.sampling import with_fold
 from netweave.operators.weights import (
@@ -74,6 +78,11 @@ def boosted_trees(trees: int = 100, depth: int = 6, rate: float = 0.1, rows: flo
     return model.setWeightCol(weight) if weight else model
 
 
+def penalised_trees(weight: str | None = None, key: str | None = None, **settings) -> PenalisedBoost:
+    """Boosted trees with L1 and L2 penalties on their leaves; options are fields of ``BoostSettings``."""
+    return PenalisedBoost(BoostSettings(**settings), key, weight)
+
+
 def logistic(weight: str | None = None, penalty: float = 0.0, mix: float = 0.0, iterations: int = 100) -> Estimator:
     model = LogisticRegression(labelCol="label", featuresCol=FEATURES, regParam=penalty, elasticNetParam=mix,
                                maxIter=iterations)
@@ -92,7 +101,7 @@ def default_bases(width: int, seed: int = 42) -> dict[str, Estimator]:
         "p_a": dense_net(width, seed=seed),
         "p_b": logistic(penalty=1e-4),
         "p_c": forest(trees=20, depth=8, seed=seed),
-        "p_d": boosted_trees(trees=20, depth=4, seed=seed),
+        "p_d": penalised_trees(trees=20, depth=4, seed=seed),
     }
 
 
@@ -116,6 +125,15 @@ class StackedClassifier:
     folds: int = 3
     seed: int = 42
 
+    #: Fits that run at the same time; each is a series of small jobs.
+    at_once: int = 4
+
+    def _fitted(self, tables: Sequence[tuple[str, DataFrame]]) -> list[Model]:
+        """The base of each name fitted on its table, several at a time."""
+        with ThreadPool(max(1, min(self.at_once, len(tables)))) as pool:
+            run = inheritable_thread_target(tables[0][1].sparkSession)(lambda one: self.bases[one[0]].fit(one[1])) if tables else None
+            return pool.map(run, tables) if tables else []
+
     def out_of_fold(self, df: DataFrame) -> DataFrame:
         """``key, label, fold`` and one score per base, each row scored by models that never saw it.
 
@@ -125,13 +143,15 @@ class StackedClassifier:
         folded = materialize(with_fold(df, self.folds, self.key, self.seed), "folded")
         sizes = {(r["fold"], r["label"]): r["n"] for r in
                  folded.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
+        known = {k: {label for fold, label in sizes if fold != k} for k in range(self.folds)}
+        todo = [(k, name) for k in range(self.folds) if len(known[k]) > 1 for name in self.bases]
+        models = dict(zip(todo, self._fitted([(name, folded.where(F.col("fold") != k)) for k, name in todo])))
         parts = []
         for k in range(self.folds):
-            train, held = folded.where(F.col("fold") != k), folded.where(F.col("fold") == k)
-            known = {label for (fold, label), _ in sizes.items() if fold != k}
-            for name, base in self.bases.items():
-                held = (score(base.fit(train), held, name) if len(known) > 1
-                        else held.withColumn(name, F.lit(float(min(known, default=0.0)))))
+            held = folded.where(F.col("fold") == k)
+            for name in self.bases:
+                held = (score(models[k, name], held, name) if (k, name) in models
+                        else held.withColumn(name, F.lit(float(min(known[k], default=0.0)))))
             parts.append(held.select(self.key, "label", "fold", *self.bases))
         out = parts[0]
         for part in parts[1:]:
@@ -166,7 +186,7 @@ class StackedClassifier:
         if oof is None:
             oof = materialize(self.out_of_fold(table), "out-of-fold")
         meta = self.meta.fit(to_vectors(oof, list(self.bases), [self.key, "label"]))
-        fitted = {name: base.fit(table) for name, base in self.bases.items()}
+        fitted = dict(zip(self.bases, self._fitted([(name, table) for name in self.bases])))
         return StackedModel(fitted, meta, list(self.bases), oof)
 
 
@@ -271,32 +291,27 @@ def top_importances(table: DataFrame, n: int = 10) -> DataFrame:
     return table.orderBy(F.desc("importance"), "feature").limit(n)
 
 
-def round_metrics(model: Model, df: DataFrame, label: str = "label") -> DataFrame:
+def round_metrics(model: PenalisedBoostModel, df: DataFrame, label: str = "label") -> DataFrame:
     """Loss, accuracy and F1 after each boosting round, in one pass over the rows.
 
-    Each task adds up its rows' running margins and passes on one row per round.
+    Each task walks all trees at once and passes on one row per round.
     """
-    rows = df.select(F.col(label).cast("double").alias("y"), FEATURES)
-    for i, tree in enumerate(model.trees):
-        rows = tree.setPredictionCol(f"t{i}").transform(rows).select("y", FEATURES, *[f"t{j}" for j in range(i + 1)])
-    weights = np.array([float(w) for w in model.treeWeights])
+    rounds = len(model.ensemble.feature)
     names = ["round", "n", "loss", "hits", "tp", "miss"]
 
     def add_up(batches):
-        sums = np.zeros((len(weights), 5))
+        sums = np.zeros((rounds, 5))
         for batch in batches:
-            y = batch.column(0).to_numpy(zero_copy_only=False)[:, None]
-            outputs = batch.column(1).values.to_numpy(zero_copy_only=False).reshape(-1, len(weights))
-            margin = np.cumsum(outputs * weights, axis=1)
+            y = batch.column(0).to_numpy(zero_copy_only=False).astype(float)[:, None]
+            margin = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, rounds)
             pred = margin > 0
             right = pred == (y == 1)
-            parts = [np.ones_like(margin), 2 * np.logaddexp(0, -2 * (2 * y - 1) * margin), right, pred & (y == 1), ~right]
+            parts = [np.ones_like(margin), np.logaddexp(0, -(2 * y - 1) * margin), right, pred & (y == 1), ~right]
             sums += np.column_stack([p.sum(0) for p in parts])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(len(weights)), pa.int32()), *[pa.array(c, pa.float64()) for c in sums.T]], names=names)
+            [pa.array(range(rounds), pa.int32()), *[pa.array(c, pa.float64()) for c in sums.T]], names=names)
 
-    parts = rows.select("y", F.array(*[f"t{i}" for i in range(len(weights))]).alias("t")).mapInArrow(
-        add_up, "round int, " + ", ".join(f"{c} double" for c in names[1:]))
+    parts = model.staged(df, [label]).mapInArrow(add_up, "round int, " + ", ".join(f"{c} double" for c in names[1:]))
     total = parts.groupBy("round").agg(*[F.sum(c).alias(c) for c in names[1:]])
     return total.select(
         "round", F.try_divide("loss", "n").alias("loss"), F.try_divide("hits", "n").alias("accuracy"),
@@ -308,9 +323,9 @@ def round_metrics(model: Model, df: DataFrame, label: str = "label") -> DataFram
 
 # The five compared configurations.
 REGULARIZATION = (
-    ("none", dict(depth=10, rows=1.0, cols=1.0)),
-    ("l1 only", dict(depth=10, rows=1.0, cols=1.0, l1=0.5)),
-    ("l2 only", dict(depth=10, rows=1.0, cols=1.0, l2=1.0)),
+    ("none", dict(depth=10, rows=1.0, cols=1.0, l1=0.0, l2=0.0)),
+    ("l1 only", dict(depth=10, rows=1.0, cols=1.0, l1=0.5, l2=0.0)),
+    ("l2 only", dict(depth=10, rows=1.0, cols=1.0, l1=0.0, l2=1.0)),
     ("l1 and l2", dict(depth=6, rows=0.8, cols=0.8, l1=0.1, l2=1.0)),
     ("strong", dict(depth=4, rows=0.7, cols=0.7, l1=1.0, l2=2.0)),
 )
@@ -318,27 +333,19 @@ REGULARIZATION = (
 
 def regularization_compare(train: DataFrame, test: DataFrame, trees: int = 100,
                            configs=REGULARIZATION) -> DataFrame:
-    """Train and test measures per configuration and learner, and the features each learner uses.
+    """Train and test measures per configuration, and the features its trees use.
 
-    Spark's boosted trees take depth and row/column sampling; L1/L2 shares are taken by a
-    logistic model.  Configurations with the same tree settings share one fit, and show so.
+    All configurations grow side by side on one binned table.
     """
-    rows, grown = [], {}
-    for name, c in configs:
-        l1, l2 = c.get("l1", 0.0), c.get("l2", 0.0)
-        shape = (c["depth"], c["rows"], c["cols"])
-        if shape not in grown:
-            grown[shape] = boosted_trees(trees, shape[0], rows=shape[1], cols=shape[2]).fit(train)
-        total = l1 + l2
-        linear = logistic(penalty=total / 100, mix=l1 / total if total else 0.0).fit(train)
-        used = {"trees": sum(1 for v in grown[shape].featureImportances.toArray() if v > 0.001),
-                "logistic": sum(1 for v in linear.coefficients.toArray() if abs(v) > 1e-9)}
-        for learner, model in (("trees", grown[shape]), ("logistic", linear)):
-            for part, table in (("train", train), ("test", test)):
-                m = evaluate(score(model, table), "label", "score").first()
-                rows.append((name, learner, part, l1, l2, c["depth"], m["accuracy"], m["precision"], m["recall"],
-                             m["f1"], m["auc"], used[learner]))
+    rows = []
+    models = fit_settings(train, [BoostSettings(trees=trees, **c) for _, c in configs])
+    for (name, c), model in zip(configs, models):
+        used = sum(1 for v in model.featureImportances.toArray() if v > 0.001)
+        for part, table in (("train", train), ("test", test)):
+            m = evaluate(score(model, table), "label", "score").first()
+            rows.append((name, part, c["l1"], c["l2"], c["depth"], m["accuracy"], m["precision"], m["recall"], m["f1"],
+                         m["auc"], used))
     return small_table(
         train.sparkSession,
-        rows, "config string, learner string, part string, l1 double, l2 double, depth int, accuracy double, "
-              "precision double, recall double, f1 double, auc double, used_features int")
+        rows, "config string, part string, l1 double, l2 double, depth int, accuracy double, precision double, "
+              "recall double, f1 double, auc double, used_features int")

@@ -22,21 +22,21 @@ from netweave.operators.features import FlowPreprocessorModel
 from netweave.operators.models import (
     StackedClassifier,
     StackedModel,
-    boosted_trees,
     default_bases,
     forest,
     logistic,
+    penalised_trees,
     reweighted_fit,
     to_vectors,
 )
 from netweave.operators.resample import smote
 from netweave.operators.sampling import sample_fraction, with_fold
-from netweave.operators.search import RANDOM_SPACE, draw_settings, search
+from netweave.operators.search import MODEL_SPACE, model_search
 from netweave.plans.presets import TRAINING, full, subset_robust, wide
 from netweave.session import materialize, small_table
 
-METAS: dict[str, Callable[..., Estimator]] = {"boosted": boosted_trees, "logistic": logistic, "forest": forest,
-                                              "searched": boosted_trees}
+METAS: dict[str, Callable[..., Estimator]] = {"boosted": penalised_trees, "logistic": logistic, "forest": forest,
+                                              "searched": penalised_trees}
 #: Rounds over which the masking schedules run.
 _ROUNDS = 50
 #: The domain under a name of its own, since it may be a feature too.
@@ -130,7 +130,7 @@ def train(df: DataFrame, variant: str, numeric: Sequence[str] = (), text: Sequen
     if options["meta"] == "searched":
         dealt = with_fold(scores.drop("fold"), folds, key, seed + 1)
         meta_rows = materialize(to_vectors(dealt, list(learners), [key, "label", "fold"]), "meta-vectors")
-        _, best = search(make, meta_rows, draw_settings(RANDOM_SPACE, trials or options["trials"], seed), folds=folds)
+        _, best = model_search(meta_rows, MODEL_SPACE, trials or options["trials"], folds=folds, key=key, seed=seed)
         stack.meta = make(**best)
     model = stack.fit(vectors, scores)
     if "early_stop" in options:

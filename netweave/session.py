@@ -67,12 +67,18 @@ def release(spark: SparkSession, keep: Sequence[str] = ()) -> int:
     them.  Returns how many were removed.
     """
     gone = [p for p in sorted(_written) if p not in set(keep)]
-    context = spark.sparkContext
     for path in gone:
+        discard(spark, path)
+    return len(gone)
+
+
+def discard(spark: SparkSession, path: str | None) -> None:
+    """Remove one intermediate table that nothing will read again."""
+    if path is not None:
+        context = spark.sparkContext
         target = context._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
         _written.discard(path)
-    return len(gone)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

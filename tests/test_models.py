@@ -30,6 +30,7 @@ LEARNERS = {
     "logistic": lambda: mod.logistic(penalty=0.01),
     "forest": lambda: mod.forest(10, 5),
     "boosted": lambda: mod.boosted_trees(5, 3),
+    "penalised": lambda: mod.penalised_trees(trees=10, depth=3),
 }
 
 
@@ -87,36 +88,20 @@ def test_reweighting_stops_on_patience(separable):
 
 
 def test_importances_and_rounds(separable):
-    model = mod.boosted_trees(4, 3).fit(separable)
+    model = mod.penalised_trees(trees=4, depth=3, rate=0.3).fit(separable)
     table = mod.importance_table(separable, model, ["a", "b", "c"])
     low, high = table.agg(F.min("weight"), F.max("weight")).first()
     assert low == 0.0 and 0.99 < high <= 1.0
     assert [r["feature"] for r in mod.top_importances(table, 2).collect()] == [
         r["feature"] for r in table.orderBy(F.desc("importance")).limit(2).collect()]
     rounds = {r["round"]: r for r in mod.round_metrics(model, separable).collect()}
-    want = model.evaluateEachIteration(separable)
-    assert [rounds[i]["loss"] for i in range(4)] == pytest.approx(want, rel=1e-9)
+    y = F.when(F.col("label") == 1, 1.0).otherwise(-1.0)
+    loss = model.staged(separable, ["label"]).select(*[F.avg(F.log1p(F.exp(-y * F.col("margins")[i]))) for i in range(4)]).first()
+    assert [rounds[i]["loss"] for i in range(4)] == pytest.approx(list(loss), rel=1e-9)
     final = evaluate(mod.score(model, separable), "label", "score").first()
     assert rounds[3]["f1"] == pytest.approx(final["f1"])
 
 
-def test_search(separable):
-    table = with_fold(separable, 3, "row_id")
-    results, best = srch.search(lambda **s: mod.logistic(iterations=5, **s), table, srch.grid_settings({"penalty": (0.0, 5.0)}))
-    rows = {r["trial"]: r["f1"] for r in results.collect()}
-    assert len(rows) == 2 and best == {"penalty": 0.0} and rows[0] >= rows[1]
-    draws = srch.draw_settings(srch.RANDOM_SPACE, 20)
-    assert len({tuple(sorted(d.items())) for d in draws}) == 20 and draws == srch.draw_settings(srch.RANDOM_SPACE, 20)
-    assert len(srch.grid_settings(srch.GRID_SPACE)) == 96
-
-
-def test_regularization_table(separable):
-    out = mod.regularization_compare(separable, separable, trees=2, configs=mod.REGULARIZATION[-2:])
-    assert out.count() == 8 and out.where("part = 'train' AND f1 < 0.5").count() == 0
-    same = mod.regularization_compare(separable, separable, trees=1, configs=mod.REGULARIZATION[:3])
-    assert same.where("learner = 'trees'").drop("config", "l1", "l2").distinct().count() == 2
-
-
 @pytest.fixture(scope="module")
 def fitted(spark, sf):
     df = labelled(spark, sf).withColumn("label", F.col("label").cast("double"))
@@ -141,7 +126,7 @@ def test_cross_evaluation(spark, sf, fitted):
 def test_cross_finetuning(spark, sf, fitted):
     prep, _ = fitted
     bases = {"p_a": mod.logistic(penalty=1e-3, iterations=10), "p_b": mod.forest(4, 3)}
-    space = {"trees": (2, 3), "depth": (2,)}
+    space = {"trees": srch.Range(2, 4, whole=True), "depth": srch.Range(2, 3, whole=True)}
     tuned = cross_finetune(foreign(spark, sf), prep, bases, CrossOptions(), space, trials=2, folds=2)
     assert tuned.metrics.first()["auc"] > 0.8 and tuned.trials.count() == 2
 
@@ -173,7 +158,8 @@ def test_model_queries_use_full_defaults(spark, monkeypatch):
     monkeypatch.setattr(queries, "prepared", lambda *_: (MagicMock(), prep))
     monkeypatch.setattr(queries, "parts", lambda _: (MagicMock(), MagicMock()))
     monkeypatch.setattr(queries.mod, "default_bases", lambda width: ("all", width))
-    for owner, name in ((queries.mod, "StackedClassifier"), (queries.mod, "boosted_trees"), (queries, "search"),
+    for owner, name in ((queries.mod, "StackedClassifier"), (queries.mod, "penalised_trees"), (queries, "search"),
+                        (queries, "model_search"),
                         (queries, "cross_finetune"), (queries.mod, "regularization_compare")):
         monkeypatch.setattr(owner, name, stop(name))
 
@@ -186,9 +172,12 @@ def test_model_queries_use_full_defaults(spark, monkeypatch):
         args, named = call(fn, "StackedClassifier")
         assert args[0] == ("all", 2) and "folds" not in named
     for fn in (queries.importance_rank, queries.round_metrics):
-        assert call(fn, "boosted_trees") == ((), {})
+        assert call(fn, "penalised_trees") == ((), {})
     assert call(queries.regularization_compare, "regularization_compare")[1] == {}
-    assert len(call(queries.search_random, "search")[0][2]) == 30
-    assert call(queries.search_grid, "search")[0][2] == srch.grid_settings(srch.GRID_SPACE)
+    monkeypatch.setattr(queries, "materialize", lambda df, name: df)
+    assert call(queries.search_random, "search")[0][1] == srch.draw_settings(srch.RANDOM_SPACE, 20)
+    assert call(queries.search_grid, "search")[0][1] == srch.grid_settings(srch.GRID_SPACE)
+    assert call(queries.search_model, "model_search")[0][1:] == (srch.MODEL_SPACE, 30)
+    assert call(queries.search_penalised, "model_search")[0][1:] == (srch.PENALISED_SPACE, 50)
     args, named = call(queries.finetune, "cross_finetune")
-    assert args[2] == ("all", 2) and args[4] == srch.RANDOM_SPACE and not named
+    assert args[2] == ("all", 2) and args[4] == srch.SHORT_SPACE and not named

@@ -12,7 +12,7 @@ def small_bases(width):
     return {"p_a": mod.logistic(penalty=1e-3, iterations=10), "p_b": mod.forest(4, 4)}
 
 
-METAS = {"boosted": lambda **s: mod.boosted_trees(3, 2), "searched": lambda **s: mod.boosted_trees(2, 2),
+METAS = {"boosted": lambda **s: mod.penalised_trees(trees=10, depth=3), "searched": mod.penalised_trees,
          "forest": lambda: mod.forest(4, 3)}
 
 
