@@ -47,9 +47,8 @@ def _scored(model, table):
 
 @query("fit_base")
 def fit_base(spark, sf):
-    table, model = prepared(spark, sf)
-    train, test = parts(table)
-    return _scored(mod.dense_net(len(model.feature_names())).fit(train), test)
+    train, test = parts(prepared(spark, sf)[0])
+    return _scored(mod.focal_net().fit(train), test)
 
 
 @query("fit_meta_gbt")
@@ -123,6 +122,18 @@ def reweight_rounds(spark, sf):
         rows, "round int, macro_f1 double, loss double, weight_0 double, weight_1 double, best boolean")
 
 
+@query("reweight_net")
+def reweight_net(spark, sf):
+    """One epoch a round, with class weights taken from the validation rows after each."""
+    train, test = parts(prepared(spark, sf)[0])
+    fit = mod.reweighted_fit(lambda: mod.focal_net(epochs=1), train, test, rounds=50, patience=50, frequency=2)
+    rows = [(h["round"], h["macro_f1"], h["loss"], h["weight_0"], h["weight_1"], h["round"] == fit.best_round)
+            for h in fit.history]
+    return small_table(
+        spark,
+        rows, "round int, macro_f1 double, loss double, weight_0 double, weight_1 double, best boolean")
+
+
 @query("importance_rank")
 def importance_rank(spark, sf):
     table, prep = prepared(spark, sf)

@@ -2,9 +2,9 @@
 
 Training tables are written once as (key, label, features) rows, so that the many
 passes of a fit read a narrow table instead of repeating the preprocessing.
-Boosted trees with penalties on leaf values are this library's own
-(:mod:`netweave.operators.boosting`).  A deviation that Spark's learners impose: the dense
-net has sigmoid hidden layers without dropout.
+Boosted trees with penalties on leaf values and the net with rectified layers, dropout and
+focal loss are this library's own (:mod:`netweave.operators.boosting` and
+:mod:`netweave.operators.dense`).
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave.operators.boosting import BoostSettings, PenalisedBoost, PenalisedBoostModel, fit_settings
+from netweave.operators.dense import FocalNet, NetSettings
 from netweave.operators.metrics import evaluate, macro_metrics
 from netweave.operators.sampling import with_fold
 from netweave.operators.weights import (
@@ -66,6 +67,11 @@ def score(model: Model, df: DataFrame, out: str = "score") -> DataFrame:
 
 # --- base learners -----------------------------------------------------------------
 
+def focal_net(weight: str | None = None, key: str | None = None, **settings) -> FocalNet:
+    """A net with rectified layers and focal loss; options are fields of ``NetSettings``."""
+    return FocalNet(NetSettings(**settings), key, weight)
+
+
 def dense_net(width: int, hidden: Sequence[int] = (64, 32), iterations: int = 50, seed: int = 42) -> Estimator:
     return MultilayerPerceptronClassifier(labelCol="label", featuresCol=FEATURES, layers=[width, *hidden, 2],
                                           maxIter=iterations, seed=seed)
@@ -98,7 +104,7 @@ def forest(trees: int = 100, depth: int = 10, weight: str | None = None, seed: i
 def default_bases(width: int, seed: int = 42) -> dict[str, Estimator]:
     """Four different learners stand in for four networks."""
     return {
-        "p_a": dense_net(width, seed=seed),
+        "p_a": focal_net(seed=seed),
         "p_b": logistic(penalty=1e-4),
         "p_c": forest(trees=20, depth=8, seed=seed),
         "p_d": penalised_trees(trees=20, depth=4, seed=seed),
@@ -124,16 +130,23 @@ class StackedClassifier:
     key: str = "row_id"
     folds: int = 3
     seed: int = 42
-
+    #: A column of row weights that every learner takes into account.
+    weight: str | None = None
     #: Fits that run at the same time; each is a series of small jobs.
     at_once: int = 4
 
     def _fitted(self, tables: Sequence[tuple[str, DataFrame]]) -> list[Model]:
         """The base of each name fitted on its table, several at a time."""
         with ThreadPool(max(1, min(self.at_once, len(tables)))) as pool:
-            run = inheritable_thread_target(tables[0][1].sparkSession)(lambda one: self.bases[one[0]].fit(one[1])) if tables else None
+            run = inheritable_thread_target(tables[0][1].sparkSession)(lambda one: self._weighted(self.bases[one[0]]).fit(one[1])) if tables else None
             return pool.map(run, tables) if tables else []
 
+    def _weighted(self, learner: Estimator) -> Estimator:
+        return learner.copy().setWeightCol(self.weight) if self.weight else learner
+
+    def _kept(self) -> list[str]:
+        return [self.key, "label", *([self.weight] if self.weight else [])]
+
     def out_of_fold(self, df: DataFrame) -> DataFrame:
         """``key, label, fold`` and one score per base, each row scored by models that never saw it.
 
@@ -152,7 +165,7 @@ class StackedClassifier:
             for name in self.bases:
                 held = (score(models[k, name], held, name) if (k, name) in models
                         else held.withColumn(name, F.lit(float(min(known[k], default=0.0)))))
-            parts.append(held.select(self.key, "label", "fold", *self.bases))
+            parts.append(held.select(*self._kept(), "fold", *self.bases))
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
@@ -180,12 +193,12 @@ class StackedClassifier:
 
         ``oof`` may hand in the written :meth:`out_of_fold` table of the same rows.
         """
-        table = materialize(df.select(self.key, F.col("label").cast("double").alias("label"), FEATURES), "train")
+        table = materialize(df.select(*self._kept(), FEATURES).withColumn("label", F.col("label").cast("double")), "train")
         if table.select("label").distinct().limit(2).count() < 2:
             raise ValueError("training rows hold a single class")
         if oof is None:
             oof = materialize(self.out_of_fold(table), "out-of-fold")
-        meta = self.meta.fit(to_vectors(oof, list(self.bases), [self.key, "label"]))
+        meta = self._weighted(self.meta).fit(to_vectors(oof, list(self.bases), self._kept()))
         fitted = dict(zip(self.bases, self._fitted([(name, table) for name in self.bases])))
         return StackedModel(fitted, meta, list(self.bases), oof)
 
@@ -243,7 +256,7 @@ def reweighted_fit(make: Callable[[], Estimator], train: DataFrame, valid: DataF
                    legacy_schedule: bool = False, by_loss: bool = False) -> ReweightedFit:
     """Refit with class weights taken from the last round's validation scores.
 
-    Keeps the model with the best macro F1 (or lowest focal loss) and stops after
+    A net goes on from the round before; other learners start anew.  Keeps the model with the best macro F1 (or lowest focal loss) and stops after
     ``patience`` rounds without a better one.  Every round starts from the same two
     written tables; only the two weights change, so the plan does not grow.
     """
@@ -251,9 +264,12 @@ def reweighted_fit(make: Callable[[], Estimator], train: DataFrame, valid: DataF
     schedule = WeightSchedule(frequency, legacy_schedule)
     weights: dict = {}
     history: list[dict] = []
-    best, best_model, best_round, waited = None, None, -1, 0
+    best, best_model, best_round, waited, model = None, None, -1, 0, None
     for r in range(rounds):
-        model = make().setWeightCol("weight").fit(with_weight(train, "label", weights))
+        learner = make().setWeightCol("weight")
+        if model is not None and isinstance(learner, FocalNet):
+            learner = learner.started(model)
+        model = learner.fit(with_weight(train, "label", weights))
         scored = score(model, valid).select("label", "score")
         counts = scored.withColumn("pred", (F.col("score") > 0.5).cast("double"))
         macro = macro_metrics(counts, "label", "pred").first()["macro_f1"]

@@ -41,6 +41,7 @@ METAS: dict[str, Callable[..., Estimator]] = {"boosted": penalised_trees, "logis
 _ROUNDS = 50
 #: The domain under a name of its own, since it may be a feature too.
 _DOMAIN = "_of_domain"
+_WEIGHT = "_row_weight"
 
 
 @dataclass
@@ -91,8 +92,8 @@ def train(df: DataFrame, variant: str, numeric: Sequence[str] = (), text: Sequen
     The full variants take the given numeric and text columns, the subset ones the six
     columns of :data:`netweave.plans.schemas.MODEL_SUBSET`.  ``domain`` names the column that
     domain variants carry along and calibrate by.  Learners have no epochs here: a masking
-    schedule gives each twin the probability of a round drawn from its key, and of a mixed
-    row the label with the larger share counts.
+    schedule gives each twin the probability of a round drawn from its key.  A mixed row has
+    both labels, each with its share as the row's weight, which all learners take.
     """
     options = TRAINING[variant]
     if options.get("calibrate") and domain is None:
@@ -113,19 +114,21 @@ def train(df: DataFrame, variant: str, numeric: Sequence[str] = (), text: Sequen
     rows = _twins(table, safe, key, options, seed)
     if "mixup" in options:
         mixed = mixup(rows.withColumn("_uid", _uid(key)), safe, "label", "_uid", options["mixup"], seed)
-        rows = rows.unionByName(mixed.where("weight > 0.5").select(
-            F.regexp_extract("_uid", "^(.*)-", 1).cast(dict(rows.dtypes)[key]).alias(key), "label", F.lit(2).alias("copy"),
-            *safe), allowMissingColumns=True)
+        rows = rows.withColumn(_WEIGHT, F.lit(1.0)).unionByName(mixed.select(
+            F.regexp_extract("_uid", "^(.*)-", 1).cast(dict(rows.dtypes)[key]).alias(key), "label",
+            (F.col("draw") + 2).alias("copy"), F.col("weight").alias(_WEIGHT), *safe), allowMissingColumns=True)
+        carry = [*carry, _WEIGHT]
     rows = _balanced(materialize(rows, "twins"), safe, prep, key, options["resample"], carry, seed)
 
     learners = bases(len(names))
-    stack = StackedClassifier(learners, make(), key, folds, seed)
+    weight = _WEIGHT if _WEIGHT in carry else None
+    stack = StackedClassifier(learners, make(), key, folds, seed, weight)
     vectors = materialize(to_vectors(rows, safe, [key, "label", *carry]), "train")
     oof = materialize(stack.out_of_fold(vectors), "out-of-fold")
     scores = oof
     if options["resample"] == "scores":
         scores = materialize(smote(oof.withColumn("_uid", F.monotonically_increasing_id()), list(learners), "label", "_uid",
-                                   seed=seed).withColumnRenamed("_uid", key), "balanced-scores")
+                                   carry=[weight] if weight else [], seed=seed).withColumnRenamed("_uid", key), "balanced-scores")
     history: list[dict] = []
     if options["meta"] == "searched":
         dealt = with_fold(scores.drop("fold"), folds, key, seed + 1)

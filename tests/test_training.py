@@ -16,7 +16,7 @@ METAS = {"boosted": lambda **s: mod.penalised_trees(trees=10, depth=3), "searche
          "forest": lambda: mod.forest(4, 3)}
 
 
-@pytest.mark.parametrize("variant", ["full", "full_smote", "full_search", "subset_logistic", "subset_domain", "full_mixup"])
+@pytest.mark.parametrize("variant", sorted(TRAINING))
 def test_variant_trains_saves_and_loads(spark, sf, tmp_path, variant):
     df = labelled(spark, sf)
     got = train(df, variant, NUMERIC, TEXT, domain="flag" if "domain" in variant else None, folds=2, bases=small_bases,
@@ -34,6 +34,30 @@ def test_variant_trains_saves_and_loads(spark, sf, tmp_path, variant):
     scored.unpersist()
 
 
+def test_mixed_rows_keep_both_labels(spark, sf, monkeypatch):
+    """Every mixed row reaches the learners twice, with weights that add up to one."""
+    from netweave.plans import training
+
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def stop(self, df):
+        seen["rows"], seen["weight"] = df, self.weight
+        raise Stop
+
+    monkeypatch.setattr(training.StackedClassifier, "out_of_fold", stop)
+    with pytest.raises(Stop):
+        train(labelled(spark, sf), "full_mixup", NUMERIC, TEXT, bases=small_bases, metas=METAS)
+    rows, w = seen["rows"], seen["weight"]
+    assert w is not None and rows.count() == 6000
+    soft = rows.where(f"{w} < 1 and {w} > 0")
+    total = rows.agg(F.sum(w)).first()[0]
+    assert total == pytest.approx(4000, rel=1e-6) and soft.where(f"{w} < 0.5").count() > 0
+    assert soft.select("label").distinct().count() == 2
+
+
 def test_domain_variant_needs_a_domain(spark, sf):
     with pytest.raises(ValueError, match="domain"):
         train(labelled(spark, sf), "subset_domain")
