@@ -23,6 +23,8 @@ from netweave.session import materialize
 
 #: Turns of one level that are numbered together.
 _STRETCH = 256
+#: Levels whose counts are added up together.
+_RUN = 4096
 
 
 def canonical(value) -> str:
@@ -128,26 +130,19 @@ def _checked(calls: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """(``conv``, ``call_id``, ``level``): null for calls on or behind a circle of references.
+    """(``conv``, ``call_id``, ``level``): the longest chain of references below a call, null for calls
+    on or behind a circle of references.
 
-    Where all references of a conversation point to earlier turns, every level is 0 and the
-    turns are the order; a turn that is null is not earlier than any.  Elsewhere the level is the longest chain of references below a call.
     A round settles the calls whose references are all settled, and lets a reference to a call
     with one open reference of its own point to that one's target, with the steps added up: a
     chain takes as many rounds as its length has binary digits.  More steps than there are
     calls can only lead around a circle.
     """
     name, end = ["conv", "call_id"], ["conv", "ref"]
-    turns = calls.select("conv", F.col("call_id").alias("ref"), F.col("turn").alias("_turn"))
-    needs = materialize(
-        calls.select(*name, "turn", F.explode(F.array_distinct("refs")).alias("ref")).join(turns, end)
-        .select(*name, "ref", F.coalesce(F.col("_turn") < F.col("turn"), F.lit(False)).alias("back")), "references")
-    hard = needs.where("not back").select("conv").distinct()
-    easy = calls.join(hard, "conv", "left_anti").select(*name, F.lit(0).cast("long").alias("level"))
-    nodes = materialize(calls.join(hard, "conv", "left_semi").select(
-        *name, F.lit(0).cast("long").alias("base"), F.lit(False).alias("lost")), "levels")
-    edges = materialize(needs.join(hard, "conv", "left_semi").select(*name, "ref", F.lit(1).cast("long").alias("steps")),
-                        "open-references")
+    known = calls.select("conv", F.col("call_id").alias("ref"))
+    edges = materialize(calls.select(*name, F.explode(F.array_distinct("refs")).alias("ref")).join(known, end).select(
+        *name, "ref", F.lit(1).cast("long").alias("steps")), "open-references")
+    nodes = materialize(calls.select(*name, F.lit(0).cast("long").alias("base"), F.lit(False).alias("lost")), "levels")
     bound = nodes.count()
     while not edges.isEmpty():
         out = edges.groupBy(*name).agg(F.count("*").alias("degree"), F.max("ref").alias("next"), F.max("steps").alias("far"))
@@ -171,17 +166,25 @@ def _levels(calls: DataFrame) -> DataFrame:
             break  # what is left waits for a circle, or is one of several references each
     waiting = edges.select(*name, F.lit(True).alias("_waits")).distinct()
     known = F.when(~F.col("lost") & F.col("_waits").isNull(), F.col("base"))
-    return easy.unionByName(nodes.join(waiting, name, "left").select(*name, known.alias("level")))
+    return nodes.join(waiting, name, "left").select(*name, known.alias("level"))
 
 
 def _numbered(calls: DataFrame) -> DataFrame:
-    """Add ``position`` from 1 along level, turn and identifier, a stretch of turns at a time."""
+    """Add ``position`` from 1 along level, turn and identifier, a stretch of turns at a time.
+
+    Calls of one conversation, level and turn (or without one) are ranked together.
+    """
     staged = calls.withColumn("_level", F.coalesce("level", F.lit(2 ** 62))).withColumn(
         "_part", F.floor(F.col("turn") / _STRETCH))
-    sizes = staged.groupBy("conv", "_level", "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("conv").orderBy("_level", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("conv").alias("_c"), F.col("_level").alias("_l"), F.col("_part").alias("_p"),
-                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    # A long chain has a level for each call: counts are added up within runs of levels, and then over runs.
+    sizes = staged.groupBy("conv", F.floor(F.col("_level") / _RUN).alias("_run"), "_level", "_part").agg(F.count("*").alias("_n"))
+    runs = sizes.groupBy("conv", "_run").agg(F.sum("_n").alias("_all"))
+    earlier = Window.partitionBy("conv").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select("conv", "_run", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_start"))
+    before = Window.partitionBy("conv", "_run").orderBy("_level", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(starts, ["conv", "_run"]).select(
+        F.col("conv").alias("_c"), F.col("_level").alias("_l"), F.col("_part").alias("_p"),
+        (F.col("_start") + F.col("_before")).alias("_from"))
     inner = Window.partitionBy("conv", "_level", "_part").orderBy("turn", "call_id")
     ranked = staged.withColumn("_rank", F.row_number().over(inner))
     same = (ranked["conv"].eqNullSafe(F.col("_c")) & (ranked["_level"] == F.col("_l"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave.llm.audit import audit_filters
@@ -189,90 +189,28 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-#: Tools that the calls of the query below name.
+#: Tools that the calls of the query below name; arguments are whole texts.
 TOOLS = {
     "lookup": {"type": "object", "required": ["query", "limit"], "additionalProperties": False, "properties": {
         "query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1, "maximum": 30},
         "after": {"type": "string"}}},
     "search": {"type": "object", "required": ["query"], "properties": {
-        "query": {"type": "string", "maxLength": 20}, "limit": {"type": "integer"}, "after": {"type": "string"}}},
+        "query": {"type": "string", "maxLength": 1000}, "limit": {"type": "integer"}, "after": {"type": "string"}}},
 }
 
-_CALLS_SQL = """
-WITH RECURSIVE calls AS (
-  SELECT conv_id, turn, 'c' || conv_id || '-' || turn AS call_id, length(text) % 3 AS tool, length(text) % 40 AS lim,
-    substr(text, 1, 24) AS q, CASE WHEN conv_id % 7 = 0 THEN turn + 2 ELSE turn - 2 END AS ref
-  FROM conversations WHERE role = 'assistant'),
-results AS (
-  SELECT conv_id, turn, 'c' || conv_id || '-' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'user' AND turn > 0),
-chain AS (
-  SELECT conv_id, turn, 0 AS level FROM calls c WHERE conv_id % 7 = 0
-    AND NOT EXISTS (FROM calls d WHERE d.conv_id = c.conv_id AND d.turn = c.ref)
-  UNION ALL
-  SELECT c.conv_id, c.turn, level + 1 FROM chain JOIN calls c ON c.conv_id = chain.conv_id AND c.ref = chain.turn),
-placed AS (
-  SELECT calls.*, coalesce(level, 0) AS level,
-    row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(level, 0), turn) AS position
-  FROM calls LEFT JOIN chain USING (conv_id, turn)),
-joined AS (
-  SELECT coalesce(p.conv_id, r.conv_id) AS conv_id, coalesce(p.call_id, r.call_id) AS call_id, coalesce(p.turn, r.turn) AS turn,
-    position, level, p.call_id IS NOT NULL AS called, r.call_id IS NOT NULL AS answered, tool, lim, q, ref, r.text AS result,
-    CASE WHEN p.call_id IS NULL THEN 'no_call' WHEN r.call_id IS NULL THEN 'no_result' ELSE 'linked' END AS status
-  FROM placed p FULL JOIN results r ON p.call_id = r.call_id AND p.conv_id = r.conv_id),
-checked AS (
-  SELECT *, CASE WHEN NOT called THEN '' WHEN tool = 2 THEN '$: unknown tool'
-    WHEN tool = 1 THEN CASE WHEN length(q) > 20 THEN '$.query: too long' ELSE '' END
-    ELSE concat_ws('; ', CASE WHEN lim < 1 THEN '$.limit: below minimum' WHEN lim > 30 THEN '$.limit: above maximum' END,
-      CASE WHEN length(q) < 1 THEN '$.query: too short' END) END AS errors
-  FROM joined)
-SELECT conv_id, call_id, turn, position, level, status, called AND errors = '' AS valid, errors,
-  CAST(called AS BIGINT) AS n_calls, CAST(answered AS BIGINT) AS n_results,
-  '{"arguments":' || CASE WHEN called THEN '{"after":{"$ref":"c' || conv_id || '-' || ref || '"},"limit":' || lim
-      || ',"query":' || CAST(to_json(q) AS VARCHAR) || '}' ELSE 'null' END
-    || ',"id":"' || call_id || '","name":' || CASE WHEN called THEN '"' || (['lookup', 'search', 'recall'])[tool + 1] || '"' ELSE 'null' END
-    || ',"result":' || coalesce(CAST(to_json(result) AS VARCHAR), 'null') || ',"status":"' || status || '"}' AS json
-FROM checked
-"""
-
 
-def _assistant_calls(talk: DataFrame, query: Column) -> DataFrame:
+def _assistant_calls(talk: DataFrame) -> DataFrame:
     name = F.element_at(F.array(F.lit("lookup"), F.lit("search"), F.lit("recall")), (F.length("text") % 3 + 1).cast("int"))
     step = F.when(F.col("conv_id") % 7 == 0, 2).otherwise(-2)
     ref = F.concat(F.lit("c"), "conv_id", F.lit("-"), F.col("turn") + step)
-    arguments = F.to_json(F.struct(query.alias("query"), (F.length("text") % 40).alias("limit"),
+    arguments = F.to_json(F.struct(F.col("text").alias("query"), (F.length("text") % 40).alias("limit"),
                                    F.struct(ref.alias("$ref")).alias("after")))
     return talk.where("role = 'assistant'").select(
         F.col("conv_id").alias("conv"), "turn", F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("call_id"),
         name.alias("name"), arguments.alias("arguments"))
 
 
-def conversation_calls(talk: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tool calls and results of plain conversations.
-
-    An assistant's turn is a call whose tool and arguments come from its text (of which its SQL takes
-    24 characters) and which refers to the assistant's turn before it, or, in every seventh
-    conversation, after it; the user's next turn is its result.
-    """
-    calls = _assistant_calls(talk, F.substring("text", 1, 24))
-    results = talk.where("role = 'user' and turn > 0").select(
-        F.col("conv_id").alias("conv"), "turn",
-        F.concat(F.lit("c"), "conv_id", F.lit("-"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
-    return calls, results
-
-
-@query("op10_tool_calls", _CALLS_SQL)
-def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = conversation_calls(table(spark, sf_dir, "conversations"))
-    return link_tool_calls(calls, results, TOOLS).withColumnRenamed("conv", "conv_id")
-
-
-#: Tools of the query below, whose arguments are whole texts.
-WHOLE_TOOLS = {
-    "lookup": TOOLS["lookup"],
-    "search": TOOLS["search"] | {"properties": TOOLS["search"]["properties"] | {"query": {"type": "string", "maxLength": 1000}}},
-}
-
-_TURNS_SQL = """
+_CALLS_SQL = """
 WITH RECURSIVE calls AS (
   SELECT conv_id, turn, 'c' || conv_id || '-' || turn AS call_id, length(text) % 3 AS tool, length(text) % 40 AS lim,
     text AS q, CASE WHEN conv_id % 7 = 0 THEN turn + 2 ELSE turn - 2 END AS ref
@@ -282,8 +220,8 @@ results AS (
     ELSE coalesce(role, 'none') || conv_id || '-' || turn END AS call_id
   FROM conversations WHERE role IS DISTINCT FROM 'assistant'),
 chain AS (
-  SELECT conv_id, turn, 0 AS level FROM calls c WHERE conv_id % 7 = 0
-    AND NOT EXISTS (FROM calls d WHERE d.conv_id = c.conv_id AND d.turn = c.ref)
+  SELECT conv_id, turn, 0 AS level FROM calls c
+  WHERE NOT EXISTS (FROM calls d WHERE d.conv_id = c.conv_id AND d.turn = c.ref)
   UNION ALL
   SELECT c.conv_id, c.turn, level + 1 FROM chain JOIN calls c ON c.conv_id = chain.conv_id AND c.ref = chain.turn),
 placed AS (
@@ -314,21 +252,23 @@ FROM checked
 def conversation_turns(talk: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tool calls and results that carry every turn of plain conversations, each with its whole text.
 
-    As in ``conversation_calls``, but an assistant's whole text is the argument, and turns that answer
-    no call (a system's, an opening user's, any other role's) are results under their role's name.
+    An assistant's turn is a call whose tool and arguments come from its text and which refers to the
+    assistant's turn before it, or, in every seventh conversation, after it; the user's next turn is its
+    result.  Turns that answer no call (a system's, an opening user's, any other role's) are results
+    under their role's name.
     """
     answers = F.coalesce((F.col("role") == "user") & (F.col("turn") > 0), F.lit(False))
     ident = F.when(answers, F.concat(F.lit("c"), "conv_id", F.lit("-"), F.col("turn") - 1)).otherwise(
         F.concat(F.coalesce("role", F.lit("none")), "conv_id", F.lit("-"), "turn"))
     results = talk.where("not role <=> 'assistant'").select(
         F.col("conv_id").alias("conv"), "turn", ident.alias("call_id"), F.col("text").alias("content"))
-    return _assistant_calls(talk, F.col("text")), results
+    return _assistant_calls(talk), results
 
 
-@query("op10_whole_turns", _TURNS_SQL)
-def op10_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("op10_tool_calls", _CALLS_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = conversation_turns(table(spark, sf_dir, "conversations"))
-    return link_tool_calls(calls, results, WHOLE_TOOLS).withColumnRenamed("conv", "conv_id")
+    return link_tool_calls(calls, results, TOOLS).withColumnRenamed("conv", "conv_id")
 
 
 # crc32 over the code points' UTF-8 bytes, its table built from the polynomial.  Near words share a

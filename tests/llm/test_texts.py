@@ -351,13 +351,13 @@ def test_call_without_a_turn_follows_what_it_refers_to(spark):
 
 def test_every_turn_reaches_the_calls_whole(spark):
     """Long assistant texts, system turns and opening user turns all stand in the JSON."""
-    from netweave.llm.queries import WHOLE_TOOLS, conversation_turns
+    from netweave.llm.queries import TOOLS, conversation_turns
 
     long = "words of an answer, " * 90
     talk = [(1, 0, "system", "be brief"), (1, 1, "user", "first question"), (1, 2, "assistant", long + "a"), (1, 3, "user", "thanks"),
             (2, 0, "user", "opening"), (2, 1, "assistant", long + "bb"), (3, 0, None, "no role")]
     calls, results = conversation_turns(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"))
-    lines = [json.loads(r["json"]) for r in chat.link_tool_calls(calls, results, WHOLE_TOOLS).collect()]
+    lines = [json.loads(r["json"]) for r in chat.link_tool_calls(calls, results, TOOLS).collect()]
     texts = [x for v in lines for x in (v["result"], (v["arguments"] or {}).get("query")) if x is not None]
     assert sorted(texts) == sorted(t for *_, t in talk)
 
