@@ -124,9 +124,9 @@ def reweight_rounds(spark, sf):
 
 @query("reweight_net")
 def reweight_net(spark, sf):
-    """One epoch a round, with class weights taken from the validation rows after each."""
+    """One epoch a round, with class weights taken from the validation rows after every second."""
     train, test = parts(prepared(spark, sf)[0])
-    fit = mod.reweighted_fit(lambda: mod.focal_net(epochs=1), train, test, rounds=50, patience=50, frequency=2)
+    fit = mod.reweighted_fit(lambda: mod.focal_net(epochs=1), train, test, frequency=2)
     rows = [(h["round"], h["macro_f1"], h["loss"], h["weight_0"], h["weight_1"], h["round"] == fit.best_round)
             for h in fit.history]
     return small_table(
