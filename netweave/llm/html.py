@@ -3,9 +3,10 @@
 Each page is read into containers and blocks of text.  A container's path is the chain of
 tags, names and classes above it, numbers made general.  A page scores the containers that hold
 most of its text outside links and outside parts that are not main text (menus, adverts,
-comments and so on, known by tag, role or a whole class or id), and votes for the deepest that holds
-nearly all of it, widened to its article or to the containers above that have text of their own.  Spark adds up the votes of a host, and every page is then extracted from
-the containers on the best path of its host that it has.
+comments and so on, known by tag, role, class or id), and votes for the deepest that holds nearly all of it, widened to its
+article or to the containers above that have further text.  Spark adds up the votes of a host, and
+every page is then extracted from the containers on the best path of its host that it has, unless
+an article or main elsewhere on the page holds far more.
 """
 
 from __future__ import annotations
@@ -51,10 +52,15 @@ ASIDE = frozenset(
     "alert popup modal newsletter subscribe subscription signup login share sharing social related recommended "
     "recommendations comment comments reply replies disqus pagination pager toolbar widget skip "
     "complementary contentinfo search".split())
+#: First words of compound names that say what a part has or is, and last words that say in what state.
+MODIFIERS = frozenset("has no with without is not show hide non".split())
+STATES = frozenset("open opened closed enabled disabled allowed on off count".split())
 #: Containers that pages are laid out in; the others are parts of a text.
 LAYOUT = frozenset("html body main article section div".split())
 #: A container votes if it holds at least this share of its page's text.
 SHARE = 0.9
+#: A host's path gives way to a page's own article or main that holds more text than this many times as much.
+ARTICLE_TIMES = 2.0
 #: Paths kept per host.
 PATHS = 8
 #: Containers nested deeper share the path of their ancestor at this depth.
@@ -66,6 +72,8 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _NUMBER = re.compile(r"\d+")
 _ENDING = re.compile(r"[\d_-]+\Z")
+_HUMP = re.compile(r"(?<=[a-z\d])(?=[A-Z])")
+_JOINT = re.compile(r"[-_:]+")
 
 
 @dataclass
@@ -85,8 +93,19 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _aside(values: Iterable[str]) -> bool:
-    """Whether a whole class, id or role, but for a number at its end, is a word of ASIDE."""
-    return any(_ENDING.sub("", name) in ASIDE for v in values for name in v.lower().split())
+    """Whether a class, id or role marks an aside: the whole name, or the first or last word of a compound.
+
+    A number at a name's end does not matter.  A compound that begins with one of MODIFIERS or ends in
+    one of STATES speaks of something else's aside.
+    """
+    for v in values:
+        for name in v.split():
+            words = [w for w in _JOINT.split(_HUMP.sub("-", _ENDING.sub("", name)).lower()) if w]
+            if not words or len(words) > 1 and (words[0] in MODIFIERS or words[-1] in STATES):
+                continue
+            if words[0] in ASIDE or words[-1] in ASIDE or "".join(words) in ASIDE:
+                return True
+    return False
 
 
 def read_page(source: str) -> Page:
@@ -211,14 +230,25 @@ def read_page(source: str) -> Page:
     return page
 
 
+def held_text(page: Page, links: float = 2.0) -> list[float]:
+    """Characters of text in every container and what it holds, those in links taken off ``links`` times."""
+    held = [0.0] * len(page.parents)
+    for container, text, linked in page.blocks:
+        held[container] += max(0, len(text) - links * linked)
+    for n in range(len(held) - 1, 0, -1):
+        held[page.parents[n]] += held[n]
+    return held
+
+
 def widened(page: Page, containers: list[int]) -> set[int]:
     """The containers, each widened to the whole text that it is a part of.
 
     That is its outermost article or main.  Where it has none, it is the nearest container that a
-    layout is made of, and above that the highest that has text outside links of its own, as a
-    title or lead beside the body.
+    layout is made of; above that the highest that has text outside links of its own, or else the
+    lowest inside the body with further text, as a title or lead in elements beside the body's.
     """
     direct = {n for n, text, linked in page.blocks if len(text) > 2 * linked}
+    held = held_text(page)
     found = set()
     for n in containers:
         above = [n]
@@ -228,36 +258,52 @@ def widened(page: Page, containers: list[int]) -> set[int]:
         if not whole:
             at = next(i for i, a in enumerate(above) if a == 0 or page.tags[a] in LAYOUT)
             whole = [above[at], *(a for a in above[at:] if a in direct)]
+            if whole[-1] == above[at]:
+                inside = (a for a in above[at + 1:] if page.tags[a] in LAYOUT - {"html", "body"})
+                whole += [a for a in inside if held[a] > held[above[at]]][:1]
         found.add(whole[-1])
     return found
 
 
-def votes(page: Page) -> list[tuple[str, float]]:
-    """The page's vote: the deepest path that holds nearly all of its text, widened, weighted by how much that is."""
-    held = [0.0] * len(page.parents)
-    for container, text, linked in page.blocks:
-        held[container] += max(0, len(text) - 2 * linked)
+def own_top(page: Page) -> tuple[int, float] | None:
+    """The page's own choice, widened, and the text it was made by: the deepest path that holds nearly all of it."""
+    held = held_text(page)
+    if not held[0]:
+        # An article may consist of links; other parts that do are menus.
+        inside = [False] * len(held)
+        for n in range(1, len(held)):
+            inside[n] = page.tags[n] in ("article", "main") or inside[page.parents[n]]
+        articles = Page(page.parents, page.paths, [b for b in page.blocks if inside[b[0]]], page.tags)
+        held = held_text(articles, 0.0)
+        if not held[0]:
+            return None
     by_path: dict[str, float] = {}
     depth = {"": 0}
     for n in range(1, len(held)):
         depth[page.paths[n]] = depth[page.paths[page.parents[n]]] + 1
-    for n in range(len(held) - 1, 0, -1):
-        held[page.parents[n]] += held[n]
     for n, h in enumerate(held):
         by_path[page.paths[n]] = by_path.get(page.paths[n], 0.0) + h
-    total = by_path.get("", 0.0)
-    if not total:
-        return []
-    best = max((p for p, h in by_path.items() if h >= SHARE * total), key=lambda p: (depth[p], p))
-    top = widened(page, [page.paths.index(best)]).pop()
-    return [(page.paths[top], log1p(total))]
+    best = max((p for p, h in by_path.items() if h >= SHARE * held[0]), key=lambda p: (depth[p], p))
+    return widened(page, [page.paths.index(best)]).pop(), held[0]
+
+
+def votes(page: Page) -> list[tuple[str, float]]:
+    """The page's vote: its own choice, weighted by how much text it has."""
+    own = own_top(page)
+    return [(page.paths[own[0]], log1p(own[1]))] if own else []
 
 
 def main_text(page: Page, paths: list[str]) -> str:
-    """The blocks in the containers, widened, on the first of ``paths`` that the page has text on, joined by spaces."""
+    """The blocks in the containers, widened, on the first of ``paths`` that the page has text on, joined by spaces.
+
+    Where those hold no article or main, but one stands elsewhere with more than ``ARTICLE_TIMES`` their
+    text, it is the page's own choice that counts.
+    """
     present = set(page.paths)
-    own = [p for p, _ in votes(page)]
-    for path in [*paths, *own]:
+    held = held_text(page)
+    own = own_top(page)
+    articles = [n for n in range(len(page.paths)) if page.tags[n] in ("article", "main")]
+    for path in [*paths, *([page.paths[own[0]]] if own else [])]:
         if path not in present:
             continue
         top = widened(page, [n for n, p in enumerate(page.paths) if p == path])
@@ -265,9 +311,15 @@ def main_text(page: Page, paths: list[str]) -> str:
         for n in range(len(page.paths)):
             inside[n] = n in top or n > 0 and inside[page.parents[n]]
         text = " ".join(t for c, t, _ in page.blocks if inside[c])
-        if text:
+        most = max((held[n] for n in articles if not inside[n]), default=0)
+        if text and not (most > ARTICLE_TIMES * sum(held[n] for n in top) and not any(inside[n] for n in articles)):
             return text
-    return ""
+    if own is None:
+        return ""
+    inside = [False] * len(page.paths)
+    for n in range(len(page.paths)):
+        inside[n] = n == own[0] or n > 0 and inside[page.parents[n]]
+    return " ".join(t for c, t, _ in page.blocks if inside[c])
 
 
 def host_of(url: Column) -> Column:

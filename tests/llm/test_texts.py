@@ -236,6 +236,49 @@ def read(source):
     return html.main_text(html.read_page(source), [])
 
 
+def test_a_host_path_does_not_cost_an_article(spark):
+    """A page with a short box on its host's path and its article elsewhere gives the article."""
+    body = "<body><div class=story><p>{}</p></div></body>"
+    rows = [(i, f"http://h.example/{i}", body.format("story text " * 200)) for i in range(8)]
+    rows.append((8, "http://h.example/8", f"<body><div class=story>Short box</div><article><p>{'whole article ' * 50}</p></article></body>"))
+    rows.append((9, "http://h.example/9", f"<body><div class=story>{'long story ' * 50}</div><article>Teaser</article></body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(pages).collect()}
+    assert got[8] == ("whole article " * 50).strip() and got[9] == ("long story " * 50).strip()
+    assert got[0] == ("story text " * 200).strip()
+
+
+@pytest.mark.parametrize("name", ["comment-list", "user-comments", "ad-slot", "cookie-banner", "article_comments", "adSlot-2", "userComments",
+                                  "related-posts", "newsletter-box", "site-notice", "ads-top"])
+@pytest.mark.parametrize("place", ["class", "id"])
+def test_compound_names_mark_parts_aside(name, place):
+    part = f"<div {place}='{name}'><p>Not the story, though it is long</p></div>"
+    assert read(f"<body><article><p>The story</p>{part}<p>goes on</p></article></body>") == "The story goes on"
+    assert read(f"<body>{part}<div class=text><p>The story</p></div>{part}</body>") == "The story"
+    # One that holds the article does not lose it.
+    assert read(f"<body><div {place}='{name}'><article>The story</article></div></body>") == "The story"
+    assert read(f"<body><div {place}='{name}'><p>The only text</p></div></body>") == "The only text"
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-comments", "with-ads", "comments-open", "comments-closed", "downloads", "shared", "adventure"])
+def test_names_that_only_speak_of_asides(name):
+    assert read(f"<body><div class='{name}'><p>The story</p></div><div class=ad>Buy</div></body>") == "The story"
+
+
+def test_title_and_lead_in_elements_of_their_own():
+    body = "<body><div class=top><a href=x>Home</a></div><div id=content>{}</div><div class=ad>Buy</div></body>"
+    parts = f"<div class=title>Title</div><div class=lead>Lead</div><div class=body><p>{'long text ' * 100}</p></div>"
+    assert read(body.format(parts)) == "Title Lead " + ("long text " * 100).strip()
+    assert read(body.format(parts + "<div class=share-bar>Share</div><div><a href=y>More stories</a></div>")).startswith("Title Lead long")
+    assert "Share" not in read(body.format(parts + "<div class=share-bar>Share</div>"))
+
+
+def test_article_of_links():
+    page = "<body><nav><a href=x>Menu</a></nav><div><a href=y>Other</a></div><article><h1><a href=a>One</a></h1><a href=b>Two</a></article></body>"
+    assert read(page) == "One Two"
+    assert read("<body><div><a href=y>Other</a></div></body>") == ""
+
+
 @pytest.mark.parametrize("n", [200, 300, 5000])
 def test_closing_tags_at_any_depth(n):
     """An article after a long menu comes back whatever the menu's length, and items close their siblings."""
