@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -93,6 +95,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@dataclass
+class Stored:
+    """A table that was written to the working folder."""
+
+    path: str
+    schema: StructType
+
+
+@contextmanager
+def discarding(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], Stored]]:
+    """Remove what is written inside the block, but for what the given function stores."""
+    before, kept = set(_written), set()
+
+    def keep(df: DataFrame, name: str) -> Stored:
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        kept.add(path)
+        return Stored(path, df.schema)
+
+    yield keep
+    for path in sorted(_written - before - kept):
+        discard(spark, path)
+
+
 def small_table(spark: SparkSession, rows: Sequence[Sequence], ddl: str) -> DataFrame:
     """A driver-side table as a local relation, whose size the planner knows."""
     schema = StructType.fromDDL(ddl)
