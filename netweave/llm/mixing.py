@@ -19,7 +19,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netweave.llm.base import field, over_texts, text_buffers
@@ -32,6 +32,8 @@ LIMIT = 2.0
 #: Documents in a leaf and children of a node, on average at most.
 LEAF = 2_000
 FAN = 32
+#: Parts of a unit of many equal rows, numbered side by side.
+_PARTS = 64
 #: Smallest open documents that a node, and a root, does not settle by pairs.
 HELD, HELD_ROOT = 64, 256
 
@@ -152,16 +154,10 @@ def _node(seed: int, level: int, root: bool):
     return run
 
 
-def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
-                weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: int = 42,
-                leaf: int = LEAF, fan: int = FAN) -> DataFrame:
-    """(``key``, size, source, source_size, target, copies, taken) of every row.
-
-    ``size`` is the number of words (null text: 0), ``copies`` how often the mix takes the row, at
-    most ``limit`` rounded up, and ``taken`` the words that makes.  Rows equal in key, source and
-    size are one unit that shares its copies evenly among them.  Draws depend on the keys and
-    the seed alone.  Empty texts take part with no words.
-    """
+def _mixed_units(docs: DataFrame, key: str, source: str, text: str, weights: Sequence[float], share: float, limit: float,
+                 seed: int, leaf: int, fan: int) -> DataFrame:
+    """Rows equal in key, source and size as one unit: ``source``, ``key``, ``size``, ``times`` (rows),
+    ``source_size``, ``target`` and ``_all`` (copies that its rows share)."""
     kinds = dict(docs.dtypes)
     rows = docs.select(field(docs, key).alias("key"), field(docs, source).alias("source"), field(docs, text).alias("_body"))
     sized = materialize(over_texts(rows, "_body", ["key", "source"], "size long",
@@ -194,23 +190,67 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", te
         waiting = now.where("not settled").withColumn("node", F.floor(F.col("node") / fan).cast("long"))
         nodes, level = -(-nodes // fan), level + 1
     extra = F.when((F.col("size") > 0) & (F.col("mass") > 0.5 * F.col("size")), 1).otherwise(0)
-    total = done.withColumn("_all", F.col("base") + extra)
+    return done.withColumn("_all", F.col("base") + extra)
+
+
+def _dealt(rank: str) -> Column:
+    """The copies of a unit's row of this rank."""
+    return F.floor(F.col("_all") / F.col("times")) + (F.col(rank) <= F.col("_all") % F.col("times")).cast("long")
+
+
+def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
+                weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: int = 42,
+                leaf: int = LEAF, fan: int = FAN) -> DataFrame:
+    """(``key``, size, source, source_size, target, copies, taken) of every row.
+
+    ``size`` is the number of words (null text: 0), ``copies`` how often the mix takes the row, at
+    most ``limit`` rounded up, and ``taken`` the words that makes.  Rows equal in key, source and
+    size are one unit that shares its copies evenly among them.  Draws depend on the keys and
+    the seed alone.  Empty texts take part with no words.
+    """
+    total = _mixed_units(docs, key, source, text, weights, share, limit, seed, leaf, fan)
     each = total.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    copies = F.floor(F.col("_all") / F.col("times")) + (F.col("_row") <= F.col("_all") % F.col("times")).cast("long")
+    copies = _dealt("_row")
     return each.select(F.col("key").alias(key), "size", F.col("source").alias("_source"), "source_size", "target",
                        copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
-                    copy: str = "copy", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", copy: str = "copy",
+                    weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: int = 42,
+                    leaf: int = LEAF, fan: int = FAN) -> DataFrame:
     """The rows of the mix: ``docs`` with all columns, each as often as it is taken, numbered by ``copy`` from 1.
 
-    Rows equal in key, source and size are dealt their copies in no particular order.
+    Draws depend on keys, texts and the seed alone, so that the same documents in other files or
+    tasks make the same mix.  Rows equal in key, source and text are one unit; of its copies, rows
+    are dealt theirs in the order of their other columns.  Null and empty texts have no words and
+    are not taken.  Where the documents have a column ``copy``, the number's name gets underscores
+    until it is free.
     """
-    if copy in docs.columns:
-        raise ValueError(f"{copy} is a column of the documents")
-    frozen = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "documents")
-    mixed = mix_sources(frozen, "_mix_row", source, text, **options).where("copies > 0").select(
-        "_mix_row", F.col("copies").alias("_mix_copies"))
-    joined = frozen.join(mixed, "_mix_row").withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), "_mix_copies")))
-    return joined.select(*[field(joined, c) for c in docs.columns], copy)
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    k, s, t = (names[docs.columns.index(c)] for c in (key, source, text))
+    others = [n for n in names if n not in (k, s, t)]
+    while copy in docs.columns:
+        copy += "_"
+    frozen = materialize(docs.toDF(*names).withColumn("_id", F.monotonically_increasing_id()), "documents")
+    unit = F.sha2(F.concat_ws("|", F.col(k).isNull().cast("string"), F.coalesce(F.col(k).cast("string"), F.lit("")),
+                              F.sha2(F.coalesce(F.col(t), F.lit("")), 256)), 256)
+    rest = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0).cast("long")
+    keyed = frozen.select("_id", unit.alias("_unit"), F.col(s).alias("_source"), F.col(t).alias("_text"), rest.alias("_rest"))
+    units = _mixed_units(keyed, "_unit", "_source", "_text", weights, share, limit, seed, leaf, fan).where("_all > 0").select(
+        F.col("key").alias("_unit"), F.col("source").alias("_from"), "times", "_all")
+    rows = keyed.select("_id", "_unit", "_source", "_rest")
+    found = materialize(rows.join(units, (rows["_unit"] == units["_unit"]) & rows["_source"].eqNullSafe(units["_from"])).select(
+        "_id", rows["_unit"], "_source", "_rest", "times", "_all"), "taken")
+    # Ranks within a unit of many rows are added up over parts of it.
+    part = ["_unit", "_source", "_rest", "_part"]
+    many = found.where("times > 1").withColumn("_part", F.pmod("_id", F.lit(_PARTS)))
+    sizes = many.groupBy(*part).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_unit", "_source").orderBy("_rest", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*[F.col(c).alias(f"{c}_") for c in part], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    ranked = many.withColumn("_place", F.row_number().over(Window.partitionBy(*part).orderBy("_id")))
+    same = [ranked[c].eqNullSafe(offsets[f"{c}_"]) for c in part]
+    placed = ranked.join(offsets, same[0] & same[1] & same[2] & same[3]).withColumn("_rank", F.col("_before") + F.col("_place"))
+    copies = found.where("times = 1").select("_id", F.col("_all").alias("_copies")).unionByName(
+        placed.select("_id", _dealt("_rank").alias("_copies"))).where("_copies > 0")
+    joined = frozen.join(copies, "_id").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    return joined.select(*names, "_copy").toDF(*docs.columns, copy)

@@ -282,22 +282,24 @@ def redact_secrets(docs: DataFrame, text: str = "text", length: str | None = "n_
 
     Texts without a secret, null ones too, stay as they are.
     """
-    rules, kept = tuple(rules), [c for c in docs.columns if c != text]
+    rules, names = tuple(rules), [f"_c{i}" for i in range(len(docs.columns))]
+    body = names[docs.columns.index(text)]
 
     def clean(texts: pa.Array, scanner: Scanner):
         found = scanner.scan(texts)
         out = [redact(t, s) if s else t for t, s in zip(texts.to_pylist(), found)]
         return [pa.array(out, pa.string()), pa.array([bool(s) for s in found], pa.bool_())]
 
-    marked = docs.withColumn("_redact_null", field(docs, text).isNull())
-    done = over_texts(marked, text, [*kept, "_redact_null"], "_redact_text string, _redact_hit boolean", clean, lambda: Scanner(rules))
+    # Columns go by their places, so that any names may clash.
+    marked = docs.toDF(*names).withColumn("_null", F.col(body).isNull())
+    kept = [n for n in names if n != body]
+    done = over_texts(marked, body, [*kept, "_null"], "_clean string, _hit boolean", clean, lambda: Scanner(rules))
     columns = []
-    for c in docs.columns:
-        if c == text:
-            columns.append(F.when(~F.col("_redact_null"), F.col("_redact_text")).alias(text))
+    for n, c in zip(names, docs.columns):
+        if n == body:
+            columns.append(F.when(~F.col("_null"), F.col("_clean")).alias(n))
         elif c == length:
-            columns.append(F.when(F.col("_redact_hit"), F.length("_redact_text")).otherwise(field(done, c))
-                           .cast(docs.schema[c].dataType).alias(c))
+            columns.append(F.when(F.col("_hit"), F.length("_clean")).otherwise(F.col(n)).cast(docs.schema[c].dataType).alias(n))
         else:
-            columns.append(field(done, c))
-    return done.select(*columns)
+            columns.append(F.col(n))
+    return done.select(*columns).toDF(*docs.columns)

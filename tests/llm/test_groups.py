@@ -347,6 +347,23 @@ def test_mixed_documents(spark):
     assert all({r["copy"] for r in got if r["doc_id"] == d} == set(range(1, n[d] + 1)) for d in n)
 
 
+def mixed_rows(df):
+    got = mixing.mixed_documents(df)
+    return sorted(map(tuple, got.select(*sorted(got.columns)).collect()), key=repr)
+
+
+def test_mix_does_not_depend_on_the_layout(spark):
+    docs, _, _ = mixable(spark, 400)
+    docs = docs.withColumn("extra", F.col("doc_id") % 3)
+    odd = docs.unionByName(docs.where("doc_id % 5 = 0")).unionByName(docs.where("doc_id % 10 = 0").withColumn("extra", F.lit(9)))
+    odd = odd.unionByName(odd.limit(30).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit("same four words here")))
+    odd = materialize(odd, "odd")
+    want = mixed_rows(odd)
+    assert mixed_rows(odd.repartition(7, "text")) == want == mixed_rows(odd.orderBy(F.desc("doc_id")).coalesce(1))
+    named = mixing.mixed_documents(odd.withColumn("copy", F.lit(1)).withColumn("_id", F.lit(2)))
+    assert named.columns == [*odd.columns, "copy", "_id", "copy_"] and named.count() == len(want)
+
+
 # --- the pipeline ------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, sf):
@@ -404,16 +421,37 @@ def test_pipeline_keeps_odd_columns(spark, sf):
     """Nulls in every column, repeated rows, and columns named as the operators name theirs."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
     docs = docs.select(*[F.when(F.col("doc_id") % (7 + i) != 0, F.col(c)).alias(c) for i, c in enumerate(docs.columns)])
-    more = ("a.b", "score", "spans", "hits", "items", "_text", "_c0", "fp", "size", "node", "n_words", "component_id", "copies")
+    more = ("a.b", "score", "spans", "hits", "items", "_text", "_c0", "fp", "size", "node", "n_words", "component_id", "copies", "copy", "_row", "_null",
+            "_id", "_dedup_row", "_mix_row")
     docs = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(more)])
     docs = docs.union(docs.limit(5))
     names = docs.columns
     for name, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, sf), "odd")
-        assert docs.columns == (names if name != "mix" else [*names, "copy"])
+        assert docs.columns == (names if name != "mix" else [*names, "copy_"])
         assert docs.count() and [docs.select(f"`{c}`").distinct().collect() for c in more] == [[(i,)] for i in range(len(more))]
 
 
+def test_pipeline_over_two_layouts(spark, sf, tmp_path):
+    """The same documents in other files make the same corpus, and only the last stage's table is left."""
+    import os
+    import shutil
+
+    from netweave import session
+
+    for name in ("labels", "benchmark"):
+        shutil.copy(f"{sf}/{name}.parquet", tmp_path / f"{name}.parquet")
+    spark.read.parquet(f"{sf}/documents.parquet").orderBy(F.desc("n_chars")).repartition(5).write.parquet(
+        str(tmp_path / "documents.parquet"))
+    got = []
+    for folder in (sf, str(tmp_path)):
+        before = set(session._written)
+        out = corpus_pipeline.run(spark, folder)
+        assert len(set(session._written) - before) == 1
+        got.append(sorted(map(tuple, out.select("doc_id", "copy", "text").collect())))
+    assert got[0] == got[1] and got[0] and os.path.isdir(sf)
+
+
 def test_pipeline_of_empty_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
