@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.llm.base import crc_bucket, field
+from netweave.llm.base import crc_bucket
 from netweave.llm.decontaminate import contamination
 from netweave.llm.mixing import mixed_documents
 from netweave.llm.quality import fit_quality, score_quality
 from netweave.llm.queries import QUALITY_CUT, table
 from netweave.llm.secrets import redact_secrets
 from netweave.llm.simhash import near_duplicates
-from netweave.session import materialize
+from netweave.session import discard, discarding, materialize
 
 ORACLE_SQL = None
 
@@ -29,7 +29,11 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier takes for good ones."""
+    """Documents that the compression classifier takes for good ones.
+
+    A null text is scored as the empty one; rows without an id are scored, but teach nothing;
+    repeated rows share their fate.  Any other columns stay as they are.
+    """
     labels = table(spark, sf_dir, "labels")
     model = fit_quality(docs, labels, crc_bucket(F.col("doc_id"), 4) != 2)
     plain, text = _numbered(docs)
@@ -38,28 +42,42 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least id, null after all others."""
-    frozen = materialize(docs.withColumn("_dedup_row", F.monotonically_increasing_id()), "documents")
-    one = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_dedup_row").alias("row"))
-    classes = near_duplicates(frozen.select(one.alias("_one"), "text"), key="_one")
-    least = classes.where(F.col("_one") == F.col("component_id")).select(F.col("_one.row").alias("_dedup_row"))
-    return frozen.join(least, "_dedup_row", "left_semi").select(*[field(docs, c) for c in docs.columns])
+    """One document of each group of near-duplicates: the one with the least id, null after all others.
+
+    Of rows with the same id the one whose columns come first stays, so that the choice does not
+    depend on files or tasks.  Null texts are empty, and all empty texts are one group.
+    """
+    plain, text = _numbered(docs)
+    key = plain.columns[docs.columns.index("doc_id")]
+    frozen = materialize(plain.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    one = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"),
+                   F.sha2(F.to_json(F.struct(*plain.columns)), 256).alias("columns"), F.col("_row").alias("row"))
+    classes = near_duplicates(frozen.select(one.alias("_one"), F.col(text).alias("text")), key="_one")
+    least = classes.where(F.col("_one") == F.col("component_id")).select(F.col("_one.row").alias("_row"))
+    return frozen.join(least, "_row", "left_semi").select(*plain.columns).toDF(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of words with the benchmark."""
+    """Documents that share no window of words with the benchmark.
+
+    Null and empty texts have no words and stay; repeated rows share their fate.
+    """
     plain, text = _numbered(docs)
     found = contamination(plain, table(spark, sf_dir, "benchmark"), plain.columns, text)
     return found.where(F.size("hits") == 0).select(*plain.columns).toDF(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by the names of their kinds."""
+    """All documents, their secrets replaced by the names of their kinds; null texts stay null."""
     return redact_secrets(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them, numbered by ``copy``."""
+    """The documents as often as the mix takes them, numbered by ``copy`` (``copy_`` where that is taken).
+
+    Draws follow ids and texts, so the same documents in another layout make the same mix.  Null
+    and empty texts have no words and are not taken; a null source is a source of its own.
+    """
     return mixed_documents(docs)
 
 
@@ -73,8 +91,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each one written and read again.
+
+    What a stage wrote on its way is removed once its result is stored.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with discarding(spark) as keep:
+            after = keep(stage(spark, docs, sf_dir), name)
+        discard(spark, before)
+        docs, before = spark.read.schema(after.schema).parquet(after.path), after.path
     return docs
