@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from netweave.functions.numeric import clip, coerce_double, log1p_clipped, normal_quantile
 from netweave.operators.ordering import with_row_ids
 from netweave.operators.quantiles import SMALL, quantiles
+from netweave.operators.skew import split_join
 from netweave.plans.mapping import column
 from netweave.session import materialize, small_table
 
@@ -46,6 +47,12 @@ class Encoder:
         table = table.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
         return F.broadcast(table) if self.sizes[feature] <= SMALL_VOCABULARY else table
 
+    def _joined(self, df: DataFrame, feature: str) -> DataFrame:
+        """``df`` with the ``_code`` of its ``_value``; values that many rows share are split where the table is not sent around."""
+        if self.sizes[feature] <= SMALL_VOCABULARY:
+            return df.join(self._table(feature), "_value", "left")
+        return split_join(df, self._table(feature), ["_value"], "left")
+
     def _fallback(self) -> dict[str, int]:
         rows = self.vocab.where(F.col("value") == self.null_token).collect()
         return {r["feature"]: r["code"] for r in rows}
@@ -64,7 +71,7 @@ class Encoder:
             value = F.coalesce(column(f).cast("string"), F.lit(self.null_token))
             missing = F.lit(fallback[f]) if unseen == "fallback" else F.raise_error(
                 F.concat(F.lit(f"{f}: unseen value "), value)).cast("int")
-            joined = df.withColumn("_key", value).join(self._table(f), F.col("_key") == F.col("_value"), "left")
+            joined = self._joined(df.withColumn("_value", value), f)
             coded = F.coalesce(F.col("_code"), missing).alias(f + suffix)
             keep = [column(c) for c in df.columns if c != f + suffix]
             df = joined.select(*keep, coded)
