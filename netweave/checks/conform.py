@@ -56,15 +56,16 @@ def csv_roundtrip(spark, sf):
 
 
 @query("csv_by_name", """
-SELECT n_nationkey AS key, n_name AS name, n_regionkey * 1.0::DOUBLE AS region FROM nation
+SELECT c_custkey AS key, c_name AS name, c_acctbal AS balance FROM customer
 """)
 def csv_by_name(spark, sf):
     """Two files whose columns stand in different orders, and one that does not exist."""
-    nation = table(spark, sf, "nation")
-    first, second = scratch_path(spark, "nations-csv"), scratch_path(spark, "nations-csv")
-    write_csv(nation.where("n_nationkey < 10").selectExpr("n_nationkey AS key", "n_name AS name", "n_regionkey AS region"), first)
-    write_csv(nation.where("n_nationkey >= 10").selectExpr("n_regionkey AS region", "n_name AS name", "n_nationkey AS key"), second)
-    df, skipped = read_flows_reported(spark, [first, first + "-absent", second], "key bigint, name string, region double")
+    customer = table(spark, sf, "customer")
+    first, second = scratch_path(spark, "customers-csv"), scratch_path(spark, "customers-csv")
+    half = F.col("c_custkey") % 2 == 0
+    write_csv(customer.where(half).selectExpr("c_custkey AS key", "c_name AS name", "c_acctbal AS balance"), first)
+    write_csv(customer.where(~half).selectExpr("c_acctbal AS balance", "c_name AS name", "c_custkey AS key"), second)
+    df, skipped = read_flows_reported(spark, [first, first + "-absent", second], "key bigint, name string, balance double")
     assert list(skipped) == [first + "-absent"]
     return df
 
@@ -698,13 +699,13 @@ def missing(spark, sf):
 
 
 @query("source_tag", """
-SELECT n_name AS name, 'nation' AS source FROM nation UNION ALL SELECT r_name, 'region' FROM region
+SELECT o_orderkey AS k, 'orders' AS source FROM orders UNION ALL SELECT l_orderkey, 'lineitem' FROM lineitem
 """)
 def tags_of_files(spark, sf):
     """Rows tagged with the name of the file that they come from."""
     tag = source_tag(suffix=".parquet").alias("source")
-    return union_all([table(spark, sf, "nation").select(F.col("n_name").alias("name"), tag),
-                      table(spark, sf, "region").select(F.col("r_name").alias("name"), tag)])
+    return union_all([table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), tag),
+                      table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), tag)])
 
 
 @query("union_tagged", """
