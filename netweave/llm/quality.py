@@ -25,6 +25,8 @@ LEVEL = 3
 #: Bounds of the fit: labelled documents of each class, and characters of one of them.
 PER_CLASS = 3_000
 MAX_CHARS = 50_000
+#: Size differences of a text.
+MEASURES = 5
 
 
 class Compressors:
@@ -43,7 +45,7 @@ class Compressors:
         self.good, self.bad, self.plain = make(good or None), make(bad or None), make(None)
 
     def measures(self, text: bytes) -> list[float]:
-        """Normalised size differences of a text; all zero but the block terms for an empty one."""
+        """Normalised size differences of a text: whole against either dictionary and none, and of its most telling blocks."""
         good = bad = plain = 0
         low, high = 1.0, -1.0
         for i in range(0, max(len(text), 1), BLOCK):
@@ -52,9 +54,7 @@ class Compressors:
             good, bad, plain = good + g, bad + b, plain + len(self.plain.compress(block))
             share = (g - b) / max(g, b)
             low, high = min(low, share), max(high, share)
-        n = max(len(text), 1)
-        return [(good - bad) / max(good, bad), (plain - good) / max(plain, good), (plain - bad) / max(plain, bad),
-                high, low, min(good / n, 2.0), min(plain / n, 2.0), float(np.log1p(len(text)))]
+        return [(good - bad) / max(good, bad), (plain - good) / max(plain, good), (plain - bad) / max(plain, bad), high, low]
 
 
 def expand(rows: np.ndarray) -> np.ndarray:
@@ -123,7 +123,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "
     sample, counts = label_sample(docs, labels, label, keep, per_class, max_chars, key, text)
     rows = sorted((r["_label"], str(r["_key"]), r["_text"].encode()) for r in sample.collect())
     sides = {v: [t for y, _, t in rows if y == v] for v in (0, 1)}
-    width = len(expand(np.zeros((1, 8)))[0])
+    width = len(expand(np.zeros((1, MEASURES)))[0])
     if not sides[0] or not sides[1]:
         share = 0.5 if not rows else 0.001 + 0.998 * float(bool(sides[1]))
         return QualityModel(b"", b"", np.zeros(width), np.ones(width),
@@ -147,7 +147,7 @@ def score_quality(docs: DataFrame, model: QualityModel, keep=("doc_id",), text:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most DICTIONARY bytes
 
     def score(texts: pa.Array, tools: Compressors):
-        rows = np.array([tools.measures(t) for t in each_bytes(texts)]).reshape(-1, 8)
+        rows = np.array([tools.measures(t) for t in each_bytes(texts)]).reshape(-1, MEASURES)
         return [pa.array(shared.value.score(rows), pa.float64())]
 
     return over_texts(docs, text, list(keep), f"{out} double", score,

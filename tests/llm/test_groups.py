@@ -1,6 +1,7 @@
 """Classifiers, near-duplicates, vectors, mixing and the pipeline against plain re-implementations."""
 
 import collections
+import math
 import random
 import re
 
@@ -56,6 +57,48 @@ def test_quality_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in held)
 
 
+def test_quality_scores_written_out(spark):
+    """Scores from compression sizes taken with the library directly, one block after the other."""
+    import zstandard
+
+    docs, labels = labelled(spark)
+    model = quality.fit_quality(docs, labels, F.lit(True))
+
+    def size(raw, block):
+        options = dict(level=quality.LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False)
+        if raw:
+            kind = zstandard.DICT_TYPE_FULLDICT if raw[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
+            made = zstandard.ZstdCompressionDict(raw, dict_type=kind)
+            made.precompute_compress(level=quality.LEVEL)
+            options["dict_data"] = made
+        return len(zstandard.ZstdCompressor(**options).compress(block))
+
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.limit(25).collect()}
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, model).collect()}
+    for d, text in texts.items():
+        blocks = [text[i:i + 1024] for i in range(0, len(text), 1024)] or [b""]
+        sizes = [(size(model.good, b), size(model.bad, b), size(b"", b)) for b in blocks]
+        g, b, n = (sum(x) for x in zip(*sizes))
+        shares = [(x - y) / max(x, y) for x, y, _ in sizes]
+        m = [(g - b) / max(g, b), (n - g) / max(n, g), (n - b) / max(n, b), max(shares), min(shares)]
+        terms = m + [m[i] * m[j] for i in range(5) for j in range(i, 5)]
+        z = model.weights[0] + sum(w * (t - a) / s for w, t, a, s in zip(model.weights[1:], terms, model.mean, model.scale))
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def test_toxicity_scores_written_out(spark):
+    """Scores with the sum over pairs of terms as a double loop."""
+    docs, labels = labelled(spark)
+    model = toxicity.fit_toxicity(docs, labels, F.lit(True))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, model).collect()}
+    for r in docs.limit(25).collect():
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", (r["text"] or "").encode().lower())
+        held = sorted({model.places[t] for w in words for t in toxicity.terms(w) if t in model.places})
+        z = model.constant + sum(model.weights[i] for i in held)
+        z += sum(float(model.vectors[i] @ model.vectors[j]) for a, i in enumerate(held) for j in held[a + 1:])
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
+
+
 def test_quality_of_given_documents(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     held = queries.QUERIES["op3_quality"](spark, sf).where("held_out").join(labels, "doc_id").collect()
