@@ -29,9 +29,10 @@ from netweave.operators.sampling import (
     split_stratified,
     with_fold,
 )
+from netweave.operators.state import add_parts, merged_profile
 from netweave.plans import vocab
 from netweave.plans.schemas import KDD_FEATURE_GROUPS, NB15_FEATURE_GROUPS
-from netweave.session import small_table
+from netweave.session import scratch_path, small_table
 
 # --- counts ------------------------------------------------------------------------
 
@@ -89,6 +90,43 @@ def describe_narrowed(spark, sf):
     return rounded(profile.describe(li, small=0), 4)
 
 
+def _merged_sql(c):
+    return f"""SELECT '{c}' AS feature, count({c}) AS n, count(*) - count({c}) AS nulls, round(avg({c}), 4) AS mean,
+  round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS low, round(max({c}), 4) AS high, true AS distinct_near, true AS median_near
+FROM lineitem"""
+
+
+@query("profile_merged", " UNION ALL ".join(_merged_sql(c) for c in ("l_quantity", "l_extendedprice", "l_partkey")))
+def profile_merged(spark, sf):
+    """The profile of line items merged from states of their return flags, added one after the other.
+
+    What SQL can say of the sketches is that they are near the exact figures.
+    """
+    cols = ["l_quantity", "l_extendedprice", "l_partkey"]
+    li = table(spark, sf, "lineitem").select("l_returnflag", *cols)
+    path = scratch_path(spark, "profile-state")
+    for flag in ("A", "N", "R"):
+        kept = add_parts(spark, path, li.where(F.col("l_returnflag") == flag), "l_returnflag", cols)
+    exact = li.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
+    ranks = {c: li.agg(F.count(c)).first()[0] for c in cols}
+    merged = merged_profile(kept)
+    middle = {r["feature"]: r["quantiles"][1] for r in merged.collect()}
+    below = li.agg(*[F.count_if(F.col(c) < middle[c]).alias(f"{c}_lt") for c in cols],
+                   *[F.count_if(F.col(c) <= middle[c]).alias(f"{c}_le") for c in cols]).first()
+
+    def per_column(values):
+        out = F.lit(None)
+        for c, v in values.items():
+            out = F.when(F.col("feature") == c, F.lit(v)).otherwise(out)
+        return out
+
+    near = {c: below[f"{c}_lt"] <= 0.53 * ranks[c] and below[f"{c}_le"] >= 0.47 * ranks[c] for c in cols}
+    return rounded(merged.select(
+        "feature", "n", "nulls", "mean", "std", "low", "high",
+        (F.abs(F.col("distinct") - per_column({c: exact[c] for c in cols})) <= 0.08 * F.col("distinct") + 1).alias("distinct_near"),
+        per_column(near).alias("median_near")), 4)
+
+
 @query("distinct_counts", """
 SELECT 'l_returnflag' AS feature, count(DISTINCT l_returnflag) AS "distinct" FROM lineitem
 UNION ALL SELECT 'l_suppkey', count(DISTINCT l_suppkey) FROM lineitem
