@@ -1,45 +1,95 @@
 """Work that needs a global order, without one giant partition.
 
-Prefix sums split the order into value ranges taken from a sketch, add up each
-range, and let every range start from the total of those before it.  Row numbers
-do the same, or fall back to the partitions of a range-partitioned, written table.
+The order is cut into value ranges taken from a sketch; a range that is still too full is cut
+again by a sketch of its own, so any number of rows ends in ranges of bounded size.  Prefix
+sums add up each range and let every range start from the total of those before it, and row
+numbers do the same, or fall back to the partitions of a range-partitioned, written table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterable, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netweave.session import materialize
+from netweave.session import materialize, small_table
 
 ROWS_PER_RANGE = 200_000
-MAX_RANGES = 4096
+#: Ranges that one sketch cuts its rows into, and ranges whose totals are added up together.
+FAN = 1024
 
 
-def _cut(df: DataFrame, value: str, pieces: int, out: str) -> DataFrame:
+def _numbered(df: DataFrame, value: str, cuts: Sequence[float], out: str) -> DataFrame:
     """Number the rows by value range: nulls first (-1), NaN last, as sorting places them."""
-    probs = [i / pieces for i in range(1, pieces)]
-    sketch = df.where(~F.isnan(value)).agg(F.percentile_approx(value, probs, 10 * pieces).alias("q")).first()["q"]
-    splits = [float("-inf"), *sorted(set(float(c) for c in sketch or [])), float("inf")]
+    if not cuts:
+        return df.withColumn(out, F.when(F.col(value).isNull(), -1).when(F.isnan(value), 1).otherwise(0))
+    splits = [float("-inf"), *cuts, float("inf")]
     cut = Bucketizer(splits=splits, inputCol=value, outputCol="_b", handleInvalid="keep").transform(df)
     number = F.when(F.col(value).isNull(), F.lit(-1)).otherwise(F.col("_b")).cast("int")
     return cut.withColumn(out, number).drop("_b")
 
 
-def _range_index(df: DataFrame, order: str, out: str, descending: bool, rows_per_range: int) -> DataFrame | None:
-    """``df`` with a range number that grows along the order; None if one range suffices."""
-    pieces = min(MAX_RANGES, -(-df.count() // rows_per_range))
-    if pieces <= 1:
-        return None
-    numbered = _cut(df, order, pieces, out)
-    return numbered.withColumn(out, -F.col(out)) if descending else numbered
+def _ranges(df: DataFrame, value: str, rows_per_range: int, fan: int = FAN) -> tuple[list[float], dict[int, int]]:
+    """Cuts between ranges of about ``rows_per_range`` rows, and the rows of each range.
+
+    One read sketches the whole, one counts its ranges; only ranges with too many rows of
+    different values are sketched and counted again.  Rows of one value cannot be told apart here.
+    """
+    probs = [i / fan for i in range(1, fan)]
+    plain = F.when(~F.isnan(value), F.col(value))
+    whole = df.agg(F.count("*").alias("n"), F.percentile_approx(plain, probs, 10 * fan).alias("q")).first()
+    if whole["n"] <= rows_per_range:
+        return [], {0: whole["n"]}
+    cuts = sorted(_finite(whole["q"] or []))
+    sizes: dict[int, int] = {}
+    while True:
+        ranged = _numbered(df, value, cuts, "_r")
+        rows = ranged.groupBy("_r").agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).collect()
+        sizes = {r["_r"]: r["n"] for r in rows}
+        full = [r["_r"] for r in rows if r["_r"] >= 0 and r["n"] > 2 * rows_per_range and r["low"] < r["high"] and r["high"] == r["high"]]
+        if not full:
+            break
+        # The cut at a range's least value sets it apart where it is what fills the range.
+        again = ranged.where(F.col("_r").isin(full)).groupBy("_r").agg(
+            F.percentile_approx(value, probs, 10 * fan).alias("q"), F.max(value).alias("high")).collect()
+        more = _finite([c for r in again for c in (*r["q"], r["high"])])
+        if more <= set(cuts):
+            break
+        cuts = sorted(set(cuts) | more)
+    return _merged(cuts, sizes, rows_per_range)
+
+
+def _finite(values: Iterable) -> set[float]:
+    return {float(v) for v in values if math.isfinite(v)}
+
+
+def _merged(cuts: list[float], sizes: dict[int, int], rows_per_range: int) -> tuple[list[float], dict[int, int]]:
+    """Neighbouring ranges joined while they stay within ``rows_per_range``; nulls and NaN keep theirs."""
+    last = len(cuts)
+    kept, counts = [], {}
+    held = sizes.get(0, 0)
+    for i, c in enumerate(cuts):
+        n = sizes.get(i + 1, 0)
+        if held + n > rows_per_range and held:
+            counts[len(kept)] = held
+            kept.append(c)
+            held = n
+        else:
+            held += n
+    if held:
+        counts[len(kept)] = held
+    if -1 in sizes:
+        counts[-1] = sizes[-1]
+    if last + 1 in sizes:
+        counts[len(kept) + 1] = sizes[last + 1]
+    return kept, counts
 
 
 def prefix_sums(df: DataFrame, order: str, sums: dict[str, str], by: Sequence[str] = (), descending: bool = False,
-                rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                rows_per_range: int = ROWS_PER_RANGE, fan: int = FAN) -> DataFrame:
     """Add inclusive running totals ``{output: input}`` along a numeric ``order``.
 
     ``df`` must hold one row per (``by``, ``order``), so aggregate first; this is
@@ -47,28 +97,41 @@ def prefix_sums(df: DataFrame, order: str, sums: dict[str, str], by: Sequence[st
     """
     by = list(by)
     key = F.desc(order) if descending else F.asc(order)
-    ranged = _range_index(df, order, "_range", descending, rows_per_range)
-    if ranged is None:
+    cuts, sizes = _ranges(df, order, rows_per_range, fan)
+    if len(sizes) <= 1:
         w = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(c).over(w).alias(o) for o, c in sums.items()])
+    ranged = _numbered(df, order, cuts, "_range")
+    if descending:
+        ranged = ranged.withColumn("_range", -F.col("_range"))
     inner = Window.partitionBy(*by, "_range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    # At most MAX_RANGES rows per group enter this window.
-    outer = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
-    offsets = totals.select(
-        *by, "_range", *[F.coalesce(F.sum(f"_t_{o}").over(outer), F.lit(0)).alias(f"_s_{o}") for o in sums]
-    )
-    return (
-        ranged.join(offsets, [*by, "_range"])
-        .select(*df.columns, *[(F.sum(c).over(inner) + F.col(f"_s_{o}")).alias(o) for o, c in sums.items()])
-    )
+    totals = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()]).withColumn(
+        "_group", F.floor(F.col("_range") / fan))
+    # Ranges are added up within groups of them, and then groups.
+    before = Window.partitionBy(*by, "_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*by).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = totals.groupBy(*by, "_group").agg(*[F.sum(f"_t_{o}").alias(f"_t_{o}") for o in sums]).select(
+        *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_group").alias("_g"),
+        *[F.coalesce(F.sum(f"_t_{o}").over(outer), F.lit(0)).alias(f"_g_{o}") for o in sums])
+    same = F.col("_group") == F.col("_g")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    offsets = totals.select(*by, "_range", "_group", *[
+        F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_b_{o}") for o in sums]).join(groups, same).select(
+        *[F.col(c).alias(f"_of{i}") for i, c in enumerate(by)], F.col("_range").alias("_at"),
+        *[(F.col(f"_b_{o}") + F.col(f"_g_{o}")).alias(f"_s_{o}") for o in sums])
+    same = F.col("_range") == F.col("_at")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_of{i}"))
+    return ranged.join(offsets, same).select(
+        *df.columns, *[(F.sum(c).over(inner) + F.col(f"_s_{o}")).alias(o) for o, c in sums.items()])
 
 
 _ORDERED = ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
 
 
 def with_row_ids(df: DataFrame, order_by: Sequence[str | Column], start: int = 0, name: str = "id",
-                 rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                 rows_per_range: int = ROWS_PER_RANGE, fan: int = FAN) -> DataFrame:
     """Consecutive ids along ``order_by`` for any number of rows.
 
     Where the first order column is a number or a time whose values spread, its
@@ -80,16 +143,15 @@ def with_row_ids(df: DataFrame, order_by: Sequence[str | Column], start: int = 0
     first = order_by[0]
     keep = [F.col(f"`{c}`") for c in df.columns if c != name]
     if isinstance(first, str) and dict(df.dtypes)[first] in _ORDERED:
-        ranged = _even_ranges(df, first, rows_per_range)
+        ranged = _even_ranges(df, first, rows_per_range, fan)
         if ranged is not None:
-            rows, before = ranged
-            number = F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) + before - 1
-            return rows.select((number + F.lit(start)).cast("long").alias(name), *keep)
+            number = F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) + F.col("_before") - 1
+            return ranged.select((number + F.lit(start)).cast("long").alias(name), *keep)
     return _ids_by_table(df, keys, start, name, keep)
 
 
-def _even_ranges(df: DataFrame, order: str, rows_per_range: int) -> tuple[DataFrame, Column] | None:
-    """Rows with their ``_range``, and the rows before each range; None if some range is too full."""
+def _even_ranges(df: DataFrame, order: str, rows_per_range: int, fan: int) -> DataFrame | None:
+    """Rows with their ``_range`` and the rows ``_before`` it; None if rows of one value fill a range."""
     kind = dict(df.dtypes)[order]
     value = F.col(order)
     if kind in ("date", "timestamp_ntz"):
@@ -98,19 +160,18 @@ def _even_ranges(df: DataFrame, order: str, rows_per_range: int) -> tuple[DataFr
     elif kind == "timestamp":
         value = F.unix_micros(value)
     valued = df.withColumn("_v", value.cast("double"))
-    n = df.count()
-    pieces = min(MAX_RANGES, -(-n // rows_per_range))
-    if pieces <= 1:
-        return df.withColumn("_range", F.lit(0)), F.lit(0)
-    ranged = _cut(valued, "_v", pieces, "_range")
-    counts = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect()}
-    if max(counts.values()) > max(8 * n // pieces, 2 * rows_per_range):
+    cuts, counts = _ranges(valued, "_v", rows_per_range, fan)
+    if len(counts) <= 1:
+        return df.withColumns({"_range": F.lit(0), "_before": F.lit(0)})
+    if max(counts.values()) > 8 * rows_per_range:
         return None
-    total, offsets = 0, []
+    total, starts = 0, []
     for r in sorted(counts):
-        offsets.append(f"{r}, {total}L")
+        starts.append((r, total))
         total += counts[r]
-    return ranged, F.element_at(F.expr("map(" + ",".join(offsets) + ")"), F.col("_range"))
+    # One row for every range, each of many rows.
+    before = small_table(df.sparkSession, starts, "_range int, _before bigint")
+    return _numbered(valued, "_v", cuts, "_range").join(F.broadcast(before), "_range")
 
 
 def _ids_by_table(df: DataFrame, keys: Sequence[Column], start: int, name: str, keep: Sequence[Column]) -> DataFrame:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netweave.operators import sampling as smp
+from netweave.operators import ordering
 from netweave.operators.ordering import prefix_sums, with_row_ids
 
 
@@ -72,6 +73,33 @@ def test_row_ids(spark, order):
     assert ids == list(range(1, 2001))
 
 
+def test_ranges_are_cut_again_until_they_are_small(spark, monkeypatch):
+    """Three levels of ranges: the sketch of four can only quarter what it sees."""
+    df = spark.range(3000).select(F.pow(F.lit(1.01), F.col("id")).alias("x"), F.lit(1).alias("n"), (F.col("id") % 3).alias("g"))
+    seen = []
+    plain = ordering._numbered
+    monkeypatch.setattr(ordering, "_numbered", lambda *a: seen.append(len(a[2])) or plain(*a))
+    cuts, sizes = ordering._ranges(df, "x", 40, fan=4)
+    assert len(seen) >= 3 and seen[0] == 3 and seen == sorted(seen)
+    assert sum(sizes.values()) == 3000 and max(sizes.values()) <= 80 and len(cuts) == len(sizes) - 1
+    ids = with_row_ids(df, ["x"], start=5, rows_per_range=40, fan=4)
+    assert [r["id"] for r in ids.orderBy("x").collect()] == list(range(5, 3005))
+    sums = prefix_sums(df, "x", {"below": "n"}, ["g"], rows_per_range=40, fan=4).orderBy("g", "x").collect()
+    assert [r["below"] for r in sums] == list(range(1, 1001)) * 3
+
+
+def test_ranges_of_one_value(spark):
+    """A value that fills a range stands alone; infinite values and NaN keep their places."""
+    x = F.when(F.col("id") % 2 == 0, 5.0).when(F.col("id") % 50 == 1, float("inf")).when(F.col("id") % 50 == 3, float("nan"))
+    df = spark.range(2000).select(x.otherwise(F.col("id") / 100).alias("x"), F.col("id").alias("y"))
+    cuts, sizes = ordering._ranges(df, "x", 50, fan=8)
+    assert sum(sizes.values()) == 2000 and sorted(sizes.values())[-2] <= 150 and max(sizes.values()) >= 1000
+    ids = with_row_ids(df, ["x", "y"], rows_per_range=50, fan=8)
+    assert [r["id"] for r in ids.orderBy("x", "y").collect()] == list(range(2000))
+    for one in (df.where("x = 5"), df.limit(0)):
+        assert [r["id"] for r in with_row_ids(one, ["x", "y"], rows_per_range=50).orderBy("y").collect()] == list(range(one.count()))
+
+
 def test_row_ids_put_nulls_first(spark):
     df = spark.createDataFrame([(None, 1), (5.0, 2), (float("nan"), 3), (1.0, 4)] * 50, "x double, y int")
     df = df.withColumn("z", F.monotonically_increasing_id())
