@@ -34,7 +34,8 @@ def lists(df):
 
 @pytest.mark.parametrize("block", [40, 10_000])
 @pytest.mark.parametrize("kind", ["cloud", "hot", "grid"])
-def test_neighbours_equal_brute_force(spark, block, kind):
+def test_neighbours_equal_brute_force(spark, monkeypatch, block, kind):
+    monkeypatch.setattr("netweave.operators.neighbors._NEAR_BLOCKS", 2)
     rng = np.random.default_rng(5)
     if kind == "cloud":
         p = rng.normal(size=(500, 4))
@@ -181,3 +182,53 @@ def test_beta_draws(spark):
     df = spark.range(20_000).select(aug.beta_draw(row_words("id"), 0.2, "t").alias("l"))
     mean, var = df.agg(F.avg("l"), F.var_pop("l")).first()
     assert abs(mean - 0.5) < 0.01 and abs(var - 0.25 / 1.4) < 0.005
+
+
+def test_wide_vectors_equal_brute_force(spark, monkeypatch):
+    """Six hundred columns, far from the origin, with ties: leading directions bound, and every pair is listed once."""
+    from netweave.operators import neighbors
+
+    rng = np.random.default_rng(10)
+    flat = rng.normal(size=(420, 5)) @ rng.normal(size=(5, 600)) + rng.normal(size=(420, 600)) * 0.05 + 1000.0
+    p = np.round(np.concatenate([flat, flat[:20] + 0.5, flat[:20] - 0.5]), 3)
+    listed = []
+    written = neighbors.materialize
+
+    def spy(df, name):
+        out = written(df, name)
+        if name == "tile-pairs":
+            listed.extend((r["leaf"], r["part"], r["block"]) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(neighbors, "materialize", spy)
+    monkeypatch.setattr(neighbors, "_NEAR_BLOCKS", 2)
+    ids = np.arange(len(p))
+    rows = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(p)], "k bigint, v array<double>")
+    df = rows.select("k", *[F.col("v")[j].alias(f"x{j}") for j in range(600)])
+    got = lists(nearest(df, None, [f"x{j}" for j in range(600)], "k", 5, block_rows=40))
+    assert got == brute(p, p, ids, ids, 5, True)
+    blocks = 16
+    assert 0 < len(listed) == len(set(listed)) <= blocks * (blocks - 2)
+
+
+@pytest.mark.parametrize("strip", [1, 16 << 20])
+def test_blocks_of_many_tiles(spark, monkeypatch, strip):
+    """Tiles of a few points and strips of one tile give the same neighbours."""
+    from netweave.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "_CHUNK", 16)
+    monkeypatch.setattr(neighbors, "STRIP_BYTES", strip)
+    monkeypatch.setattr(neighbors, "_NEAR_BLOCKS", 1)
+    rng = np.random.default_rng(11)
+    p = rng.integers(0, 30, size=(300, 3)).astype(float)
+    codes = [("ab"[i % 2],) for i in range(300)]
+    got = lists(nearest(table(spark, p, codes=codes), None, ["x0", "x1", "x2"], "k", 4, ["c"], 2.0, block_rows=60))
+    assert got == brute(p, p, np.arange(300), np.arange(300), 4, True, {i: codes[i] for i in range(300)}, codes, 2.0)
+
+
+def test_neighbours_of_nothing(spark):
+    none = table(spark, np.zeros((0, 2)))
+    some = table(spark, np.ones((3, 2)))
+    assert nearest(none, None, ["x0", "x1"], "k", 2).count() == 0
+    assert nearest(some, none, ["x0", "x1"], "k", 2).count() == 0
+    assert nearest(none, some, ["x0", "x1"], "k", 2).count() == 0
