@@ -1,7 +1,8 @@
 """Near-duplicate vectors, by products of int8 tiles with proven error bounds.
 
-Vectors of one label and width are dealt to tiles; the tile pairs are rows.  In a task each
-unit vector u becomes s * q with whole numbers q in -127..127, and e = |u - s * q| is
+Vectors of one label and width are dealt to tiles, and tiles to strips of a bounded size.  Pairs
+of strips are the cells of a grid: a tile travels once to each cell of its row and column, not
+once for each other tile, and a cell compares all its pairs of tiles.  In a task each unit vector u becomes s * q with whole numbers q in -127..127, and e = |u - s * q| is
 measured.  For two vectors
 
     |u.v - s q . t r| = |(u - s q).v + s q.(v - t r)| <= e_u + (1 + e_u) * e_v,
@@ -23,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from netweave.llm.base import field
 from netweave.llm.components import components, local_roots
@@ -31,6 +34,10 @@ from netweave.session import materialize
 THRESHOLD = 0.93
 #: Vectors in a tile, on average at most.
 TILE = 1024
+#: A strip of tiles holds about so many bytes of components; a task holds two strips.
+STRIP_BYTES = 16 << 20
+#: Labels of up to so many tiles have strips of one tile, so that small tables spread too.
+_SIDE = 16
 #: Pairs recomputed at a time.
 _RECHECK = 16_384
 #: Slack for the rounding of the bound and of the products themselves.
@@ -74,7 +81,7 @@ def close_pairs(left: np.ndarray, right: np.ndarray, threshold: float, same: boo
     return i[keep], j[keep]
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, none: pa.Table):
     def nodes(rows) -> pa.Array:
         return pa.StructArray.from_arrays([rows.field(c) for c in _NODE], names=list(_NODE))
 
@@ -82,27 +89,33 @@ def _compare(threshold: float):
         flat = rows.field("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         return flat.reshape(len(rows), -1)
 
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                same = batch.column(2)[k].as_py()
-                a = batch.column(0)[k].values
-                b = a if same else batch.column(1)[k].values
-                i, j = close_pairs(matrix(a), matrix(b), threshold, same)
-                if not len(i):
-                    continue
-                both = nodes(a) if same else pa.concat_arrays([nodes(a), nodes(b)])
-                copies = np.concatenate([x.field("copies").to_numpy() for x in ((a,) if same else (a, b))])
-                j = j if same else j + len(a)
-                links = np.zeros(len(both), np.int64)
-                np.add.at(links, i, copies[j])
-                np.add.at(links, j, copies[i])
-                held = np.flatnonzero(links)
-                roots = local_roots(len(both), i, j)[held]
-                yield pa.RecordBatch.from_arrays(
-                    [both.take(pa.array(held)), both.take(pa.array(roots)), pa.array(links[held])], names=["a", "b", "links"])
-
-    return run
+    def pair(a, b, same: bool):
+        i, j = close_pairs(matrix(a), matrix(b), threshold, same)
+        if not len(i):
+            return None
+        both = nodes(a) if same else pa.concat_arrays([nodes(a), nodes(b)])
+        copies = np.concatenate([x.field("copies").to_numpy() for x in ((a,) if same else (a, b))])
+        j = j if same else j + len(a)
+        links = np.zeros(len(both), np.int64)
+        np.add.at(links, i, copies[j])
+        np.add.at(links, j, copies[i])
+        held = np.flatnonzero(links)
+        roots = local_roots(len(both), i, j)[held]
+        return pa.RecordBatch.from_arrays(
+            [both.take(pa.array(held)), both.take(pa.array(roots)), pa.array(links[held])], names=["a", "b", "links"])
+
+    def tiles(table: pa.Table) -> list:
+        return [row.values for chunk in table.column("rows").chunks for row in chunk]
+
+    def cell(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        # A cell on the diagonal gets its strip once.
+        left, right = tiles(ours), tiles(theirs)
+        pairs = ((a, b, False) for a in left for b in right) if right else (
+            (a, b, n == m) for n, a in enumerate(left) for m, b in enumerate(left[n:], n))
+        found = [f for f in (pair(*p) for p in pairs) if f is not None]
+        return pa.Table.from_batches(found) if found else none
+
+    return cell
 
 
 def _identified(rows: DataFrame, kind: str) -> DataFrame:
@@ -149,15 +162,21 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
         different.join(sizes, ["label", "width"]).withColumn("tile", number)
         .groupBy("label", "width", "tiles", "tile")
         .agg(F.sort_array(F.collect_list(F.struct("id", "copies", "vector", "none", "least"))).alias("rows")), "vector-tiles")
-    ours = cut.select("label", "width", F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("other"),
-                      F.col("tile").alias("home"), F.col("rows").alias("ours"))
-    theirs = cut.select("label", "width", F.col("tile").alias("other"), F.col("rows").alias("theirs"))
-    same = F.col("home") == F.col("other")
-    # Few heavy rows: they are dealt by pair of tiles, so that they spread over the tasks.
-    pairs = ours.join(theirs, ["label", "width", "other"]).repartition("label", "width", "home", "other")
-    pairs = pairs.select("ours", F.when(~same, F.col("theirs")).alias("theirs"), same.alias("same"))
+    long = F.greatest(F.lit(1), F.least(F.ceil(F.col("tiles") / F.lit(_SIDE)),
+                                        F.floor(F.lit(STRIP_BYTES / (8 * tile)) / F.col("width")))).cast("int")
+    strips = cut.withColumn("strip", F.floor(F.col("tile") / long)).withColumn(
+        "last", F.floor((F.col("tiles") - 1) / long))
+    cell = ["label", "width", "home", "other"]
+    ours = strips.select("label", "width", F.col("strip").alias("home"),
+                         F.explode(F.sequence("strip", "last")).alias("other"), "rows")
+    before = F.when(F.col("strip") > 0, F.sequence(F.lit(0).cast("long"), F.col("strip") - 1))
+    theirs = strips.select("label", "width", F.explode(before).alias("home"), F.col("strip").alias("other"), "rows")
+    theirs = theirs.toDF(*theirs.columns)
     node = f"struct<none:boolean,least:{dict(rows.dtypes)['_key']},id:binary>"
-    found = materialize(pairs.mapInArrow(_compare(threshold), f"a {node}, b {node}, links long"), "vector-links")
+    schema = f"a {node}, b {node}, links long"
+    none = pa.Table.from_batches([], to_arrow_schema(StructType.fromDDL(schema)))
+    found = materialize(ours.groupBy(*cell).cogroup(theirs.groupBy(*cell)).applyInArrow(
+        _compare(threshold, none), schema), "vector-links")
     links = found.groupBy(F.col("a.id").alias("id")).agg(F.sum("links").alias("links"))
     linked = components(found.select("a", "b")).select(F.col("node.id").alias("id"), F.col("root.least").alias("first"))
     known = different.select("id", "copies", "least").join(linked, "id", "left").join(links, "id", "left").select(

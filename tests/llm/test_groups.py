@@ -500,3 +500,21 @@ def test_pipeline_of_empty_documents(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.count() == 0
+
+
+def test_strips_of_many_tiles(spark, monkeypatch):
+    """However long the strips are, every pair of tiles is compared once."""
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(40, 8))
+    points = np.repeat(base, 6, axis=0) + rng.normal(size=(240, 8)) * 0.08
+    df = spark.createDataFrame(
+        [(i, i % 2, [float(v) for v in p]) for i, p in enumerate(points)], "vec_id long, label long, embedding array<double>")
+
+    def answer():
+        return sorted(tuple(r) for r in embeddings.near_vectors(df, tile=16).collect())
+
+    short = answer()
+    monkeypatch.setattr(embeddings, "_SIDE", 3)
+    assert answer() == short and sum(r[1] for r in short) > 100
+    monkeypatch.setattr(embeddings, "_SIDE", 1)
+    assert answer() == short
