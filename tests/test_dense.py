@@ -73,6 +73,42 @@ def test_blocks_do_not_change_the_fit(ring, monkeypatch):
     assert one.history == pytest.approx(many.history)
 
 
+def test_steps_write_nothing_and_plan_nothing(spark, ring, monkeypatch):
+    """Steps over many blocks read rows that executors hold; a step must not plan or write a table anew."""
+    monkeypatch.setattr(dense, "BLOCK_ROWS", 100)
+    packed = dense.packed_rows(ring, "row_id", "weight")
+    planned = []
+    for name in ("mapInArrow", "groupBy", "repartition"):
+        plain = getattr(type(ring), name)
+        monkeypatch.setattr(type(ring), name, lambda *a, name=name, plain=plain, **k: planned.append(name) or plain(*a, **k))
+    settings = dense.NetSettings(hidden=(4,), epochs=3, batch_rows=100)
+    many, history = packed.fit(settings)
+    assert planned == ["repartition"] and len(history) == 3
+    packed.close()
+    monkeypatch.setattr(dense, "_PLACES", 2)
+    places, _ = dense.fit_net(ring, settings, "row_id", "weight")
+    monkeypatch.setattr(dense, "BLOCK_ROWS", 1 << 16)
+    one, _ = dense.fit_net(ring, settings, "row_id", "weight")
+    for a, b, c in zip(one, many, places):
+        assert np.abs(a - b).max() < 1e-8 and np.abs(a - c).max() < 1e-8
+
+
+@pytest.mark.parametrize("block", [dense.BLOCK_ROWS, 200])
+def test_class_weights_of_packed_rows_are_a_weight_column(ring, block, monkeypatch):
+    from netweave.operators.weights import with_weight
+
+    monkeypatch.setattr(dense, "BLOCK_ROWS", block)
+    classes = {0.0: 0.5, 1.0: 3.0}
+    make = lambda: mod.focal_net(weight="class", hidden=(4,), epochs=2, batch_rows=300)
+    column = make().fit(with_weight(ring, "label", classes, "class"))
+    packed = dense.packed_rows(ring)
+    for _ in range(2):
+        again = make().fit_packed(packed, classes)
+        for a, b in zip(column.parameters, again.parameters):
+            assert np.abs(a - b).max() < 1e-8
+    packed.close()
+
+
 def test_weights_count_rows(ring):
     """A row of weight two is two rows."""
     plain = dict(hidden=(4,), epochs=4, batch_rows=10_000, dropout=0.0)
