@@ -130,3 +130,31 @@ def test_reweighted_net_goes_on(ring):
     assert len(fit.history) == 8 and set(fit.weights) == {0.0, 1.0}
     assert fit.history[-1]["loss"] < fit.history[0]["loss"]
     assert mod.score(fit.model, ring).where(F.col("score").between(0, 1)).count() == 900
+
+
+def test_draws_and_batches_are_those_of_the_hashes():
+    """Dropout and batches, drawn in pieces, are those of the plain draws of each key."""
+    keys = np.random.default_rng(3).integers(0, 1 << 63, 3000).astype(np.uint64)
+    settings = dense.NetSettings()
+    units = np.arange(64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    plain = dense.drawn(keys[:, None] ^ units, settings.seed + 7, 5) < settings.dropout
+    assert (dense.dropped(keys, 64, settings, 0, 5) == plain).all() and 0.19 < plain.mean() < 0.21
+    for share in (0.0, 0.3, 1.0):
+        assert (dense.drawn_below(keys, 1, 2, share) == (dense.drawn(keys, 1, 2) < share)).all()
+    rows = dense.Rows(np.arange(6000.0).reshape(-1, 2), np.ones(3000), np.ones(3000), keys)
+    for step, mine in enumerate(rows.batches(7, 42, 1)):
+        assert (rows.of(mine).x == rows.batch(7, 42, 1, step).x).all()
+
+
+def test_a_table_of_a_few_blocks_is_fitted_by_one_task(ring, monkeypatch):
+    """A job for each step is left to tables of more than ``WHOLE_BLOCKS`` blocks; the fit is the same."""
+    held, plain = [], dense._held
+    monkeypatch.setattr(dense, "_held", lambda *a: held.append(a) or plain(*a))
+    found = []
+    for block, jobs in ((dense.BLOCK_ROWS, 0), (300, 0), (200, 1)):
+        monkeypatch.setattr(dense, "BLOCK_ROWS", block)
+        found.append(dense.fit_net(ring.repartition(5), dense.NetSettings(hidden=(4,), epochs=3, batch_rows=100), "row_id")[0])
+        assert len(held) == jobs
+    for other in found[1:]:
+        for a, b in zip(found[0], other):
+            assert np.abs(a - b).max() < 1e-8
