@@ -36,7 +36,6 @@ MEMO_WORDS = 300_000
 MEMO_CHARS = 40
 #: The white space of the proof; other kinds are left to the tokenizer.
 PLAIN = " \t\n\r"
-_BLANKS = str.maketrans("\t\n\r", "   ")
 
 
 def word_vocabulary() -> str:
@@ -62,17 +61,24 @@ def tokenizer(path: str):
 def count_words(texts: list[str], path: str) -> list[int]:
     """Tokens of each text, by the counts of its words."""
     coder, memo = tokenizer(path)
-    words = [[w for w in t.translate(_BLANKS).split(" ") if w] for t in texts]
-    new = list(set().union(*words) - memo.keys()) if words else []
+    words = [_words(t) for t in texts]
+    seen = set().union(*words)
+    new = list(seen - memo.keys())
     if len(memo) + len(new) > MEMO_WORDS:
         memo.clear()
-        new = list(set().union(*words))
-    encoded = coder.encode_batch_fast(new, add_special_tokens=False)
-    fresh = {w: len(e) for w, e in zip(new, encoded)}
-    if memo:
-        fresh.update((w, memo[w]) for w in set().union(*words) - fresh.keys())
-    memo.update((w, n) for w, n in fresh.items() if len(w) <= MEMO_CHARS)
-    return [sum(map(fresh.__getitem__, ws)) for ws in words]
+        new = list(seen)
+    memo.update(zip(new, map(len, coder.encode_batch_fast(new, add_special_tokens=False))))
+    counts = [sum(map(memo.__getitem__, ws)) for ws in words]
+    for w in new:
+        if len(w) > MEMO_CHARS:
+            del memo[w]
+    return counts
+
+
+def _words(text: str) -> list[str]:
+    """The words between plain white space, without empty ones."""
+    words = text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
+    return list(filter(None, words))
 
 
 def boundaries(text: str, start: int, low: int, high: int, path: str) -> tuple[int, list[tuple[int, int]]]:

@@ -447,3 +447,19 @@ def test_schema_checks():
     assert chat.violations([], {"type": "object"}) == ["$: not object"]
     assert chat.violations("abc", {"minLength": 4, "pattern": "^b"}) == ["$: too short", "$: no match"]
     assert chat.canonical({"b": [1.0, 2.5], "a": "é"}) == '{"a":"é","b":[1,2.5]}'
+
+
+def test_counts_of_words_do_not_depend_on_what_is_remembered(monkeypatch):
+    """Plain and other white space, long and repeated words, and a memory that is too small for one call."""
+    from netweave.llm import tokens
+
+    path = tokens.word_vocabulary()
+    coder = tokens.tokenizer(path)[0]
+    texts = ["", " \t\r\n", "one\ttwo\r\none  three", "a b\x0bc " + "long" * 30 + " " + "long" * 30, "three two one café <|endoftext|>"]
+    want = [len(coder.encode(t, add_special_tokens=False)) for t in texts]
+    for most in (300_000, 2, 0):
+        monkeypatch.setattr(tokens, "MEMO_WORDS", most)
+        for _ in range(2):
+            assert tokens.count_words(texts, path) == want
+            assert all(len(w) <= tokens.MEMO_CHARS for w in tokens.tokenizer(path)[1])
+    assert tokens.count_words([], path) == []
