@@ -232,3 +232,20 @@ def test_neighbours_of_nothing(spark):
     assert nearest(none, None, ["x0", "x1"], "k", 2).count() == 0
     assert nearest(some, none, ["x0", "x1"], "k", 2).count() == 0
     assert nearest(none, some, ["x0", "x1"], "k", 2).count() == 0
+
+
+def test_tiles_are_met_several_at_a_time():
+    """The first alone, which bounds the distances, then about a chunk of vectors; pairs within known radii are all found."""
+    from netweave.operators import neighbors
+
+    sizes = [70] * 100
+    got = neighbors._batches(sizes)
+    assert got[0] == slice(0, 1) and len(got) <= 6 and neighbors._batches([]) == []
+    assert [i for s in got for i in range(100)[s]] == list(range(100))
+    rng = np.random.default_rng(3)
+    q, r = rng.normal(size=(40, 30)).round(1) + 1e3, rng.normal(size=(900, 30)).round(1) + 1e3
+    exact = ((q[:, None] - r) ** 2).sum(-1)
+    radius = np.sort(exact, axis=1)[:, 4]
+    i, j = neighbors._within(q, r, 5, radius)
+    assert {(a, b) for a, b in zip(*np.nonzero(exact <= radius[:, None]))} <= set(zip(i, j))
+    assert neighbors._within(q, r, 1, np.full(40, 1e9)) is None and neighbors._within(q, r, 5, np.full(40, np.inf)) is None
