@@ -158,3 +158,26 @@ def test_a_table_of_a_few_blocks_is_fitted_by_one_task(ring, monkeypatch):
     for other in found[1:]:
         for a, b in zip(found[0], other):
             assert np.abs(a - b).max() < 1e-8
+
+
+@pytest.mark.parametrize("settings", [dense.NetSettings(), dense.NetSettings(hidden=(5, 3, 2), dropout=0.0, alpha=1.0, gamma=0.0),
+                                      dense.NetSettings(hidden=(7,), dropout=0.5, gamma=1.5), dense.NetSettings(hidden=())])
+def test_steps_in_the_jvm_are_those_of_numpy(ring, settings):
+    """Batches, dropout, class weights, loss and gradient of every step, and what a few epochs lead to."""
+    packed = dense.packed_rows(ring.repartition(3), "row_id", "weight")
+    rows = [dense._rows(r.asDict(), 3) for r in packed.blocks.collect()]
+    whole = dense.Rows(*[np.concatenate([getattr(r, n) for r in rows]) for n in ("x", "y", "w", "key")])
+    held, classes = dense._held(packed.blocks, 3), {0.0: 0.5, 1.0: 3.0}
+    assert isinstance(held, dense.HeldRows)
+    parameters = dense.initial(3, settings)
+    for epoch, step, weights in ((0, 0, {}), (2, 3, classes)):
+        want = dense.batch_sums(parameters, dense._weighed(whole.batch(4, settings.seed, epoch, step), weights), settings, 4 * epoch + step)
+        got = held.summed(parameters, settings, 4, epoch, step, weights)
+        assert np.abs(got - want).max() < 1e-9 and got[1] > 0
+    few = dense.replace(settings, epochs=3)
+    one, losses = dense._fit_one(packed.blocks, 3, parameters, few, 4, classes)
+    many, again = held.fit(parameters, few, 4, classes)
+    held.unpersist()
+    assert losses == pytest.approx(again, abs=1e-9) and len(losses) == 3
+    for a, b in zip(one, many, strict=True):
+        assert np.abs(a - b).max() < 1e-8
